@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from shelfwright.catalog import Catalog
 from shelfwright.functions.formula import Formula
-from shelfwright.functions.numbers import numeric
-from shelfwright.operators.actions import Action, check_actions, reads_of
-from shelfwright.operators.fields import PRICE_FIELDS, Field, FieldRegistry, unique
+from shelfwright.functions.numbers import number_text, numeric
+from shelfwright.operators.actions import Action, FormulaAction, check_actions, reads_of
+from shelfwright.operators.fields import PRICE_FIELDS, PRICE_META_KEYS, Field, FieldRegistry, unique
 from shelfwright.operators.filters import Filter
 from shelfwright.operators.resolve import Facts, Matcher, all_of
 from shelfwright.schema import CHANGE_COLUMNS, CHANGE_KEY, PRICE_TYPE, ChangeStatus
@@ -187,7 +187,12 @@ def _evaluate(
     parts = []
     for i, action in enumerate(actions):
         field = registry.get(action.field)
-        new = action.new_text(registry, staged)
+        if isinstance(action, FormulaAction):
+            # Its own projection, so that printing the number does not repeat computing it.
+            rows = rows.withColumn(f"__number{i}", action.new_number(registry, staged))
+            new = number_text(F.col(f"__number{i}"))
+        else:
+            new = action.new_text(registry, staged)
         if pending is not None:
             new = F.when(pending[i], new)
         rows = rows.withColumns({f"__old{i}": staged[field.key], f"__new{i}": new})
@@ -246,10 +251,21 @@ def apply_changes(
     applied = changes.where(F.col("status") == int(ChangeStatus.APPLIED))
     meta_fields = [f for f in targets if f.meta_key is not None]
     columns = [f for f in targets if f.column is not None]
-    meta = _apply_to_meta(catalog.meta, applied, meta_fields) if meta_fields else catalog.meta
+    meta, rewritten = catalog.meta, None
+    if meta_fields:
+        keys = sorted({f.meta_key for f in meta_fields})
+        rewritten = _rewritten_meta(meta.where(F.col("meta_key").isin(*keys)), applied, meta_fields)
+        untouched = meta.where(~F.col("meta_key").isin(*keys) | F.col("meta_key").isNull())
+        meta = untouched.unionByName(rewritten)
     objects = catalog.objects
-    if columns or any(f.key in PRICE_FIELDS for f in targets):
-        objects = _apply_to_objects(objects, meta, applied, columns, targets)
+    prices = [f for f in targets if f.key in PRICE_FIELDS]
+    if columns or prices:
+        current = None
+        if prices:
+            # Prices under the keys just rewritten, and under the other one as it was.
+            other = [k for k in PRICE_META_KEYS if k not in {f.meta_key for f in prices}]
+            current = rewritten.unionByName(catalog.meta.where(F.col("meta_key").isin(*other)))
+        objects = _rewritten_objects(objects, current, applied, columns, prices)
     return catalog.with_tables(objects=objects, meta=meta)
 
 
@@ -257,34 +273,30 @@ def _owns(field: Field) -> Column:
     return (F.col("field_type") == field.field_type) & (F.col("field_key") == field.storage_key)
 
 
-def _apply_to_meta(meta: DataFrame, applied: DataFrame, fields: Sequence[Field]) -> DataFrame:
+def _rewritten_meta(touched: DataFrame, applied: DataFrame, fields: Sequence[Field]) -> DataFrame:
     key = value = None
     for f in fields:
         new = f.write(F.col("new_value"))
         key = F.when(_owns(f), f.meta_key) if key is None else key.when(_owns(f), f.meta_key)
         value = F.when(_owns(f), new) if value is None else value.when(_owns(f), new)
-    # A later action wins where two share a key; both sides of the join are narrow.
-    updates = (
-        applied.select("object_id", key.alias("meta_key"), "action_ix", value.alias("__new"))
-        .where(F.col("meta_key").isNotNull())
-        .groupBy("object_id", "meta_key")
-        .agg(F.max_by("__new", "action_ix").alias("__new"))
-    )
-    keys = sorted({f.meta_key for f in fields})
-    touched = meta.where(F.col("meta_key").isin(*keys))
-    untouched = meta.where(~F.col("meta_key").isin(*keys) | F.col("meta_key").isNull())
-    changed = touched.join(updates, ["object_id", "meta_key"], "full_outer").select(
+    updates = applied.select(
+        "object_id", key.alias("meta_key"), "action_ix", value.alias("__new")
+    ).where(F.col("meta_key").isNotNull())
+    if len({f.meta_key for f in fields}) < len(fields):
+        # Two fields stored under one key: the later action wins.
+        latest = F.max_by("__new", "action_ix").alias("__new")
+        updates = updates.groupBy("object_id", "meta_key").agg(latest)
+    return touched.join(updates, ["object_id", "meta_key"], "full_outer").select(
         "object_id", "meta_key", F.coalesce("__new", "meta_value").alias("meta_value")
     )
-    return untouched.unionByName(changed)
 
 
-def _apply_to_objects(
+def _rewritten_objects(
     objects: DataFrame,
-    meta: DataFrame,
+    current: DataFrame | None,
     applied: DataFrame,
     columns: Sequence[Field],
-    targets: Sequence[Field],
+    prices: Sequence[Field],
 ) -> DataFrame:
     latest = [
         F.max_by(F.when(_owns(f), F.struct("new_value")), F.when(_owns(f), F.col("action_ix"))).alias(
@@ -292,19 +304,17 @@ def _apply_to_objects(
         )
         for f in columns
     ]
-    prices = [f for f in targets if f.key in PRICE_FIELDS]
     repriced = F.lit(False)
     for f in prices:
         repriced = repriced | _owns(f)
     changed = applied.groupBy("object_id").agg(F.bool_or(repriced).alias("__repriced"), *latest)
     if prices:
         # The lookup price follows the price fields: the sale price while it is lower.
-        facts = Facts(meta, "meta_key", "__p")
-        regular = numeric(facts.value("_regular_price"))
-        sale = numeric(facts.value("_sale_price"))
-        current = F.when(sale < regular, sale).otherwise(regular)
+        facts = Facts(current, "meta_key", "__p")
+        regular, sale = (numeric(facts.value(key)) for key in PRICE_META_KEYS)
+        price = F.when(sale < regular, sale).otherwise(regular)
         changed = changed.join(facts.frame(), "object_id", "left").withColumn(
-            "__price", current.cast(PRICE_TYPE)
+            "__price", price.cast(PRICE_TYPE)
         )
     rows = objects.join(changed, "object_id", "left")
     replaced: dict[str, Column] = {}

@@ -62,6 +62,7 @@ CORE_FIELDS = (
 )
 
 PRICE_FIELDS = ("regular_price", "sale_price")
+PRICE_META_KEYS = ("_regular_price", "_sale_price")
 
 
 class FieldRegistry:

@@ -89,6 +89,22 @@ def operation_progress(log: DataFrame, operations: DataFrame) -> DataFrame:
     )
 
 
+def recount(operations: DataFrame, log: DataFrame) -> DataFrame:
+    """Operation rows with their counters, in objects, recomputed from the change log."""
+    progress = object_progress(log).select(
+        F.col("operation_id").alias("id"),
+        F.col("target_objects").alias("__target_count"),
+        F.col("processed").alias("__processed"),
+        F.col("failed").alias("__failed"),
+    )
+    counters = {
+        name: F.coalesce(f"__{name}", F.lit(0).cast("bigint")).alias(name)
+        for name in ("target_count", "processed", "failed")
+    }
+    rows = operations.join(progress, "id", "left")
+    return rows.select(*[counters.get(c, F.col(c)) for c in operations.columns])
+
+
 def recent_operations(operations: DataFrame, limit: int = 20) -> DataFrame:
     return operations.orderBy(F.desc("id")).limit(max(1, limit))
 

@@ -9,9 +9,7 @@ boolean expression over a row, so AND, OR and negation take the same plan.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
 from functools import reduce
-from typing import Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,13 +81,6 @@ class Facts:
         return rows.groupBy(F.col("object_id").alias(key)).agg(*self._aggregates)
 
 
-@dataclass(frozen=True)
-class _Test:
-    passes: Column
-    # A condition can turn out to be void only once data is seen; it is then ignored, not false.
-    active: Union[Column, bool] = True
-
-
 class Matcher:
     """One filter over one catalog. Ask for the values and presence flags the caller needs, then
     take ``frame()``: the matching rows of ``objects`` with those facts alongside."""
@@ -138,19 +129,14 @@ class Matcher:
     def _has_meta(self, key: str) -> Column:
         return self._meta.flag(key, F.col("meta_value") != "")
 
-    def _combine(self, tests: list[_Test]) -> Column | None:
+    def _combine(self, tests: list[Column]) -> Column | None:
         if not tests:
             return None
-        if self._filter.relation == "AND":
-            parts = [t.passes if t.active is True else ~t.active | t.passes for t in tests]
-            return reduce(lambda a, b: a & b, parts)
-        parts = [t.passes if t.active is True else t.active & t.passes for t in tests]
-        any_passes = reduce(lambda a, b: a | b, parts)
-        if any(t.active is True for t in tests):
-            return any_passes
-        return any_passes | ~reduce(lambda a, b: a | b, [t.active for t in tests])
-
-    def _test(self, condition: Condition) -> _Test | None:
+        if self._filter.relation == "OR":
+            return reduce(lambda a, b: a | b, tests)
+        return reduce(lambda a, b: a & b, tests)
+
+    def _test(self, condition: Condition) -> Column | None:
         """One condition as a test, or None where it says nothing and is dropped."""
         field = condition.field
         if field == "price":
@@ -158,7 +144,7 @@ class Matcher:
         if field == "stock_quantity":
             return self._number("stock_quantity", condition, literal_int)
         if field in ("stock_status", "sku"):
-            return self._string(field, condition)
+            return self._text_test(F.col(field), condition)
         if field == "category":
             return self._term("product_cat", condition)
         if field == "tag":
@@ -174,23 +160,19 @@ class Matcher:
             return self._meta_value(field[len(META_PREFIX) :], condition)
         return None
 
-    def _number(self, column: str, condition: Condition, literal) -> _Test | None:
+    def _number(self, column: str, condition: Condition, literal) -> Column | None:
         operator, subject = condition.operator, F.col(column)
         if operator in _COMPARE:
-            return _Test(_COMPARE[operator](subject, F.lit(literal(condition.value))))
+            return _COMPARE[operator](subject, F.lit(literal(condition.value)))
         values = [literal(v) for v in condition.values()]
         if operator is Operator.BETWEEN and len(values) >= 2:
-            return _Test(subject.between(F.lit(values[0]), F.lit(values[1])))
+            return subject.between(F.lit(values[0]), F.lit(values[1]))
         if operator is Operator.IN and values:
-            return _Test(subject.isin(*values))
+            return subject.isin(*values)
         if operator is Operator.NOT_IN and values:
-            return _Test(~subject.isin(*values))
+            return ~subject.isin(*values)
         return None
 
-    def _string(self, column: str, condition: Condition) -> _Test | None:
-        test = self._text_test(F.col(column), condition)
-        return None if test is None else _Test(test)
-
     def _text_test(self, subject: Column, condition: Condition) -> Column | None:
         """Equality, substring and membership on text; None for any other operator."""
         operator = condition.operator
@@ -211,48 +193,50 @@ class Matcher:
             return ~subject.isin(*values)
         return None
 
-    def _term(self, taxonomy: str, condition: Condition) -> _Test | None:
+    def _term(self, taxonomy: str, condition: Condition) -> Column | None:
         operator = condition.operator
         if operator is Operator.EXISTS:
-            return _Test(self._terms.flag(taxonomy))
+            return self._terms.flag(taxonomy)
         if operator is Operator.NOT_EXISTS:
-            return _Test(~self._terms.flag(taxonomy))
+            return ~self._terms.flag(taxonomy)
         ids = _term_ids(condition)
         if not ids:
             return None
         linked = self._terms.flag(taxonomy, F.col("term_id").isin(*ids))
-        return _Test(~linked if operator is Operator.NOT_IN else linked)
+        return ~linked if operator is Operator.NOT_IN else linked
 
-    def _own_attribute(self, taxonomy: str, condition: Condition) -> _Test | None:
+    def _own_attribute(self, taxonomy: str, condition: Condition) -> Column | None:
         """A variation stores the slug of its one value of an attribute as metadata."""
         key, operator = ATTRIBUTE_META_PREFIX + taxonomy, condition.operator
         if operator is Operator.EXISTS:
-            return _Test(self._has_meta(key))
+            return self._has_meta(key)
         if operator is Operator.NOT_EXISTS:
-            return _Test(~self._has_meta(key))
+            return ~self._has_meta(key)
         ids = _term_ids(condition)
         if not ids:
             return None
-        # At most one slug per id given, looked up while the query runs.
-        chosen = self._catalog.terms.where(F.col("term_id").isin(*ids))
-        slugs = chosen.agg(F.collect_set("slug").alias("slugs")).scalar()
-        has = self._meta.flag(key, F.array_contains(slugs, F.col("meta_value")))
-        return _Test(~has if operator is Operator.NOT_IN else has, active=F.size(slugs) > 0)
+        # At most one slug per id given. As literals they reach the scan of the metadata.
+        chosen = self._catalog.terms.where(F.col("term_id").isin(*ids)).select("slug").distinct()
+        slugs = [row["slug"] for row in chosen.collect()]
+        if not slugs:
+            return None
+        has = self._meta.flag(key, F.col("meta_value").isin(*slugs))
+        return ~has if operator is Operator.NOT_IN else has
 
-    def _meta_value(self, key: str, condition: Condition) -> _Test:
+    def _meta_value(self, key: str, condition: Condition) -> Column:
         """Some row with this key passes. Objects without the key never match, also under the
         negative comparisons; an operand that says nothing leaves a test for the key alone."""
         operator, subject = condition.operator, F.col("meta_value")
         if operator is Operator.NOT_EXISTS:
-            return _Test(~self._meta.flag(key))
+            return ~self._meta.flag(key)
         values = condition.values()
         if operator in _ORDERED:
             operand = F.lit(literal_decimal(condition.value))
-            return _Test(self._meta.flag(key, _COMPARE[operator](decimal_prefix(subject), operand)))
+            return self._meta.flag(key, _COMPARE[operator](decimal_prefix(subject), operand))
         if operator is Operator.BETWEEN and len(values) >= 2:
             low, high = (F.lit(literal_decimal(v)) for v in values[:2])
-            return _Test(self._meta.flag(key, decimal_prefix(subject).between(low, high)))
-        return _Test(self._meta.flag(key, self._text_test(subject, condition)))
+            return self._meta.flag(key, decimal_prefix(subject).between(low, high))
+        return self._meta.flag(key, self._text_test(subject, condition))
 
 
 def _term_ids(condition: Condition) -> list[int]:

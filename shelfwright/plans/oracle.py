@@ -502,6 +502,15 @@ ORACLES: dict[str, str] = {
           FROM (SELECT operation_id, object_id, count(*) AS n, bool_or(status = 2) AS bad, bool_or(status IN (1, 3)) AS done
             FROM changes GROUP BY operation_id, object_id) GROUP BY operation_id) c ON c.operation_id = o.id""",
     ),
+    "operation_counters": sql(
+        "changes operations",
+        """SELECT id, o.status, coalesce(n, 0) AS target_count, coalesce(c.processed, 0) AS processed,
+          coalesce(c.failed, 0) AS failed
+        FROM operations o LEFT JOIN (
+          SELECT operation_id, count(*) AS n, count(*) FILTER (done AND NOT bad) AS processed, count(*) FILTER (bad) AS failed
+          FROM (SELECT operation_id, object_id, bool_or(status = 2) AS bad, bool_or(status IN (1, 3)) AS done
+            FROM changes GROUP BY operation_id, object_id) GROUP BY operation_id) c ON c.operation_id = o.id""",
+    ),
     "recent_operations": sql(
         "operations",
         f"""SELECT id, status, source, user_id, {_stamp('created_at')} AS created_at, {_stamp('completed_at')} AS completed_at

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +69,9 @@ def query(function: Query) -> Query:
     return function
 
 
+@lru_cache(maxsize=8)
 def _catalog(spark: SparkSession, path: str) -> Catalog:
+    """Opened once per session: the frames are plans, which hold no data."""
     return Star(spark, path).catalog()
 
 
@@ -485,6 +488,13 @@ def operation_progress(spark: SparkSession, path: str) -> DataFrame:
     return oplog.operation_progress(star.changes(), star.operations())
 
 
+@query
+def operation_counters(spark: SparkSession, path: str) -> DataFrame:
+    star = Star(spark, path)
+    rows = oplog.recount(star.operations(), star.changes())
+    return rows.select("id", "status", "target_count", "processed", "failed")
+
+
 @query
 def recent_operations(spark: SparkSession, path: str) -> DataFrame:
     rows = oplog.recent_operations(Star(spark, path).operations())
@@ -598,7 +608,7 @@ def advance_rules(spark: SparkSession, path: str) -> DataFrame:
 def rule_run_changeset(spark: SparkSession, path: str) -> DataFrame:
     star = Star(spark, path)
     rule = next_due(star.rules(), NOW)
-    return rule_changeset(star.catalog(), rule, PARENT, REGISTRY)
+    return rule_changeset(_catalog(spark, path), rule, PARENT, REGISTRY)
 
 
 @query
