@@ -18,6 +18,7 @@ from shelfwright.catalog import Catalog
 from shelfwright.functions.numbers import decimal_prefix, literal_decimal, literal_int, literal_text
 from shelfwright.operators.fields import META_PREFIX, Field
 from shelfwright.operators.filters import Condition, Filter, Operator
+from shelfwright.operators.skew import join_by_parent
 from shelfwright.schema import Scope
 
 ATTRIBUTE_PREFIX = "attribute:"
@@ -113,13 +114,15 @@ class Matcher:
         meta = self._meta.frame()
         if meta is not None:
             rows = rows.join(meta, "object_id", "left")
-        terms = self._terms.frame("__linked")
-        if terms is not None:
-            # Term links sit on products; a variation has those of its parent. One parent may
-            # own a large share of all variations: the left side of this join is the one that
-            # adaptive execution splits when a partition is skewed.
-            owner = "parent_id" if self._scope is Scope.VARIATION else "object_id"
-            rows = rows.join(terms, rows[owner] == terms["__linked"], "left").drop("__linked")
+        if self._scope is Scope.VARIATION:
+            # Term links sit on products; a variation has those of its parent.
+            terms = self._terms.frame("parent_id")
+            if terms is not None:
+                rows = join_by_parent(rows, terms, "left")
+        else:
+            terms = self._terms.frame()
+            if terms is not None:
+                rows = rows.join(terms, "object_id", "left")
         if self._priced is not None:
             rows = rows.where(self._priced)
         if self._predicate is not None:

@@ -1,0 +1,25 @@
+"""Joins on a key that a few values may dominate."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+PARENT_SALT = 8
+
+
+def join_by_parent(
+    children: DataFrame, parents: DataFrame, how: str, salt: int = PARENT_SALT
+) -> DataFrame:
+    """Join children to facts about their parents (``parents`` is unique in ``parent_id``).
+
+    One parent may own a large share of all children. Its children are spread over ``salt`` parts
+    by their own id, and the narrow parent rows are repeated for each part; what is still too
+    large after that is split by adaptive execution, which can divide the left side of every
+    join type used here."""
+    if salt <= 1:
+        return children.join(parents, "parent_id", how)
+    left = children.withColumn("__part", F.pmod(F.xxhash64("object_id"), F.lit(salt)).cast("int"))
+    parts = F.explode(F.array(*[F.lit(i) for i in range(salt)]))
+    right = parents.withColumn("__part", parts)
+    return left.join(right, ["parent_id", "__part"], how).drop("__part")

@@ -17,6 +17,7 @@ from shelfwright.functions.text import audit_name, page_name
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Filter
 from shelfwright.operators.resolve import ATTRIBUTE_META_PREFIX, Matcher
+from shelfwright.operators.skew import join_by_parent
 from shelfwright.schema import CHANGE_STATUS_LABELS, CHANGES, OBJECTS, ChangeStatus, Scope
 
 MAX_PAGE = 200
@@ -106,7 +107,8 @@ def sku_matches(catalog: Catalog, sku: str) -> DataFrame:
     """Objects whose own SKU contains a text, and children of parents whose SKU does."""
     own = catalog.objects.where(F.col("sku").contains(sku)).select("object_id")
     parents = own.select(F.col("object_id").alias("parent_id"))
-    children = catalog.objects.join(parents, "parent_id", "left_semi").select("object_id")
+    owned = catalog.objects.where(F.col("parent_id") != 0)
+    children = join_by_parent(owned, parents, "left_semi").select("object_id")
     return own.union(children).distinct()
 
 
