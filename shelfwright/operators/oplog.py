@@ -21,6 +21,13 @@ MAX_RETENTION_DAYS = 180
 STALL_MINUTES = 10
 MAX_PURGE = 100
 
+MAX_BROADCAST_IDS = 100_000
+
+
+def _small(rows: DataFrame, limit: int) -> DataFrame:
+    """Mark a frame of at most ``limit`` ids for broadcast; past the bound Spark decides by size."""
+    return F.broadcast(rows) if limit <= MAX_BROADCAST_IDS else rows
+
 
 def _count_statuses() -> list[Column]:
     return [F.count_if(F.col("status") == s).alias(label) for s, label in CHANGE_STATUS_LABELS.items()]
@@ -113,12 +120,11 @@ def operation_history(operations: DataFrame, users: DataFrame, limit: int = 20)
     """The latest operations with progress, undo flag and owner ('' when unknown). ``users`` has
     columns user_id and display_name."""
     recent = recent_operations(operations, limit)
-    # The page has ``limit`` rows and users are unique, so only their own rows are kept before
-    # the join; the scan of users is the only work that grows.
-    wanted = F.broadcast(recent.select("user_id").where("user_id > 0").distinct())
-    names = users.join(wanted, "user_id", "left_semi")
+    # Users are cut down to the owners on the page before they are joined to it.
+    owners = _small(recent.select("user_id").where("user_id > 0").distinct(), limit)
+    names = users.join(owners, "user_id", "left_semi")
     return (
-        recent.join(F.broadcast(names), "user_id", "left")
+        recent.join(names, "user_id", "left")
         .select(
             "id",
             "status",
@@ -226,12 +232,7 @@ def expired_operations(
         F.col("id").alias("operation_id")
     )
     rows = log.groupBy("operation_id").agg(F.count("*").alias("rows"))
-    return rows.join(expired, "operation_id", "left_semi").orderBy("operation_id").limit(_purge(max_operations))
-
-
-def _purge(max_operations: int) -> int:
-    # The survivors' join broadcasts this many ids; a caller repeats the purge for more.
-    return min(100_000, max(1, max_operations))
+    return rows.join(expired, "operation_id", "left_semi").orderBy("operation_id").limit(max(1, max_operations))
 
 
 def purge_counts(
@@ -247,4 +248,4 @@ def survivors(
 ) -> DataFrame:
     """The change log after one purge; operations themselves are kept."""
     gone = expired_operations(operations, log, cutoff, max_operations).select("operation_id")
-    return log.join(F.broadcast(gone), "operation_id", "left_anti").select(*log.columns)
+    return log.join(_small(gone, max_operations), "operation_id", "left_anti").select(*log.columns)

@@ -52,11 +52,43 @@ def revert(
 
     A row is skipped when its delta is no longer in the log, when no field owns it, or when the
     object has drifted under the skip policy; it fails when the object is gone."""
-    deltas = _parent_deltas(log, parent_id)
     is_pending = F.col("status") == int(ChangeStatus.PENDING)
     pending, settled = undo_rows.where(is_pending), undo_rows.where(~is_pending)
+    rows = pending.join(_parent_deltas(log, parent_id), DELTA_KEY, "left")
+    outcome = _settle(catalog, rows, fields, policy, registry)
+    return outcome.unionByName(settled.select(*CHANGE_COLUMNS))
+
+
+def revert_now(
+    catalog: Catalog,
+    log: DataFrame,
+    parent_id: int,
+    undo_id: int,
+    fields: Sequence[str],
+    policy: ConflictPolicy | str,
+    registry: FieldRegistry,
+) -> DataFrame:
+    """Freeze and settle an undo in one step. The targets come with their deltas, so nothing but
+    the catalog is joined."""
+    rows = _applied(log, parent_id).withColumns(
+        {
+            "operation_id": F.lit(undo_id).cast("bigint"),
+            "__delta": F.struct("old_value", "new_value"),
+        }
+    )
+    return _settle(catalog, rows, fields, policy, registry)
+
+
+def _settle(
+    catalog: Catalog,
+    rows: DataFrame,
+    fields: Sequence[str],
+    policy: ConflictPolicy | str,
+    registry: FieldRegistry,
+) -> DataFrame:
+    """Outcome of undo targets that carry their parent's delta."""
     wide, texts = read_fields(catalog, [registry.get(k) for k in fields])
-    rows = pending.join(deltas, DELTA_KEY, "left").join(wide, "object_id", "left")
+    rows = rows.join(wide, "object_id", "left")
     current, owned = _current(fields, registry, texts)
     usable = F.col("__delta").isNotNull() & owned
     drift = ~values_equal(F.col("__current"), F.col("__delta.new_value"))
@@ -75,8 +107,7 @@ def revert(
         "new_value": F.when(F.col("__status") == int(ChangeStatus.APPLIED), F.col("__delta.old_value")),
         "status": F.col("__status"),
     }
-    outcome = rows.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in CHANGE_COLUMNS])
-    return outcome.unionByName(settled.select(*CHANGE_COLUMNS))
+    return rows.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in CHANGE_COLUMNS])
 
 
 def applied_head(log: DataFrame, operation_id: int, limit: int) -> DataFrame:

@@ -6,14 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shelfwright.catalog import Catalog
-from shelfwright.operators.actions import Action
-from shelfwright.operators.changes import apply_changes, derive, freeze
+from shelfwright.operators.actions import Action, reads_of
+from shelfwright.operators.changes import apply_changes, changeset, derive, freeze
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Filter
-from shelfwright.operators.undo import revert, undo_targets
+from shelfwright.operators.resolve import resolve
+from shelfwright.operators.undo import revert_now
 from shelfwright.schema import ConflictPolicy
 from shelfwright.sources.store import ChangeLog
 
@@ -38,16 +38,38 @@ def run_operation(
     log: ChangeLog,
     max_objects: int | None = None,
 ) -> Outcome:
-    """Resolve the filter once, write the frozen targets, settle them, and return the settled
-    rows with the catalog they lead to. The new catalog is lazy: write it with ``CatalogStore``."""
-    frozen = log.write_frozen(freeze(catalog, flt, actions, operation_id, registry), operation_id)
-    if max_objects is not None:
-        targets = frozen.where(F.col("action_ix") == 0).count()
-        if targets > max_objects:
-            raise TooManyObjects(f"{targets} objects exceed the limit of {max_objects}")
-    changes = log.write_settled(derive(catalog, frozen, actions, registry), operation_id)
-    fields = tuple(a.field for a in actions)
-    return Outcome(changes, apply_changes(catalog, changes, fields, registry), fields)
+    """Resolve the filter and settle its targets in one pass, and write the change set before
+    anything is applied. The new catalog is lazy: write it with ``CatalogStore``."""
+    _check_limit(catalog, flt, actions, registry, max_objects)
+    rows = changeset(catalog, flt, actions, operation_id, registry)
+    return _outcome(catalog, log.write_settled(rows, operation_id), actions, registry)
+
+
+def queue_operation(
+    catalog: Catalog,
+    flt: Filter,
+    actions: Sequence[Action],
+    operation_id: int,
+    registry: FieldRegistry,
+    log: ChangeLog,
+    max_objects: int | None = None,
+) -> DataFrame:
+    """Freeze an operation's targets now, to be run later with ``run_queued``."""
+    _check_limit(catalog, flt, actions, registry, max_objects)
+    return log.write_frozen(freeze(catalog, flt, actions, operation_id, registry), operation_id)
+
+
+def run_queued(
+    catalog: Catalog,
+    actions: Sequence[Action],
+    operation_id: int,
+    registry: FieldRegistry,
+    log: ChangeLog,
+) -> Outcome:
+    """Settle frozen targets against the catalog as it has become. Safe to repeat: a run that
+    was interrupted starts again from the same targets."""
+    rows = derive(catalog, log.frozen(operation_id), actions, registry)
+    return _outcome(catalog, log.write_settled(rows, operation_id), actions, registry)
 
 
 def run_undo(
@@ -60,7 +82,28 @@ def run_undo(
     log: ChangeLog,
 ) -> Outcome:
     """Revert an operation against the catalog as it is now. The result can itself be undone."""
-    frozen = log.write_frozen(undo_targets(parent.changes, parent_id, undo_id), undo_id)
-    rows = revert(catalog, parent.changes, frozen, parent_id, parent.fields, policy, registry)
+    rows = revert_now(catalog, parent.changes, parent_id, undo_id, parent.fields, policy, registry)
     changes = log.write_settled(rows, undo_id)
     return Outcome(changes, apply_changes(catalog, changes, parent.fields, registry), parent.fields)
+
+
+def _check_limit(
+    catalog: Catalog,
+    flt: Filter,
+    actions: Sequence[Action],
+    registry: FieldRegistry,
+    max_objects: int | None,
+) -> None:
+    """Refuse an operation over more objects than allowed, before it writes anything."""
+    if max_objects is None:
+        return
+    targets = resolve(catalog, flt, reads_of(actions, registry))
+    if targets.limit(max_objects + 1).count() > max_objects:
+        raise TooManyObjects(f"more than {max_objects} objects match")
+
+
+def _outcome(
+    catalog: Catalog, changes: DataFrame, actions: Sequence[Action], registry: FieldRegistry
+) -> Outcome:
+    fields = tuple(a.field for a in actions)
+    return Outcome(changes, apply_changes(catalog, changes, fields, registry), fields)

@@ -459,6 +459,12 @@ ORACLES: dict[str, str] = {
           CASE WHEN object_id % 7 <> 0 THEN old_value END AS new_value,
           CASE WHEN object_id % 7 <> 0 THEN 1 ELSE 3 END AS status FROM edited""",
     ),
+    "undo_of_frozen_targets": sql(
+        "edited",
+        f"""SELECT {_UNDO.format(op=9001)}, CASE WHEN object_id % 5 <> 0 THEN current END AS old_value,
+          CASE WHEN object_id % 5 <> 0 AND object_id % 7 <> 0 THEN old_value END AS new_value,
+          CASE WHEN object_id % 5 <> 0 AND object_id % 7 <> 0 THEN 1 ELSE 3 END AS status FROM edited""",
+    ),
     "undo_changeset_force": sql(
         "edited",
         f"SELECT {_UNDO.format(op=9001)}, current AS old_value, old_value AS new_value, 1 AS status FROM edited",

@@ -427,8 +427,7 @@ def _drifted(catalog: Catalog) -> Catalog:
 def _undo(catalog: Catalog, policy: str) -> tuple[DataFrame, Catalog]:
     changes, after = _run(catalog, [COST_PLUS])
     edited = _drifted(after)
-    targets = undo.undo_targets(changes, PARENT, UNDO)
-    return undo.revert(edited, changes, targets, PARENT, [PRICE], policy, REGISTRY), edited
+    return undo.revert_now(edited, changes, PARENT, UNDO, [PRICE], policy, REGISTRY), edited
 
 
 @query
@@ -453,8 +452,17 @@ def redo_changeset(spark: SparkSession, path: str) -> DataFrame:
     rows, edited = _undo(_catalog(spark, path), "skip")
     undone = snapshot(rows, "undone")
     after = ch.apply_changes(edited, undone, [PRICE], REGISTRY)
-    targets = undo.undo_targets(undone, UNDO, REDO)
-    return undo.revert(after, undone, targets, UNDO, [PRICE], "skip", REGISTRY)
+    return undo.revert_now(after, undone, UNDO, REDO, [PRICE], "skip", REGISTRY)
+
+
+@query
+def undo_of_frozen_targets(spark: SparkSession, path: str) -> DataFrame:
+    """An undo frozen first and settled later, when a part of the parent's deltas has been
+    purged: those rows are skipped."""
+    changes, after = _run(_catalog(spark, path), [COST_PLUS])
+    targets = snapshot(undo.undo_targets(changes, PARENT, UNDO), "targets")
+    purged = changes.where(F.col("object_id") % 5 != 0)
+    return undo.revert(_drifted(after), purged, targets, PARENT, [PRICE], "skip", REGISTRY)
 
 
 @query

@@ -125,22 +125,35 @@ class CatalogStore:
 
 
 class ChangeLog:
-    """Change sets, one folder per operation and stage. Freezing writes an operation's pending
-    rows once; settling writes its outcome beside them and can be repeated after a failure."""
+    """Change sets, one folder per operation and stage. Each is written once: what an earlier run
+    completed stands, and what it left half-written is replaced."""
 
     def __init__(self, spark: SparkSession, root: str):
         self._spark = spark
         self._root = root.rstrip("/")
 
     def write_frozen(self, rows: DataFrame, operation_id: int) -> DataFrame:
-        """Fails if the operation has been frozen before."""
-        rows.drop("operation_id").write.mode("errorifexists").parquet(self._path("frozen", operation_id))
+        """Keep an operation's targets. They are chosen once: freezing again is an error."""
+        path = self._path("frozen", operation_id)
+        if self._complete(path):
+            raise ValueError(f"operation {operation_id} is already frozen")
+        rows.drop("operation_id").write.mode("overwrite").parquet(path)
         return self.frozen(operation_id)
 
     def write_settled(self, rows: DataFrame, operation_id: int) -> DataFrame:
-        rows.drop("operation_id").write.mode("overwrite").parquet(self._path("settled", operation_id))
+        """Keep an operation's outcome. If it has one already, that is returned and ``rows`` is
+        not even computed, so that running an operation again cannot apply it twice."""
+        path = self._path("settled", operation_id)
+        if not self._complete(path):
+            rows.drop("operation_id").write.mode("overwrite").parquet(path)
         return self.settled(operation_id)
 
+    def _complete(self, path: str) -> bool:
+        jvm = self._spark._jvm
+        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        files = marker.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        return files.exists(marker)
+
     def frozen(self, operation_id: int) -> DataFrame:
         return self._one("frozen", operation_id)
 

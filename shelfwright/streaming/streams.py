@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,13 +111,20 @@ def drain(stream: DataFrame, path: str, output: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
+    spark = stream.sparkSession
+    try:
+        return spark.read.schema(stream.schema).parquet(f"{path}/data")
+    except AnalysisException:  # nothing has ever arrived
+        return spark.createDataFrame([], stream.schema)
 
 
 def drain_batches(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
     """Apply a batch plan to each micro-batch and keep its rows under the batch's number. A batch
     that is run again after a failure replaces itself."""
     spark = stream.sparkSession
+    # A first batch without rows, so that there is something to read before anything arrives.
+    none = spark.createDataFrame([], transform(stream).schema)
+    none.write.mode("overwrite").parquet(f"{path}/data/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")

@@ -10,7 +10,7 @@ from shelfwright.operators.actions import FormulaAction, SetValue, actions_from_
 from shelfwright.operators.fields import FieldRegistry, UnsupportedField
 from shelfwright.operators.filters import Condition, Filter
 from shelfwright.operators.resolve import resolve
-from shelfwright.plans.operation import TooManyObjects, run_operation, run_undo
+from shelfwright.plans.operation import TooManyObjects, queue_operation, run_operation, run_queued, run_undo
 from shelfwright.schema import CHANGES, Scope
 from shelfwright.sources.store import CatalogStore, ChangeLog, snapshot
 from tests.shop import Shop, ids, meta_of
@@ -55,13 +55,26 @@ def test_frozen_targets_survive_the_change(spark, log):
     """Once applied, nothing matches the filter any more, but the frozen rows still stand."""
     catalog = priced(spark, ["25", "30"])
     flt = Filter((Condition("price", ">", 20),))
-    run = run_operation(catalog, flt, [SetValue("regular_price", "1")], 1, REGISTRY, log)
+    actions = [SetValue("regular_price", "1")]
+    queue_operation(catalog, flt, actions, 1, REGISTRY, log)
+    run = run_queued(catalog, actions, 1, REGISTRY, log)
     assert ids(resolve(run.catalog, flt)) == []
-    assert log.frozen(1).count() == 2
-    with pytest.raises(Exception, match="already exists"):
+    again = run_queued(catalog, actions, 1, REGISTRY, log)  # as after an interruption
+    assert log.frozen(1).count() == 2 and rows(again.changes) == rows(run.changes)
+    assert meta_of(again.catalog, "_regular_price") == {1: "1", 2: "1"}
+    with pytest.raises(Exception, match="already frozen"):
         log.write_frozen(log.frozen(1), 1)
 
 
+def test_running_an_operation_twice_applies_it_once(spark, log):
+    catalog = priced(spark, ["10"])
+    double = [FormulaAction("regular_price", fm.var("regular_price") * 2)]
+    first = run_operation(catalog, Filter(), double, 1, REGISTRY, log)
+    second = run_operation(first.catalog, Filter(), double, 1, REGISTRY, log)
+    assert rows(second.changes) == {(1, "regular_price"): ("10", "20", 1)}
+    assert meta_of(second.catalog, "_regular_price") == {1: "20"}
+
+
 def test_formula_and_applicability(spark):
     catalog = priced(spark, ["100", "200", "300"], ["10", "20"])
     counts = ch.preview(catalog, Filter(), [COST_PLUS], REGISTRY).first().asDict()

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from shelfwright.functions import formula as fm
@@ -91,8 +90,14 @@ def test_progress_equals_batch(spark, tmp_path):
     assert {r.operation_id: r.stalled for r in flagged.collect()} == {1: True, 2: False}
 
 
-@pytest.mark.parametrize("policy_time", ["ts"])
-def test_late_replays_are_caught_when_settling(spark, tmp_path, policy_time):
+def test_empty_input(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([], EVENT).write.parquet(f"{source}/0")
+    assert streams.drain_batches(read(spark, source), lambda b: b, str(tmp_path / "a")).count() == 0
+    assert streams.drain(read(spark, source), str(tmp_path / "b")).count() == 0
+
+
+def test_late_replays_are_caught_when_settling(spark):
     from shelfwright.operators.changes import settle
     from shelfwright.schema import CHANGES
 
