@@ -18,7 +18,7 @@ from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Filter
 from shelfwright.operators.resolve import ATTRIBUTE_META_PREFIX, Matcher
 from shelfwright.operators.skew import join_by_parent
-from shelfwright.schema import CHANGE_STATUS_LABELS, CHANGES, OBJECTS, ChangeStatus, Scope
+from shelfwright.schema import CHANGE_STATUS_LABELS, CHANGES, ChangeStatus, Scope
 
 MAX_PAGE = 200
 
@@ -58,18 +58,18 @@ def catalog_page(
     """One page of matching objects by ascending id. ``after_id`` continues after the last id of
     the page before, at the same cost however deep the page; ``page`` counts from the start."""
     size = _clamp(per_page)
-    rows = Matcher(catalog, flt).frame().select(*OBJECTS.fieldNames())
+    # Only ids are matched, shuffled and ordered; the columns shown are read for the page alone.
+    matched = Matcher(catalog, flt).frame().select("object_id", "parent_id")
     if after_id is not None:
-        rows = rows.where(F.col("object_id") > after_id).orderBy("object_id")
+        matched = matched.where(F.col("object_id") > after_id).orderBy("object_id")
     else:
-        rows = rows.orderBy("object_id").offset((max(1, page) - 1) * size)
-    return _page_rows(catalog, rows.limit(size).collect(), flt.scope, registry)
+        matched = matched.orderBy("object_id").offset((max(1, page) - 1) * size)
+    return _page_rows(catalog, matched.limit(size).collect(), flt.scope, registry)
 
 
 def _page_rows(catalog: Catalog, page: Sequence, scope: Scope, registry: FieldRegistry) -> DataFrame:
-    spark = catalog.objects.sparkSession
-    rows = spark.createDataFrame(page, OBJECTS)
     ids = [r["object_id"] for r in page]
+    rows = catalog.objects.where(F.col("object_id").isin(*ids))
     meta = catalog.meta.where(F.col("object_id").isin(*ids))
     extra = meta_pivot(meta, {"sale_price": "_sale_price", "cost": registry.cost_meta_key})
     rows = rows.join(F.broadcast(extra), "object_id", "left")

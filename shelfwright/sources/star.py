@@ -52,6 +52,8 @@ SCHEMAS = {
 
 class Star:
     def __init__(self, spark: SparkSession, path: str):
+        # The tables hold times without a zone, and they are UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self._spark = spark
         self._path = path
         self._tables: dict[str, DataFrame] = {}

@@ -14,6 +14,9 @@ from shelfwright import schema as sc
 from shelfwright.catalog import Catalog
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Only a local session without one gets a temporary folder:
     on a cluster, executors could not reach it."""
@@ -22,9 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.conf.get("spark.app.id", "")
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _local_dirs[application]
 
 
 def snapshot(frame: DataFrame, name: str = "snapshot") -> DataFrame:
