@@ -18,6 +18,7 @@ from shelfwright.operators.actions import Action, FormulaAction, check_actions,
 from shelfwright.operators.fields import PRICE_FIELDS, PRICE_META_KEYS, Field, FieldRegistry, unique
 from shelfwright.operators.filters import Filter
 from shelfwright.operators.resolve import Facts, Matcher, all_of
+from shelfwright.operators.sizes import only_objects
 from shelfwright.schema import CHANGE_COLUMNS, CHANGE_KEY, PRICE_TYPE, ChangeStatus
 
 
@@ -92,7 +93,7 @@ def derive(
         marks = [F.bool_or(F.col("action_ix") == i).alias(f"__pending{i}") for i in range(len(actions))]
         targets = pending.groupBy(*target).agg(*marks)
         flags = [F.col(f"__pending{i}") for i in range(len(actions))]
-    wide, texts = read_fields(catalog, _fields_of(actions, registry))
+    wide, texts = read_fields(catalog, _fields_of(actions, registry), pending)
     rows = targets.join(wide, "object_id", "left")
     outcome = _evaluate(rows, actions, registry, texts, F.coalesce(F.col("__found"), F.lit(False)), flags)
     return outcome.unionByName(settled.select(*CHANGE_COLUMNS))
@@ -150,16 +151,18 @@ def derived_numbers(
     return matcher.frame().select("object_id", *results)
 
 
-def read_fields(catalog: Catalog, fields: Sequence[Field]) -> tuple[DataFrame, dict[str, Column]]:
-    """Current values of some fields, one row per object, as columns to be read after a join.
-    ``__found`` tells an object without values from no object."""
-    facts = Facts(catalog.meta, "meta_key", "__v")
+def read_fields(
+    catalog: Catalog, fields: Sequence[Field], targets: DataFrame | None = None
+) -> tuple[DataFrame, dict[str, Column]]:
+    """Current values of some fields, one row per object, as columns to be read after a join with
+    ``targets``. ``__found`` tells an object without values from no object."""
+    facts = Facts(only_objects(catalog.meta, targets), "meta_key", "__v")
     columns = {f.column for f in fields if f.column is not None}
     texts = {
         f.key: f.read(facts.value(f.meta_key) if f.meta_key is not None else F.col(f"__c_{f.column}"))
         for f in fields
     }
-    wide = catalog.objects.select(
+    wide = only_objects(catalog.objects, targets).select(
         "object_id",
         F.lit(True).alias("__found"),
         *[F.col(c).alias(f"__c_{c}") for c in sorted(columns)],
@@ -249,23 +252,17 @@ def apply_changes(
     and objects are joined only with the (usually few) changed ones."""
     targets = [registry.get(k) for k in fields]
     applied = changes.where(F.col("status") == int(ChangeStatus.APPLIED))
+    meta, objects = catalog.meta, catalog.objects
     meta_fields = [f for f in targets if f.meta_key is not None]
-    columns = [f for f in targets if f.column is not None]
-    meta, rewritten = catalog.meta, None
     if meta_fields:
         keys = sorted({f.meta_key for f in meta_fields})
-        rewritten = _rewritten_meta(meta.where(F.col("meta_key").isin(*keys)), applied, meta_fields)
         untouched = meta.where(~F.col("meta_key").isin(*keys) | F.col("meta_key").isNull())
-        meta = untouched.unionByName(rewritten)
-    objects = catalog.objects
+        touched = meta.where(F.col("meta_key").isin(*keys))
+        meta = untouched.unionByName(_rewritten_meta(touched, applied, meta_fields))
+    columns = [f for f in targets if f.column is not None]
     prices = [f for f in targets if f.key in PRICE_FIELDS]
     if columns or prices:
-        current = None
-        if prices:
-            # Prices under the keys just rewritten, and under the other one as it was.
-            other = [k for k in PRICE_META_KEYS if k not in {f.meta_key for f in prices}]
-            current = rewritten.unionByName(catalog.meta.where(F.col("meta_key").isin(*other)))
-        objects = _rewritten_objects(objects, current, applied, columns, prices)
+        objects = _rewritten_objects(catalog, applied, columns, prices)
     return catalog.with_tables(objects=objects, meta=meta)
 
 
@@ -286,43 +283,56 @@ def _rewritten_meta(touched: DataFrame, applied: DataFrame, fields: Sequence[Fie
         # Two fields stored under one key: the later action wins.
         latest = F.max_by("__new", "action_ix").alias("__new")
         updates = updates.groupBy("object_id", "meta_key").agg(latest)
-    return touched.join(updates, ["object_id", "meta_key"], "full_outer").select(
-        "object_id", "meta_key", F.coalesce("__new", "meta_value").alias("meta_value")
+    # The catalog is on the left of both joins: a small change set is broadcast to it, and with a
+    # large one a skewed partition of it can be split.
+    on = ["object_id", "meta_key"]
+    changed = touched.join(updates.select(*on, "__new"), on, "left").select(
+        *on, F.coalesce("__new", "meta_value").alias("meta_value")
     )
+    present = touched.select(*on).join(updates.select(*on), on, "left_semi")
+    added = updates.join(present, on, "left_anti").select(*on, F.col("__new").alias("meta_value"))
+    return changed.unionByName(added)
 
 
 def _rewritten_objects(
-    objects: DataFrame,
-    current: DataFrame | None,
-    applied: DataFrame,
-    columns: Sequence[Field],
-    prices: Sequence[Field],
+    catalog: Catalog, applied: DataFrame, columns: Sequence[Field], prices: Sequence[Field]
 ) -> DataFrame:
-    latest = [
-        F.max_by(F.when(_owns(f), F.struct("new_value")), F.when(_owns(f), F.col("action_ix"))).alias(
-            f"__set_{f.column}"
+    objects = catalog.objects
+    fields = [*columns, *prices]
+    news = {f.key: F.col(f"__set{i}") for i, f in enumerate(fields)}
+    if len(fields) == 1:
+        changed = applied.where(_owns(fields[0])).select(
+            "object_id", F.struct("new_value").alias("__set0")
         )
-        for f in columns
-    ]
-    repriced = F.lit(False)
-    for f in prices:
-        repriced = repriced | _owns(f)
-    changed = applied.groupBy("object_id").agg(F.bool_or(repriced).alias("__repriced"), *latest)
+    else:
+        # Structs, so that a field set to null differs from a field not set.
+        latest = [
+            F.max_by(F.when(_owns(f), F.struct("new_value")), F.when(_owns(f), F.col("action_ix")))
+            for f in fields
+        ]
+        changed = applied.groupBy("object_id").agg(*[c.alias(f"__set{i}") for i, c in enumerate(latest)])
     if prices:
         # The lookup price follows the price fields: the sale price while it is lower.
-        facts = Facts(current, "meta_key", "__p")
-        regular, sale = (numeric(facts.value(key)) for key in PRICE_META_KEYS)
-        price = F.when(sale < regular, sale).otherwise(regular)
-        changed = changed.join(facts.frame(), "object_id", "left").withColumn(
-            "__price", price.cast(PRICE_TYPE)
-        )
+        stored = Facts(only_objects(catalog.meta, applied), "meta_key", "__p")
+        texts = {}
+        for name, key in zip(PRICE_FIELDS, PRICE_META_KEYS):
+            texts[name] = stored.value(key)
+        for f in prices:
+            new = news[f.key]
+            texts[f.key] = F.when(new.isNotNull(), f.write(new["new_value"])).otherwise(texts[f.key])
+        regular, sale = (numeric(texts[name]) for name in PRICE_FIELDS)
+        price = F.when(sale < regular, sale).otherwise(regular).cast(PRICE_TYPE)
+        changed = changed.join(stored.frame(), "object_id", "left").withColumn("__price", price)
     rows = objects.join(changed, "object_id", "left")
     replaced: dict[str, Column] = {}
     for f in columns:
-        change = F.col(f"__set_{f.column}")
-        value = f.write(change["new_value"]).try_cast(objects.schema[f.column].dataType)
-        replaced[f.column] = F.when(change.isNotNull(), value).otherwise(F.col(f.column))
+        new = news[f.key]
+        value = f.write(new["new_value"]).try_cast(objects.schema[f.column].dataType)
+        replaced[f.column] = F.when(new.isNotNull(), value).otherwise(F.col(f.column))
     if prices:
+        repriced = F.lit(False)
+        for f in prices:
+            repriced = repriced | news[f.key].isNotNull()
         for name in ("min_price", "max_price"):
-            replaced[name] = F.when(F.col("__repriced"), F.col("__price")).otherwise(F.col(name))
+            replaced[name] = F.when(repriced, F.col("__price")).otherwise(F.col(name))
     return rows.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in objects.columns])

@@ -189,11 +189,8 @@ def completion_report(
         .groupBy(F.col("last_op_id").alias("id"))
         .agg(F.max_by(F.struct("name", "notify_email"), "id").alias("rule"))
     )
-    counts = (
-        log.join(done.select(F.col("id").alias("operation_id")), "operation_id", "left_semi")
-        .groupBy(F.col("operation_id").alias("id"))
-        .agg(*_count_statuses())
-    )
+    # Counted before the join, so that an operation owning much of the log is one row in it.
+    counts = log.groupBy(F.col("operation_id").alias("id")).agg(*_count_statuses())
     zero = F.lit(0).cast("bigint")
     return (
         done.join(by_operation, "id", "left")

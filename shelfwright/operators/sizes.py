@@ -1,0 +1,33 @@
+"""Choosing by size between a broadcast and a join in full."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def broadcast_limit(frame: DataFrame) -> int:
+    """The session's own bound on what may be broadcast; negative where it allows nothing."""
+    text = frame.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB").strip().lower()
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", text).groups()
+    return int(number) * _UNITS[unit]
+
+
+def is_small(frame: DataFrame) -> bool:
+    """Whether Spark's estimate of a frame, which for written tables is their size, may be
+    broadcast."""
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size) <= broadcast_limit(frame)
+
+
+def only_objects(table: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The rows of some objects where their ids are few enough to broadcast, and the whole table
+    otherwise. For tables that are joined to those objects next: the result is the same, but few
+    objects then cost a scan instead of a shuffle of everything."""
+    if ids is None or not is_small(ids.select("object_id")):
+        return table
+    return table.join(F.broadcast(ids.select("object_id").distinct()), "object_id", "left_semi")

@@ -87,7 +87,7 @@ def _settle(
     registry: FieldRegistry,
 ) -> DataFrame:
     """Outcome of undo targets that carry their parent's delta."""
-    wide, texts = read_fields(catalog, [registry.get(k) for k in fields])
+    wide, texts = read_fields(catalog, [registry.get(k) for k in fields], rows)
     rows = rows.join(wide, "object_id", "left")
     current, owned = _current(fields, registry, texts)
     usable = F.col("__delta").isNotNull() & owned
@@ -163,7 +163,7 @@ def _parent_deltas(log: DataFrame, parent_id: int) -> DataFrame:
 def _with_current(
     catalog: Catalog, rows: DataFrame, fields: Sequence[str], registry: FieldRegistry
 ) -> DataFrame:
-    wide, texts = read_fields(catalog, [registry.get(k) for k in fields])
+    wide, texts = read_fields(catalog, [registry.get(k) for k in fields], rows)
     current, _ = _current(fields, registry, texts)
     joined = rows.join(wide, "object_id", "left")
     return joined.withColumn("__current", F.when(F.col("__found"), current))

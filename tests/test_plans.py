@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from shelfwright.functions import formula as fm
 from shelfwright.operators import changes as ch
+from shelfwright.operators import undo
 from shelfwright.operators.actions import FormulaAction
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Condition, Filter
 from shelfwright.operators.resolve import resolve
+from shelfwright.operators.sizes import broadcast_limit, is_small
 from shelfwright.operators.skew import join_by_parent
 from shelfwright.plans.registry import QUERIES
 from shelfwright.schema import OBJECTS, Scope
-from shelfwright.sources.store import CatalogStore
+from shelfwright.sources.store import CatalogStore, snapshot
 from shelfwright.sources.synth import numbers, synth_catalog
 
 PATH = "/root/testdata/sf0.001"
@@ -160,3 +162,43 @@ def test_hot_object_shrinks_before_the_shuffle(spark, no_broadcast):
     text = plan(frame)
     assert text.index("partial_max") > text.index("Exchange")  # below the exchange, so before it
     assert frame.where("object_id = 8").count() == 1
+
+
+def test_large_and_small_change_sets_agree(spark, stored):
+    """Broadcasting a small change set and joining a large one in full give the same catalog."""
+    flt = Filter((Condition("meta:_brand", "=", "Acme"),))
+    changes = snapshot(ch.changeset(stored, flt, [COST_PLUS], 1, REGISTRY))
+    frozen = snapshot(ch.freeze(stored, flt, [COST_PLUS], 1, REGISTRY))
+
+    def outcome():
+        after = ch.apply_changes(stored, changes, ["regular_price"], REGISTRY)
+        undone = undo.revert_now(after, changes, 1, 2, ["regular_price"], "skip", REGISTRY)
+        derived = ch.derive(stored, frozen, [COST_PLUS], REGISTRY)
+        return [sorted(map(repr, f.collect())) for f in (after.meta, after.objects, undone, derived)]
+
+    assert is_small(changes)
+    small = outcome()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not is_small(changes)
+        assert outcome() == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_change_set_does_not_shuffle_the_catalog(spark, stored):
+    changes = snapshot(ch.changeset(stored, Filter((Condition("price", "<", 7),)), [COST_PLUS], 1, REGISTRY))
+    after = ch.apply_changes(stored, changes, ["regular_price"], REGISTRY)
+    assert changes.count() > 0
+    # Neither table is exchanged by hash on its way out; only the change set is broadcast.
+    final = after.objects.where("object_type = 'product'")
+    assert "SortMergeJoin" not in plan(final)
+    assert "BroadcastHashJoin" in plan(after.meta)
+
+
+def test_broadcast_limits(spark):
+    frame = spark.range(1)
+    for text, size in [("10MB", 10 << 20), ("-1", -1), ("1048576b", 1 << 20), ("1g", 1 << 30), ("512", 512)]:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
+        assert broadcast_limit(frame) == size
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
