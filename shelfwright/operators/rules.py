@@ -22,11 +22,13 @@ def recent_rules(rules: DataFrame, limit: int = 100) -> DataFrame:
     return rules.orderBy(F.desc("id")).limit(max(1, limit))
 
 
-def advance(rules: DataFrame, now: datetime) -> DataFrame:
-    """Rules after having run at ``now``: rescheduled strictly later, or completed when they do
-    not recur, in which case they keep the time they had."""
+def advance(rules: DataFrame, now: datetime, operation_id: int | None = None) -> DataFrame:
+    """Rules after having run at ``now``, as an operation if one is named: rescheduled strictly
+    later, or completed when they do not recur, in which case they keep the time they had."""
     at = instant(now)
     following = next_run(F.col("recurrence"), F.col("next_run"), at)
+    if operation_id is not None:
+        rules = rules.withColumn("last_op_id", F.lit(operation_id).cast("bigint"))
     return rules.withColumn("__next", following).select(
         *[c for c in rules.columns if c not in ("status", "next_run", "last_run")],
         F.when(F.col("__next").isNull(), "completed").otherwise("active").alias("status"),

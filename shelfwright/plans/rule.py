@@ -3,6 +3,7 @@ to match since the last run are picked up."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
@@ -18,6 +19,14 @@ from shelfwright.plans.operation import Outcome, run_operation
 from shelfwright.sources.store import ChangeLog
 
 
+@dataclass(frozen=True)
+class RuleRun:
+    """A rule that has run, and what came of it. ``rules.advance`` reschedules the rule."""
+
+    rule: Row
+    outcome: Outcome
+
+
 def rule_changeset(catalog: Catalog, rule: Row, operation_id: int, registry: FieldRegistry) -> DataFrame:
     """The change set of one run of a rule."""
     return changeset(
@@ -42,7 +51,7 @@ def run_next_due(
     operation_id: int,
     registry: FieldRegistry,
     log: ChangeLog,
-) -> Outcome | None:
+) -> RuleRun | None:
     """Run the longest-waiting rule, unless another operation is active. Rules run one at a time
     because each must see what the one before has written."""
     if active_operation(operations).first() is not None:
@@ -52,4 +61,4 @@ def run_next_due(
         return None
     flt = Filter.from_json(rule["filter_json"])
     actions = actions_from_json(rule["actions_json"])
-    return run_operation(catalog, flt, actions, operation_id, registry, log)
+    return RuleRun(rule, run_operation(catalog, flt, actions, operation_id, registry, log))

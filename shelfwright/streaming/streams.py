@@ -72,10 +72,10 @@ def admit_once(events: DataFrame, key: Sequence[str], event_time: str, delay: st
     """Change events without replays that arrive within the watermark. Replays beyond it are
     caught when changes are settled, which takes only pending rows.
 
-    A key that is replayed very often is first thinned out in several tasks by a salt; the second
-    pass then sees a bounded number of rows for it."""
+    A key that is replayed very often is first thinned out in several tasks, by the input split
+    its rows come from; the second pass then sees a bounded number of rows for it."""
     watched = events.withWatermark(event_time, delay)
-    salt = F.pmod(F.xxhash64(event_time), F.lit(SALT_BUCKETS))
+    salt = F.spark_partition_id() % SALT_BUCKETS
     thinned = watched.withColumn("__salt", salt).dropDuplicatesWithinWatermark([*key, "__salt"])
     return thinned.drop("__salt").dropDuplicatesWithinWatermark(list(key))
 

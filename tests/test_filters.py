@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from shelfwright.operators.fields import FieldRegistry
@@ -115,6 +117,23 @@ def test_variation_filters(shop, conditions, expected):
     assert ids(resolve(shop, flt)) == expected
 
 
+# Conditions above that say nothing, by their position.
+VOID = [i for i, (c, _) in enumerate(PRODUCT_CASES) if c and c[0][:2] in (
+    ("price", "contains"), ("stock_status", ">"), ("attribute:", "in"), ("meta:", "exists"), ("colour", "="))
+    or c in ([("price", "between", [10])], [("price", "in", [])], [("category", "in", [0, "x"])])]
+SINGLE = [i for i, (c, _) in enumerate(PRODUCT_CASES) if len(c) == 1]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_random_combinations(shop, seed):
+    """AND is the intersection and OR the union of what the conditions give alone."""
+    chosen = random.Random(seed).sample(SINGLE, 4)
+    conditions = tuple(Condition(*PRODUCT_CASES[i][0][0]) for i in chosen)
+    telling = [set(PRODUCT_CASES[i][1]) for i in chosen if i not in VOID] or [{1, 2, 3}]
+    assert set(ids(resolve(shop, Filter(conditions)))) == set.intersection(*telling)
+    assert set(ids(resolve(shop, Filter(conditions, "OR")))) == set.union(*telling)
+
+
 def test_or_relation(shop):
     tests = (Condition("price", "<", 20), Condition("meta:brand", "=", "Globex"), Condition("colour", "=", 1))
     assert ids(resolve(shop, Filter(tests, "or"))) == [1, 3]

@@ -195,10 +195,12 @@ def test_rules_pick_up_new_matches(spark, tmp_path):
     idle = spark.createDataFrame([operation(1)], OPERATIONS)
     log = ChangeLog(spark, str(tmp_path))
     first = run_next_due(s.catalog(), plans, idle, NOW, 10, REGISTRY, log)
-    assert meta_of(first.catalog, "_regular_price") == {1: "9", 2: "5"}
+    assert meta_of(first.outcome.catalog, "_regular_price") == {1: "9", 2: "5"}
+    moved = rules.advance(plans.where(F.col("id") == first.rule["id"]), NOW, 10).first()
+    assert moved["last_op_id"] == 10 and moved["status"] == "active"
     s.product(3, "70")
     second = run_next_due(s.catalog(), plans, idle, NOW, 11, REGISTRY, log)
-    assert sorted(r.object_id for r in second.changes.collect()) == [1, 3]
+    assert sorted(r.object_id for r in second.outcome.changes.collect()) == [1, 3]
     busy = spark.createDataFrame([operation(1, "running")], OPERATIONS)
     assert run_next_due(s.catalog(), plans, busy, NOW, 12, REGISTRY, log) is None
     assert run_next_due(s.catalog(), plans, idle, NOW - timedelta(days=9), 12, REGISTRY, log) is None

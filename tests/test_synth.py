@@ -3,13 +3,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwright.functions import formula as fm
-from shelfwright.operators.actions import FormulaAction
+from shelfwright.operators.actions import FormulaAction, SetValue
 from shelfwright.operators.changes import preview
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Condition, Filter
 from shelfwright.operators.resolve import count_matches
+from shelfwright.plans.operation import run_operation, run_undo
 from shelfwright.schema import Scope
 from shelfwright.sources.star import term_id
+from shelfwright.sources.store import ChangeLog
 from shelfwright.sources.synth import MARKER, SIZES, drop_marked, numbers, synth_catalog
 from tests.shop import Shop, ids
 
@@ -52,3 +54,24 @@ def test_drop_marked(spark):
     s.product(2, "10", categories=[5])
     kept = drop_marked(s.catalog())
     assert ids(kept.objects) == [2] and ids(kept.meta) == [2] and ids(kept.object_terms) == [2]
+
+
+def test_change_and_undo_leave_the_catalog_as_it_was(spark, tmp_path):
+    catalog = synth_catalog(numbers(spark, 300), 20)
+    registry, log = FieldRegistry(), ChangeLog(spark, str(tmp_path))
+    actions = [
+        FormulaAction("regular_price", fm.roundto(fm.var("cost") * 1.35, 0.99)),
+        FormulaAction("stock_quantity", fm.var("stock") + 1),
+        SetValue("meta:_brand", "New"),
+    ]
+    for op, scope in ((1, Scope.PRODUCT), (3, Scope.VARIATION)):
+        flt = Filter((Condition("stock_quantity", ">", 0),), scope=scope)
+        counts = preview(catalog, flt, actions, registry).first()
+        run = run_operation(catalog, flt, actions, op, registry, log)
+        assert run.changes.count() == counts["applicable"] * len(actions) > 0
+        assert run.catalog.meta.exceptAll(catalog.meta).count() > 0
+        back = run_undo(run.catalog, run, op, op + 1, "skip", registry, log)
+        assert back.changes.where("status = 1").count() == run.changes.where("status = 1").count()
+        for name in ("objects", "meta"):
+            before, after = getattr(catalog, name), getattr(back.catalog, name)
+            assert before.exceptAll(after).count() == 0 and after.exceptAll(before).count() == 0
