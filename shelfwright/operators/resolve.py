@@ -18,11 +18,13 @@ from shelfwright.catalog import Catalog
 from shelfwright.functions.numbers import decimal_prefix, literal_decimal, literal_int, literal_text
 from shelfwright.operators.fields import META_PREFIX, Field
 from shelfwright.operators.filters import Condition, Filter, Operator
+from shelfwright.operators.sizes import only_objects
 from shelfwright.operators.skew import join_by_parent
 from shelfwright.schema import Scope
 
 ATTRIBUTE_PREFIX = "attribute:"
 ATTRIBUTE_META_PREFIX = "attribute_"
+OWN_COLUMNS = ("price", "stock_quantity", "stock_status", "sku")
 
 _COMPARE = {
     Operator.EQUALS: lambda a, b: a == b,
@@ -74,11 +76,13 @@ class Facts:
         self._wanted.append(wanted)
         return F.col(name)
 
-    def frame(self, key: str = "object_id") -> DataFrame | None:
+    def frame(self, key: str = "object_id", targets: DataFrame | None = None) -> DataFrame | None:
+        """The facts, or None if there are none to gather. ``targets`` are the objects they will
+        be joined to, where the caller knows them."""
         if not self._aggregates:
             return None
         wanted = reduce(lambda a, b: a | b, self._wanted)
-        rows = self._table.where(wanted)
+        rows = only_objects(self._table.where(wanted), targets)
         return rows.groupBy(F.col("object_id").alias(key)).agg(*self._aggregates)
 
 
@@ -96,7 +100,11 @@ class Matcher:
         self._in_scope = (F.col("object_type") == self._scope.value) & (F.col("status") == "publish")
         # Products that leave pricing to their variations have no price of their own.
         self._priced = self._has_meta("_regular_price") if self._scope is Scope.PRODUCT else None
-        self._predicate = self._combine([t for t in map(self._test, flt.conditions) if t is not None])
+        tests = [(c, self._test(c)) for c in flt.conditions]
+        tests = [(c, t) for c, t in tests if t is not None]
+        self._predicate = self._combine([t for _, t in tests])
+        # Under AND, what the objects themselves decide is settled before anything is joined.
+        self._own_columns = [t for c, t in tests if c.field in OWN_COLUMNS and flt.relation == "AND"]
 
     def present(self, field: Field) -> Column:
         """True where the object carries a non-empty value for a field."""
@@ -111,7 +119,9 @@ class Matcher:
 
     def frame(self) -> DataFrame:
         rows = self._catalog.objects.where(self._in_scope)
-        meta = self._meta.frame()
+        for test in self._own_columns:
+            rows = rows.where(test)
+        meta = self._meta.frame(targets=rows)
         if meta is not None:
             rows = rows.join(meta, "object_id", "left")
         if self._scope is Scope.VARIATION:
@@ -120,7 +130,7 @@ class Matcher:
             if terms is not None:
                 rows = join_by_parent(rows, terms, "left")
         else:
-            terms = self._terms.frame()
+            terms = self._terms.frame(targets=rows)
             if terms is not None:
                 rows = rows.join(terms, "object_id", "left")
         if self._priced is not None:

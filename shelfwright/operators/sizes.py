@@ -30,4 +30,4 @@ def only_objects(table: DataFrame, ids: DataFrame | None) -> DataFrame:
     objects then cost a scan instead of a shuffle of everything."""
     if ids is None or not is_small(ids.select("object_id")):
         return table
-    return table.join(F.broadcast(ids.select("object_id").distinct()), "object_id", "left_semi")
+    return table.join(F.broadcast(ids.select("object_id")), "object_id", "left_semi")
