@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import mixing, oracle, quality, sharding
+from shelfwright.llm import bktree, langmask, mixing, oracle, packing, quality, runindex, sharding
 from shelfwright.llm.common import count_words, load
 
 #: Bytes of text in a shard.
@@ -26,10 +27,32 @@ def extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(load(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), SHARD_BYTES)
 
 
+def run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runindex.dedupe(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmask.predict(load(spark, sf_dir, "documents"))
+
+
+def bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bktree.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_quality_rules": quality_rules,
     "op4_water_filling": water_filling,
+    "op5_run_length_index": run_length_index,
+    "op6_best_fit_packing": best_fit_packing,
     "op7_extendible_hashing": extendible_hashing,
+    "op9_language_filters": language_filters,
+    "op10_bk_trees": bk_trees,
 }
 
 ORACLES = oracle.ORACLES
