@@ -81,7 +81,8 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2, 1), sha
         .filter((F.col("_before") <= F.col("_part")) & (F.col("_part") < F.col("_before") + F.col("_words")))
         .select(F.col("_source").alias("_s"), F.col("_range").alias("_end"), (F.col("_part") - F.col("_before")).alias("_left"))
     )
-    plan = plan.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    # Written, so that its size is known: a row per source is sent to all tasks while it is small, and no source meets in one.
+    plan = snapshot(plan.join(ends, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s"), "plan")
     joined = sizes.withColumn("_range", at).join(plan, F.col("source").eqNullSafe(F.col("_source")), "left")
     inside = Window.partitionBy("source").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = (
