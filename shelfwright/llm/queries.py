@@ -6,13 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import bktree, langmask, mixing, oracle, packing, quality, runindex, sharding
-from shelfwright.llm.common import count_words, load
+from shelfwright.llm import bktree, cross_polytope, langmask, mixing, oracle, packing, prefix_tree, quality, runindex, sharding
+from shelfwright.llm.common import count_words, load, snapshot
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
 
 
+def chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    conversations = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    trees = prefix_tree.build(conversations, tokenizer)
+    read = snapshot(prefix_tree.read_back(trees, tokenizer), "read")
+    return trees.members.join(read.withColumnRenamed("branch", "_b"), F.col("branch") == F.col("_b")).select("conv_id", *[c for c in read.columns if c != "branch"])
+
+
+def cross_polytopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality.rate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), ["doc_id", "lang"])
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -46,6 +60,8 @@ def bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_trees": chat_trees,
+    "op2_cross_polytopes": cross_polytopes,
     "op3_quality_rules": quality_rules,
     "op4_water_filling": water_filling,
     "op5_run_length_index": run_length_index,
