@@ -138,19 +138,19 @@ def repeated_cores(docs: DataFrame) -> DataFrame:
 
 
 def _sketch(cores: DataFrame) -> np.ndarray:
-    """A bit per hash; at most SKETCH_BITS / 8 bytes reach the driver."""
+    """A bit per hash, in bytes. Tasks make the parts, so SKETCH_BITS / 8 bytes are all that reaches the driver."""
+    width = 1 << 16
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(SKETCH_BITS // 8, np.uint8)
-        for batch in batches:
-            at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(SKETCH_BITS)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-        used = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].astype(np.int16))], ["at", "bits"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(width, np.uint8)
+        bits[pdf["slot"].to_numpy() % width] = 1
+        return pd.DataFrame({"part": pdf["slot"].iloc[:1] // width, "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    frame = cores.mapInArrow(run, "at long, bits short").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    slot = F.col("h").bitwiseAND(F.lit(SKETCH_BITS - 1).cast("long"))
+    parts = cores.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / width)).applyInPandas(run, "part long, bits binary").collect()
     out = np.zeros(SKETCH_BITS // 8, np.uint8)
-    out[frame["at"].to_numpy()] = frame["bits"].to_numpy()
+    for part, bits in parts:
+        out[part * width // 8 : (part + 1) * width // 8] = np.frombuffer(bits, np.uint8)
     return out
 
 
