@@ -1,25 +1,71 @@
-"""The corpus pipeline: stages from documents to packed training sequences."""
+"""The corpus pipeline: stages from documents to packed training sequences.
+
+Each stage takes what its predecessor kept, decides over all of it, and its decisions take effect; all but the last give
+rows of the columns of documents. ``doc_id`` is taken to name a document, as in the given table; rows that share an id
+share the decisions about it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import quality
-from shelfwright.llm.common import load, snapshot
+from shelfwright.llm import bktree, mixing, packing, quality, runindex
+from shelfwright.llm.common import count_words, load, snapshot
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose id is (left_semi) or is not (left_anti) among the ids; null is an id like any other."""
+    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), how)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the risk-controlled rules keep."""
+    """Documents that neither the base rules nor the risk-controlled rules reject."""
     rated = quality.rate(docs, load(spark, sf_dir, "labels"), ["doc_id", "lang"])
-    rejected = rated.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return _only(docs, snapshot(rated.filter(~F.col("kept")).select("doc_id"), "rejected"), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of linked fingerprints: the one with the smallest id."""
+    found = bktree.near_duplicates(docs)
+    return _only(docs, snapshot(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "copies"), "left_anti")
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that also start earlier in the corpus. A cut inside a character drops what is left of it; a
+    document of which nothing is left goes, one that was empty stays."""
+    found = runindex.dedupe(docs).filter("n_removed > 0").select("doc_id", "digest", "kept")
+    found = snapshot(found.dropDuplicates(["doc_id", "digest"]).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), "kept")
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left")
+    cut = F.col("_digest").isNotNull()
+    text = F.when(cut, F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), F.lit("�"), F.lit(""))).otherwise(F.col("text"))
+    out = joined.withColumn("text", text).filter(~cut | (F.length("text") > 0))
+    return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture takes it; the one at which a source's target is met is cut there."""
+    mixed = mixing.mix(docs, count_words(F.col("text")))
+    return mixing.repeat_rows(docs, mixed).select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_strings", repeated_strings),
+    ("source_mixture", source_mixture),
+    ("packed_sequences", packed_sequences),
 ]
 
 #: Fingerprints, index marks and tokens are not for SQL: tests/llm holds the stages against brute force.

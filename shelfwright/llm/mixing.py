@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfwright.llm.common import snapshot
+from shelfwright.llm.common import count_words, snapshot
 
 #: Hash ranges of a source. Only the range in which the fraction ends has its documents put in order.
 RANGES = 1 << 16
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def seeded(doc_id: Column, seed: int) -> Column:
@@ -106,18 +107,20 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = (5, 2, 1), sha
 def repeat_rows(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
     """The mixture itself: every row of ``docs`` as often as the mix takes it, the last time cut after the words taken.
 
-    ``docs`` must have one row per id and a ``size`` column; n_chars, if there, is counted anew."""
-    taken = mixed.select(F.col("doc_id").alias("_id"), F.col("taken").alias("_taken"))
-    whole = F.when(F.col("size") > 0, F.floor(F.col("_taken") / F.col("size"))).otherwise(0).cast("int")
-    rest = F.when(F.col("size") > 0, F.col("_taken") % F.col("size")).otherwise(0).cast("int")
-    times = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_rest") > 0, F.array(F.col("_rest"))).otherwise(F.array().cast("array<int>")))
-    trimmed = F.btrim(F.col(text), F.lit(" \t\n\x0b\f\r"))
+    Rows of one id share what the mix takes of the id, row by row, if they share its size too. Rows without words are
+    not part of a mixture of words and go. n_chars, if there, is counted anew where a text is cut."""
+    taken = mixed.filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
+    trimmed = F.btrim(F.col(text), F.lit(_BLANKS))
     beyond = F.element_at(F.split(trimmed, r"[\x20\x09-\x0D]+", F.col("_cut") + 1), -1)
-    first = F.btrim(F.left(trimmed, F.length(trimmed) - F.length(beyond)), F.lit(" \t\n\x0b\f\r"))
+    first = F.btrim(F.left(trimmed, F.length(trimmed) - F.length(beyond)), F.lit(_BLANKS))
+    times = F.array_repeat(F.lit(0), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
+    rest = (F.col("_taken") % F.col("_size")).cast("int")
     out = (
-        docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .withColumns({"_whole": whole, "_rest": rest})
-        .withColumn("_cut", F.explode(times))
+        docs.withColumn("_words", count_words(F.col(text)))
+        .join(snapshot(taken, "taken"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+        .withColumn("_cut", F.explode(F.when(rest > 0, F.concat(times, F.array(rest))).otherwise(times)))
         .withColumn(text, F.when(F.col("_cut") == 0, F.col(text)).otherwise(first))
     )
-    return (out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out).drop("_id", "_taken", "_whole", "_rest", "_cut")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_cut") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long")))
+    return out.select(*docs.columns)

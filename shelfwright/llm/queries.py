@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import bktree, cross_polytope, langmask, mixing, oracle, packing, prefix_tree, quality, runindex, sharding
+from shelfwright.llm import bktree, context_mixing, cross_polytope, langmask, mixing, oracle, packing, prefix_tree, quality, runindex, sharding
 from shelfwright.llm.common import count_words, load, snapshot
 
 #: Bytes of text in a shard.
@@ -50,6 +50,10 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def context_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(load(spark, sf_dir, "documents"))
+
+
 def language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmask.predict(load(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op5_run_length_index": run_length_index,
     "op6_best_fit_packing": best_fit_packing,
     "op7_extendible_hashing": extendible_hashing,
+    "op8_context_mixing": context_mixing_scores,
     "op9_language_filters": language_filters,
     "op10_bk_trees": bk_trees,
 }
