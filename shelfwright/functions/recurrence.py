@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfwright.schema import Recurrence
 
-# Period lengths, and the number of periods after which catching up stops.
+# Period lengths.
 PERIOD_SECONDS = {Recurrence.HOURLY: 3600, Recurrence.DAILY: 86400, Recurrence.WEEKLY: 604800}
-MAX_PERIODS = 100_001
+# A day after the 28th is lost at the next February too short for it, which takes eight years at most.
+MONTHS_TO_FEBRUARY = 97
 
 
 def add_month(t: Column) -> Column:
@@ -25,7 +26,7 @@ def next_run(recurrence: Column, start: Column, now: Column) -> Column:
     fixed = F.lit(None).cast("timestamp")
     for period, seconds in PERIOD_SECONDS.items():
         micros = F.lit(seconds * 1_000_000)
-        periods = F.least(F.greatest(F.floor(elapsed / micros) + 1, F.lit(1)), F.lit(MAX_PERIODS))
+        periods = F.greatest(F.floor(elapsed / micros) + 1, F.lit(1))
         fixed = F.when(
             recurrence == period.value,
             F.timestamp_micros((F.unix_micros(start) + periods * micros).cast("bigint")),
@@ -34,15 +35,22 @@ def next_run(recurrence: Column, start: Column, now: Column) -> Column:
 
 
 def _next_month(start: Column, now: Column) -> Column:
-    # Overflowing days persist (31 Jan, 3 Mar, 3 Apr), so months are added one at a time. Each
-    # step is at least 28 days, which bounds how many are needed.
-    bound = F.greatest(F.floor(F.date_diff(now, start) / 28).cast("int") + 2, F.lit(1))
-    steps = F.sequence(F.lit(1), F.least(bound, F.lit(MAX_PERIODS - 1)))
-    return F.aggregate(
-        steps,
+    # Overflowing days persist (31 Jan, 3 Mar, 3 Apr), so months are added one at a time while the day can
+    # overflow, and from then on in one step.
+    late = F.aggregate(
+        F.sequence(F.lit(1), F.lit(MONTHS_TO_FEBRUARY)),
         add_month(start),
-        lambda t, _: F.when(t <= now, add_month(t)).otherwise(t),
+        lambda t, _: F.when((t <= now) & (F.day(t) > 28), add_month(t)).otherwise(t),
     )
+    first = F.when(F.day(start) > 28, late).otherwise(add_month(start))
+    return F.get(F.transform(F.array(first), lambda t: F.when(t > now, t).otherwise(_months_later(t, now))), F.lit(0))
+
+
+def _months_later(t: Column, now: Column) -> Column:
+    """The first whole number of months after ``t``, whose day every month has, that lies after ``now``."""
+    months = ((F.year(now) - F.year(t)) * 12 + F.month(now) - F.month(t)).cast("int")
+    this_month = t + F.make_ym_interval(F.lit(0), months)
+    return F.when(this_month > now, this_month).otherwise(t + F.make_ym_interval(F.lit(0), months + 1))
 
 
 def start_time(text: Column, now: Column) -> Column:

@@ -18,7 +18,6 @@ from shelfwright.operators.actions import Action, FormulaAction, check_actions,
 from shelfwright.operators.fields import PRICE_FIELDS, PRICE_META_KEYS, Field, FieldRegistry, unique
 from shelfwright.operators.filters import Filter
 from shelfwright.operators.resolve import Facts, Matcher, all_of
-from shelfwright.operators.sizes import only_objects
 from shelfwright.schema import CHANGE_COLUMNS, CHANGE_KEY, PRICE_TYPE, ChangeStatus
 
 
@@ -156,13 +155,18 @@ def read_fields(
 ) -> tuple[DataFrame, dict[str, Column]]:
     """Current values of some fields, one row per object, as columns to be read after a join with
     ``targets``. ``__found`` tells an object without values from no object."""
-    facts = Facts(only_objects(catalog.meta, targets), "meta_key", "__v")
+    ids = None if targets is None else targets.select("object_id")
+
+    def of_targets(table: DataFrame) -> DataFrame:
+        return table if ids is None else table.join(ids, "object_id", "left_semi")
+
+    facts = Facts(of_targets(catalog.meta), "meta_key", "__v")
     columns = {f.column for f in fields if f.column is not None}
     texts = {
         f.key: f.read(facts.value(f.meta_key) if f.meta_key is not None else F.col(f"__c_{f.column}"))
         for f in fields
     }
-    wide = only_objects(catalog.objects, targets).select(
+    wide = of_targets(catalog.objects).select(
         "object_id",
         F.lit(True).alias("__found"),
         *[F.col(c).alias(f"__c_{c}") for c in sorted(columns)],
@@ -196,6 +200,8 @@ def _evaluate(
             new = number_text(F.col(f"__number{i}"))
         else:
             new = action.new_text(registry, staged)
+        # The log records what the catalog will hold.
+        new = field.hold(new)
         if pending is not None:
             new = F.when(pending[i], new)
         rows = rows.withColumns({f"__old{i}": staged[field.key], f"__new{i}": new})
@@ -249,7 +255,9 @@ def apply_changes(
 ) -> Catalog:
     """A new catalog version with the applied rows of a change set in place. ``fields`` names
     what the operation can have changed: metadata under other keys passes through without a join,
-    and objects are joined only with the (usually few) changed ones."""
+    and objects are joined only with the (usually few) changed ones.
+
+    ``changes`` is read several times: pass a written change set (``ChangeLog``, ``snapshot``), or it is computed as often."""
     targets = [registry.get(k) for k in fields]
     applied = changes.where(F.col("status") == int(ChangeStatus.APPLIED))
     meta, objects = catalog.meta, catalog.objects
@@ -313,7 +321,7 @@ def _rewritten_objects(
         changed = applied.groupBy("object_id").agg(*[c.alias(f"__set{i}") for i, c in enumerate(latest)])
     if prices:
         # The lookup price follows the price fields: the sale price while it is lower.
-        stored = Facts(only_objects(catalog.meta, applied), "meta_key", "__p")
+        stored = Facts(catalog.meta.join(applied.select("object_id"), "object_id", "left_semi"), "meta_key", "__p")
         texts = {}
         for name, key in zip(PRICE_FIELDS, PRICE_META_KEYS):
             texts[name] = stored.value(key)
@@ -321,7 +329,7 @@ def _rewritten_objects(
             new = news[f.key]
             texts[f.key] = F.when(new.isNotNull(), f.write(new["new_value"])).otherwise(texts[f.key])
         regular, sale = (numeric(texts[name]) for name in PRICE_FIELDS)
-        price = F.when(sale < regular, sale).otherwise(regular).cast(PRICE_TYPE)
+        price = F.when(sale < regular, sale).otherwise(regular).try_cast(PRICE_TYPE)
         changed = changed.join(stored.frame(), "object_id", "left").withColumn("__price", price)
     rows = objects.join(changed, "object_id", "left")
     replaced: dict[str, Column] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,25 +12,22 @@ from shelfwright.functions.text import decode_entities, is_user_key
 from shelfwright.operators.fields import META_PREFIX, FieldRegistry
 from shelfwright.operators.resolve import ATTRIBUTE_PREFIX
 
-# Fixed value: how many distinct keys or brands are offered.
-SCAN_LIMIT = 500
-
 
-def meta_keys(catalog: Catalog) -> DataFrame:
-    """User-facing metadata keys. The limit comes before internal keys are taken out."""
-    keys = catalog.meta.where(F.col("meta_key") != "").select("meta_key").distinct()
-    return keys.orderBy("meta_key").limit(SCAN_LIMIT).where(is_user_key(F.col("meta_key")))
+def meta_keys(catalog: Catalog, limit: int | None = None) -> DataFrame:
+    """User-facing metadata keys; the first ``limit`` of them by name if that is given."""
+    keys = catalog.meta.where((F.col("meta_key") != "") & is_user_key(F.col("meta_key"))).select("meta_key").distinct()
+    return keys if limit is None else keys.orderBy("meta_key").limit(limit)
 
 
-def brands(catalog: Catalog, registry: FieldRegistry) -> DataFrame:
+def brands(catalog: Catalog, registry: FieldRegistry, limit: int | None = None) -> DataFrame:
+    """The brands in use; the first ``limit`` of them by name if that is given."""
     key = registry.brand_meta_key
     values = (
         catalog.meta.where((F.col("meta_key") == key) & (F.col("meta_value") != ""))
         .select(F.col("meta_value").alias("brand"))
         .distinct()
-        .orderBy("brand")
-        .limit(SCAN_LIMIT)
     )
+    values = values if limit is None else values.orderBy("brand").limit(limit)
     return values.select(F.lit(META_PREFIX + key).alias("field"), "brand")
 
 
@@ -63,19 +62,28 @@ def attribute_terms(catalog: Catalog, prefix: str = "pa_") -> DataFrame:
     )
 
 
-def attributes(catalog: Catalog, prefix: str = "pa_") -> DataFrame:
-    """Attributes with their terms nested by name; an attribute without terms does not appear.
-    One attribute's terms are one value here; ``attribute_terms`` has them as rows."""
+def attributes(catalog: Catalog, prefix: str = "pa_", taxonomies: Sequence[str] | None = None) -> DataFrame:
+    """Attributes with their terms nested by name; an attribute without terms does not appear. The label is the
+    taxonomy's name without prefix, in words.
+
+    One attribute's terms are one value here, so name the ``taxonomies`` of a page where attributes may have many;
+    ``attribute_terms`` has the terms as rows."""
+    rows = attribute_terms(catalog, prefix)
+    if taxonomies is not None:
+        rows = rows.where(F.col("taxonomy").isin(*taxonomies))
+    words = F.translate(F.substring("taxonomy", len(prefix) + 1, F.length("taxonomy")), "_-", "  ")
+    label = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, F.length(words)))
     terms = F.array_sort(F.collect_list(F.struct("name", "term_id", "slug")))
     return (
-        attribute_terms(catalog, prefix)
-        .groupBy("field", "taxonomy")
+        rows.groupBy("field", "taxonomy")
         .agg(terms.alias("terms"))
-        .withColumn(
-            "terms",
-            F.transform(
-                "terms",
-                lambda t: F.struct(t["term_id"].alias("term_id"), t["slug"].alias("slug"), t["name"].alias("name")),
-            ),
+        .withColumns(
+            {
+                "label": label,
+                "terms": F.transform(
+                    "terms",
+                    lambda t: F.struct(t["term_id"].alias("term_id"), t["slug"].alias("slug"), t["name"].alias("name")),
+                ),
+            }
         )
     )

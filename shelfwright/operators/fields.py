@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwright.functions.numbers import is_numeric, numeric
+from shelfwright.schema import PRICE_TYPE
+
 META_PREFIX = "meta:"
 POST_FIELD = "post_field"
 META = "meta"
@@ -31,6 +34,8 @@ class Field:
     meta_key: str | None = None
     reader: Callable[[Column], Column] | None = None
     writer: Callable[[Column], Column] | None = None
+    # The text as the field can hold it; null where it cannot hold it at all.
+    holder: Callable[[Column], Column] | None = None
 
     def read(self, stored: Column) -> Column:
         """The field's text: an absent metadata key reads as '', an empty column as null."""
@@ -39,20 +44,41 @@ class Field:
             text = F.coalesce(text, F.lit(""))
         return self.reader(text) if self.reader else text
 
+    def hold(self, value: Column) -> Column:
+        """A new value as it will be read back once stored. Where this is null, the value is not set."""
+        return self.holder(value) if self.holder else value
+
     def write(self, value: Column) -> Column:
         """The text to store; metadata has no null, so null is stored as ''."""
         stored = self.writer(value) if self.writer else value
         return F.coalesce(stored, F.lit("")) if self.meta_key is not None else stored
 
 
-def _core(key: str, label: str, column: str | None = None, meta_key: str | None = None) -> Field:
-    return Field(key, label, POST_FIELD, key, column=column, meta_key=meta_key)
+def _core(
+    key: str,
+    label: str,
+    column: str | None = None,
+    meta_key: str | None = None,
+    holder: Callable[[Column], Column] | None = None,
+) -> Field:
+    return Field(key, label, POST_FIELD, key, column=column, meta_key=meta_key, holder=holder)
+
+
+def _whole_number(value: Column) -> Column:
+    """A number cut to an integer, as text; null for anything else."""
+    return F.when(is_numeric(value), F.trim(value)).try_cast("decimal(38,10)").try_cast("bigint").cast("string")
+
+
+def _price(value: Column) -> Column:
+    """Any text but a number too large for the lookup prices."""
+    fits = ~is_numeric(value) | numeric(value).try_cast(PRICE_TYPE).isNotNull()
+    return F.when(fits, value)
 
 
 CORE_FIELDS = (
-    _core("regular_price", "Regular price", meta_key="_regular_price"),
-    _core("sale_price", "Sale price", meta_key="_sale_price"),
-    _core("stock_quantity", "Stock quantity", column="stock_quantity"),
+    _core("regular_price", "Regular price", meta_key="_regular_price", holder=_price),
+    _core("sale_price", "Sale price", meta_key="_sale_price", holder=_price),
+    _core("stock_quantity", "Stock quantity", column="stock_quantity", holder=_whole_number),
     _core("stock_status", "Stock status", column="stock_status"),
     _core("weight", "Weight", meta_key="_weight"),
     _core("name", "Name", column="title"),

@@ -14,19 +14,9 @@ from shelfwright.schema import (
     ChangeStatus,
 )
 
-# Retention bounds in days, and how long a run may be silent.
+# How many days the log is kept unless told otherwise, and how long a run may be silent.
 DEFAULT_RETENTION_DAYS = 30
-MIN_RETENTION_DAYS = 7
-MAX_RETENTION_DAYS = 180
 STALL_MINUTES = 10
-MAX_PURGE = 100
-
-MAX_BROADCAST_IDS = 100_000
-
-
-def _small(rows: DataFrame, limit: int) -> DataFrame:
-    """Mark a frame of at most ``limit`` ids for broadcast; past the bound Spark decides by size."""
-    return F.broadcast(rows) if limit <= MAX_BROADCAST_IDS else rows
 
 
 def _count_statuses() -> list[Column]:
@@ -121,7 +111,7 @@ def operation_history(operations: DataFrame, users: DataFrame, limit: int = 20)
     columns user_id and display_name."""
     recent = recent_operations(operations, limit)
     # Users are cut down to the owners on the page before they are joined to it.
-    owners = _small(recent.select("user_id").where("user_id > 0").distinct(), limit)
+    owners = recent.select("user_id").where("user_id > 0").distinct()
     names = users.join(owners, "user_id", "left_semi")
     return (
         recent.join(names, "user_id", "left")
@@ -189,8 +179,10 @@ def completion_report(
         .groupBy(F.col("last_op_id").alias("id"))
         .agg(F.max_by(F.struct("name", "notify_email"), "id").alias("rule"))
     )
-    # Counted before the join, so that an operation owning much of the log is one row in it.
-    counts = log.groupBy(F.col("operation_id").alias("id")).agg(*_count_statuses())
+    # Only rows of the operations reported on are counted. The log is on the left of the join, where the rows of an
+    # operation that owns much of it can be split; and it is counted before the next join.
+    reported = log.join(done.select(F.col("id").alias("operation_id")), "operation_id", "left_semi")
+    counts = reported.groupBy(F.col("operation_id").alias("id")).agg(*_count_statuses())
     zero = F.lit(0).cast("bigint")
     return (
         done.join(by_operation, "id", "left")
@@ -210,30 +202,30 @@ def completion_report(
     )
 
 
-def retention_days(days: int = DEFAULT_RETENTION_DAYS) -> int:
-    return max(MIN_RETENTION_DAYS, min(MAX_RETENTION_DAYS, days))
+def retention_cutoff(now: datetime, days: int = DEFAULT_RETENTION_DAYS) -> datetime:
+    if days < 1:
+        raise ValueError("changes are kept for a day at least")
+    return now - timedelta(days=days)
 
 
-def retention_cutoff(now: datetime, days: int = DEFAULT_RETENTION_DAYS) -> datetime:
-    return now - timedelta(days=retention_days(days))
+def _expired(operations: DataFrame, cutoff: datetime) -> DataFrame:
+    return operations.where(F.col("completed_at") < instant(cutoff)).select(F.col("id").alias("operation_id"))
 
 
 def expired_operations(
-    operations: DataFrame, log: DataFrame, cutoff: datetime, max_operations: int = MAX_PURGE
+    operations: DataFrame, log: DataFrame, cutoff: datetime, max_operations: int | None = None
 ) -> DataFrame:
-    """The oldest operations whose changes have outlived retention, with their row counts.
+    """The operations whose changes have outlived retention, with their row counts; only the oldest
+    ``max_operations`` of them if that is given.
 
-    Counting per operation comes first, so that an operation owning much of the log is one row by
-    the time it is joined."""
-    expired = operations.where(F.col("completed_at") < instant(cutoff)).select(
-        F.col("id").alias("operation_id")
-    )
-    rows = log.groupBy("operation_id").agg(F.count("*").alias("rows"))
-    return rows.join(expired, "operation_id", "left_semi").orderBy("operation_id").limit(max(1, max_operations))
+    Operations come first, so that only their rows of the log are counted."""
+    rows = log.join(_expired(operations, cutoff), "operation_id", "left_semi")
+    counted = rows.groupBy("operation_id").agg(F.count("*").alias("rows"))
+    return counted if max_operations is None else counted.orderBy("operation_id").limit(max(1, max_operations))
 
 
 def purge_counts(
-    operations: DataFrame, log: DataFrame, cutoff: datetime, max_operations: int = MAX_PURGE
+    operations: DataFrame, log: DataFrame, cutoff: datetime, max_operations: int | None = None
 ) -> DataFrame:
     return expired_operations(operations, log, cutoff, max_operations).agg(
         F.count("*").alias("operations"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")
@@ -241,8 +233,11 @@ def purge_counts(
 
 
 def survivors(
-    operations: DataFrame, log: DataFrame, cutoff: datetime, max_operations: int = MAX_PURGE
+    operations: DataFrame, log: DataFrame, cutoff: datetime, max_operations: int | None = None
 ) -> DataFrame:
-    """The change log after one purge; operations themselves are kept."""
-    gone = expired_operations(operations, log, cutoff, max_operations).select("operation_id")
-    return log.join(_small(gone, max_operations), "operation_id", "left_anti").select(*log.columns)
+    """The change log after one purge; operations themselves are kept. Without a limit the log is read once."""
+    if max_operations is None:
+        gone = _expired(operations, cutoff)
+    else:
+        gone = expired_operations(operations, log, cutoff, max_operations).select("operation_id")
+    return log.join(gone, "operation_id", "left_anti").select(*log.columns)

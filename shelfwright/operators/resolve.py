@@ -18,7 +18,6 @@ from shelfwright.catalog import Catalog
 from shelfwright.functions.numbers import decimal_prefix, literal_decimal, literal_int, literal_text
 from shelfwright.operators.fields import META_PREFIX, Field
 from shelfwright.operators.filters import Condition, Filter, Operator
-from shelfwright.operators.skew import join_by_parent
 from shelfwright.schema import Scope
 
 ATTRIBUTE_PREFIX = "attribute:"
@@ -118,7 +117,8 @@ class Matcher:
             # Term links sit on products; a variation has those of its parent.
             terms = self._terms.frame("parent_id")
             if terms is not None:
-                rows = join_by_parent(rows, terms, "left")
+                # Variations are on the left, where adaptive execution splits those of a hot parent.
+                rows = rows.join(terms, "parent_id", "left")
         else:
             terms = self._terms.frame()
             if terms is not None:

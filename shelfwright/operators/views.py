@@ -17,14 +17,15 @@ from shelfwright.functions.text import audit_name, page_name
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Filter
 from shelfwright.operators.resolve import ATTRIBUTE_META_PREFIX, Matcher
-from shelfwright.operators.skew import join_by_parent
 from shelfwright.schema import CHANGE_STATUS_LABELS, CHANGES, ChangeStatus, Scope
 
 MAX_PAGE = 200
 
 
-def _clamp(per_page: int) -> int:
-    return min(MAX_PAGE, max(1, per_page))
+def _page_size(per_page: int) -> int:
+    if not 1 <= per_page <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} rows, not {per_page}")
+    return per_page
 
 
 def attribute_summary(meta: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def catalog_page(
 ) -> DataFrame:
     """One page of matching objects by ascending id. ``after_id`` continues after the last id of
     the page before, at the same cost however deep the page; ``page`` counts from the start."""
-    size = _clamp(per_page)
+    size = _page_size(per_page)
     # Only ids are matched, shuffled and ordered; the columns shown are read for the page alone.
     matched = Matcher(catalog, flt).frame().select("object_id", "parent_id")
     if after_id is not None:
@@ -103,13 +104,13 @@ def status_label(status: Column) -> Column:
     return label
 
 
-def sku_matches(catalog: Catalog, sku: str) -> DataFrame:
-    """Objects whose own SKU contains a text, and children of parents whose SKU does."""
-    own = catalog.objects.where(F.col("sku").contains(sku)).select("object_id")
-    parents = own.select(F.col("object_id").alias("parent_id"))
-    owned = catalog.objects.where(F.col("parent_id") != 0)
-    children = join_by_parent(owned, parents, "left_semi").select("object_id")
-    return own.union(children).distinct()
+def sku_matches(catalog: Catalog, sku: str, ids: DataFrame | None = None) -> DataFrame:
+    """Objects whose own SKU contains a text, and children of parents whose SKU does; only those among ``ids`` if given."""
+    objects = catalog.objects.select("object_id", "parent_id", "sku")
+    own = objects if ids is None else objects.join(ids, "object_id", "left_semi")
+    parents = objects.where(F.col("sku").contains(sku)).select(F.col("object_id").alias("__parent"))
+    rows = own.join(parents, F.col("parent_id") == F.col("__parent"), "left")
+    return rows.where(F.col("sku").contains(sku) | F.col("__parent").isNotNull()).select("object_id")
 
 
 def audit_rows(
@@ -120,7 +121,7 @@ def audit_rows(
     if object_id > 0:
         rows = rows.where(F.col("object_id") == object_id)
     if sku.strip():
-        rows = rows.join(sku_matches(catalog, sku.strip()), "object_id", "left_semi")
+        rows = rows.join(sku_matches(catalog, sku.strip(), rows.select("object_id")), "object_id", "left_semi")
     return rows.select(*CHANGES.fieldNames())
 
 
@@ -138,12 +139,20 @@ def audit_page(
     per_page: int = 50,
     object_id: int = 0,
     sku: str = "",
+    after: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """One page of an operation's log with SKU, name and a status label for each row."""
-    size = _clamp(per_page)
+    """One page of an operation's log with SKU, name and a status label for each row. ``after``, the object id and
+    action of the last row of the page before, continues there at the same cost however deep; ``page`` counts
+    from the start."""
+    size = _page_size(per_page)
     rows = audit_rows(catalog, log, operation_id, object_id, sku)
-    rows = rows.orderBy("object_id", "action_ix").offset((max(1, page) - 1) * size).limit(size)
-    found = rows.collect()
+    if after is not None:
+        at, action = after
+        rows = rows.where((F.col("object_id") > at) | ((F.col("object_id") == at) & (F.col("action_ix") > action)))
+        rows = rows.orderBy("object_id", "action_ix")
+    else:
+        rows = rows.orderBy("object_id", "action_ix").offset((max(1, page) - 1) * size)
+    found = rows.limit(size).collect()
     changes = log.sparkSession.createDataFrame(found, CHANGES)
     who = identify(catalog, sorted({r["object_id"] for r in found}))
     return (

@@ -22,7 +22,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "sold": (
         (),
         """SELECT l_partkey, l_suppkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high,
-        sum(l_quantity) AS quantity FROM lineitem WHERE l_partkey % 4 = 0 GROUP BY l_partkey, l_suppkey""",
+        sum(l_quantity) AS quantity FROM lineitem GROUP BY l_partkey, l_suppkey""",
     ),
     "objects": (
         ("sold",),
@@ -234,7 +234,15 @@ ORACLES: dict[str, str] = {
     "scan_scope_variations": sql("variations", f"SELECT {_OBJECTS} FROM variations"),
     "drop_marked": sql(
         "meta",
-        f"SELECT * FROM meta WHERE object_id NOT IN (SELECT object_id FROM meta WHERE meta_key = '{MARKER_KEY}')",
+        f"SELECT m.* FROM meta m ANTI JOIN (SELECT object_id FROM meta WHERE meta_key = '{MARKER_KEY}') x ON m.object_id = x.object_id",
+    ),
+    "drop_marked_objects": sql(
+        "objects meta",
+        f"""SELECT {_OBJECTS} FROM objects o ANTI JOIN (SELECT object_id AS id FROM meta WHERE meta_key = '{MARKER_KEY}') x ON o.object_id = x.id""",
+    ),
+    "drop_marked_links": sql(
+        "object_terms meta",
+        f"SELECT t.* FROM object_terms t ANTI JOIN (SELECT object_id FROM meta WHERE meta_key = '{MARKER_KEY}') x ON t.object_id = x.object_id",
     ),
     "resolve_all_products": _products("true"),
     "filter_price_gt": _products("min_price > 950"),
@@ -562,32 +570,29 @@ ORACLES: dict[str, str] = {
     "retention_expired_ops": sql(
         "operations changes",
         """SELECT operation_id, count(*) AS rows FROM changes WHERE operation_id IN (
-          SELECT id FROM operations WHERE completed_at < TIMESTAMP '1998-01-01') GROUP BY operation_id
-        ORDER BY operation_id LIMIT 100""",
+          SELECT id FROM operations WHERE completed_at < TIMESTAMP '1998-01-01') GROUP BY operation_id""",
     ),
     "retention_purge_counts": sql(
         "operations changes",
         """SELECT count(*) AS operations, coalesce(sum(n), 0)::BIGINT AS rows FROM (
           SELECT operation_id, count(*) AS n FROM changes WHERE operation_id IN (
-            SELECT id FROM operations WHERE completed_at < TIMESTAMP '1998-01-01') GROUP BY operation_id
-          ORDER BY operation_id LIMIT 100)""",
+            SELECT id FROM operations WHERE completed_at < TIMESTAMP '1998-01-01') GROUP BY operation_id)""",
     ),
     "retention_survivors": sql(
         "operations changes",
         f"""SELECT {_LOG} FROM changes WHERE operation_id NOT IN (
-          SELECT DISTINCT c.operation_id FROM changes c JOIN operations o ON o.id = c.operation_id
-          WHERE completed_at < TIMESTAMP '1998-01-01' ORDER BY c.operation_id LIMIT 100)""",
+          SELECT id FROM operations WHERE completed_at < TIMESTAMP '1998-01-01')""",
     ),
     # Discovery
     "discover_meta_keys": sql(
         "meta",
-        """SELECT meta_key FROM (SELECT DISTINCT meta_key FROM meta WHERE meta_key <> '' ORDER BY meta_key LIMIT 500)
+        """SELECT meta_key FROM (SELECT DISTINCT meta_key FROM meta WHERE meta_key <> '')
         WHERE meta_key NOT IN ('_regular_price', '_sale_price') AND NOT starts_with(meta_key, 'attribute_')""",
     ),
     "discover_brands": sql(
         "meta",
         """SELECT DISTINCT 'meta:_brand' AS field, meta_value AS brand FROM meta
-        WHERE meta_key = '_brand' AND meta_value <> '' ORDER BY brand LIMIT 500""",
+        WHERE meta_key = '_brand' AND meta_value <> ''""",
     ),
     "discover_categories": sql(
         "terms object_terms",
@@ -608,7 +613,7 @@ ORACLES: dict[str, str] = {
     ),
     "discover_attributes": sql(
         "terms",
-        """SELECT 'attribute:' || taxonomy AS field, taxonomy,
+        """SELECT 'attribute:' || taxonomy AS field, taxonomy, upper(taxonomy[4:4]) || taxonomy[5:] AS label,
           string_agg(term_id || ':' || slug || ':' || name, ',' ORDER BY name, term_id) AS terms
         FROM terms WHERE starts_with(taxonomy, 'pa_') GROUP BY taxonomy""",
     ),
@@ -638,11 +643,35 @@ ORACLES: dict[str, str] = {
       FROM rules r LEFT JOIN stepped m ON m.id = r.id LEFT JOIN fixed f ON f.id = r.id""",
     "rule_run_changeset": sql(
         "wide rules meta",
-        f"""SELECT 1::BIGINT AS operation_id, 'product' AS object_type, w.object_id, 0 AS action_ix, 'post_field' AS field_type,
+        f"""SELECT t.template AS operation_id, 'product' AS object_type, w.object_id, 0 AS action_ix, 'post_field' AS field_type,
           'regular_price' AS field_key, rp_text AS old_value, {_number_text('round(rp * 1.5::DOUBLE, 6)')} AS new_value, 1 AS status
         FROM wide w JOIN meta b ON b.object_id = w.object_id AND b.meta_key = '_brand'
-        WHERE b.meta_value = (SELECT brand FROM rules WHERE status = 'active'
-          AND next_run <= TIMESTAMP '2026-02-15 12:00:00' ORDER BY next_run, id LIMIT 1)""",
+        JOIN (SELECT brand, row_number() OVER (ORDER BY brand) AS template FROM (SELECT DISTINCT brand FROM rules WHERE status = 'active'
+          AND next_run <= TIMESTAMP '2026-02-15 12:00:00')) t ON t.brand = b.meta_value""",
+    ),
+    "rule_run_templates": sql(
+        "rules",
+        """SELECT id, dense_rank() OVER (ORDER BY brand) AS template FROM rules WHERE status = 'active'
+          AND next_run <= TIMESTAMP '2026-02-15 12:00:00'""",
+    ),
+    "stock_after_formula": sql(
+        "products",
+        """SELECT object_id, stock_quantity::VARCHAR AS old_value, trunc(stock_quantity * 1.5)::BIGINT::VARCHAR AS new_value, 1 AS status,
+          trunc(stock_quantity * 1.5)::BIGINT AS stock_quantity FROM products WHERE stock_quantity IS NOT NULL""",
+    ),
+    "undo_stock_formula": sql(
+        "products",
+        """SELECT 9001::BIGINT AS operation_id, 'product' AS object_type, object_id, 0 AS action_ix, 'post_field' AS field_type,
+          'stock_quantity' AS field_key, trunc(stock_quantity * 1.5)::BIGINT::VARCHAR AS old_value, stock_quantity::VARCHAR AS new_value,
+          1 AS status FROM products WHERE stock_quantity IS NOT NULL""",
+    ),
+    "price_too_large": sql(
+        "combined",
+        "SELECT object_id, NULL::VARCHAR AS new_value, 3 AS status, min_price::DOUBLE AS min_price FROM combined",
+    ),
+    "stored_catalog_prices": sql(
+        "objects meta",
+        "SELECT o.object_id, object_type, sku, meta_value FROM objects o JOIN meta m ON m.object_id = o.object_id AND meta_key = '_regular_price'",
     ),
     "normalize_start": f"""SELECT o_orderkey, {_stamp('CASE WHEN o_orderkey % 6 IN (0, 1, 2) THEN o_orderdate ELSE now END')} AS starts_at
       FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 2 THEN date_trunc('day', o_orderdate) ELSE o_orderdate END AS o_orderdate,

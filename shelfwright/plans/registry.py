@@ -22,10 +22,10 @@ from shelfwright.operators.actions import Action, FormulaAction, SetValue
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Condition, Filter, filter_from_form
 from shelfwright.operators.resolve import count_matches, resolve, resolve_sorted, scan_scope
-from shelfwright.plans.rule import next_due, rule_changeset
+from shelfwright.plans.rule import due_changesets
 from shelfwright.schema import Scope
 from shelfwright.sources.star import MARKER_KEY, Star, term_id
-from shelfwright.sources.store import shared_dir, snapshot
+from shelfwright.sources.store import CatalogStore, shared_dir, snapshot
 from shelfwright.sources.synth import drop_marked, synth_catalog
 from shelfwright.streaming import streams
 
@@ -197,8 +197,17 @@ def count_combined(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def drop_marked_query(spark: SparkSession, path: str) -> DataFrame:
-    kept = drop_marked(_catalog(spark, path), MARKER_KEY)
-    return kept.meta
+    return drop_marked(_catalog(spark, path), MARKER_KEY).meta
+
+
+@query
+def drop_marked_objects(spark: SparkSession, path: str) -> DataFrame:
+    return _shown(drop_marked(_catalog(spark, path), MARKER_KEY).objects)
+
+
+@query
+def drop_marked_links(spark: SparkSession, path: str) -> DataFrame:
+    return drop_marked(_catalog(spark, path), MARKER_KEY).object_terms
 
 
 # Pages -----------------------------------------------------------------------------------------
@@ -589,7 +598,7 @@ def discover_attribute_terms(spark: SparkSession, path: str) -> DataFrame:
 def discover_attributes(spark: SparkSession, path: str) -> DataFrame:
     nested = discovery.attributes(_catalog(spark, path))
     line = F.transform("terms", lambda t: F.concat_ws(":", t["term_id"].cast("string"), t["slug"], t["name"]))
-    return nested.select("field", "taxonomy", F.array_join(line, ",").alias("terms"))
+    return nested.select("field", "taxonomy", "label", F.array_join(line, ",").alias("terms"))
 
 
 # Rules -----------------------------------------------------------------------------------------
@@ -614,9 +623,45 @@ def advance_rules(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def rule_run_changeset(spark: SparkSession, path: str) -> DataFrame:
-    star = Star(spark, path)
-    rule = next_due(star.rules(), NOW)
-    return rule_changeset(_catalog(spark, path), rule, PARENT, REGISTRY)
+    """All due rules: a change set per template."""
+    return due_changesets(_catalog(spark, path), Star(spark, path).rules(), NOW, REGISTRY).changes
+
+
+@query
+def rule_run_templates(spark: SparkSession, path: str) -> DataFrame:
+    """Which due rule takes part in which of these change sets."""
+    return due_changesets(_catalog(spark, path), Star(spark, path).rules(), NOW, REGISTRY).rules
+
+
+STOCK_UP = FormulaAction("stock_quantity", fm.var("stock") * 1.5)
+
+
+@query
+def stock_after_formula(spark: SparkSession, path: str) -> DataFrame:
+    """What the log says was set, beside what the catalog holds."""
+    changes, after = _run(_catalog(spark, path), [STOCK_UP])
+    return changes.join(after.objects, "object_id").select("object_id", "old_value", "new_value", changes.status, after.objects.stock_quantity)
+
+
+@query
+def undo_stock_formula(spark: SparkSession, path: str) -> DataFrame:
+    changes, after = _run(_catalog(spark, path), [STOCK_UP])
+    return undo.revert_now(after, changes, PARENT, UNDO, ["stock_quantity"], "skip", REGISTRY)
+
+
+@query
+def price_too_large(spark: SparkSession, path: str) -> DataFrame:
+    """A price that no column can hold is not set."""
+    changes, after = _run(_catalog(spark, path), [SetValue(PRICE, "1e16")], COMBINED)
+    return _shown(changes.join(after.objects, "object_id").select("object_id", "new_value", changes.status, after.objects.min_price))
+
+
+@query
+def stored_catalog_prices(spark: SparkSession, path: str) -> DataFrame:
+    """A catalog written as a version, opened again and read."""
+    store = CatalogStore(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    opened = store.write(_catalog(spark, path), "v1")
+    return opened.objects.join(opened.meta.where("meta_key = '_regular_price'"), "object_id").select("object_id", "object_type", "sku", "meta_value")
 
 
 @query

@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from shelfwright.catalog import Catalog
-from shelfwright.operators.actions import actions_from_json
+from shelfwright.operators.actions import actions_from_json, check_actions
 from shelfwright.operators.changes import changeset
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Filter
@@ -21,10 +22,11 @@ from shelfwright.sources.store import ChangeLog
 
 @dataclass(frozen=True)
 class RuleRun:
-    """A rule that has run, and what came of it. ``rules.advance`` reschedules the rule."""
+    """A rule that has run, and what came of it; without an outcome, it is to be paused. ``rules.advance``
+    reschedules the rule."""
 
     rule: Row
-    outcome: Outcome
+    outcome: Outcome | None
 
 
 def rule_changeset(catalog: Catalog, rule: Row, operation_id: int, registry: FieldRegistry) -> DataFrame:
@@ -38,6 +40,36 @@ def rule_changeset(catalog: Catalog, rule: Row, operation_id: int, registry: Fie
     )
 
 
+@dataclass(frozen=True)
+class DueRules:
+    """What all due rules would do. ``changes``: one change set per template, which is a filter with actions; its
+    number is the operation id. ``rules``: id and template of every due rule, a null template for one that cannot be
+    read, which should be paused."""
+
+    changes: DataFrame | None
+    rules: DataFrame
+
+
+def due_changesets(catalog: Catalog, rules: DataFrame, now: datetime, registry: FieldRegistry) -> DueRules:
+    """Change sets for all due rules against one catalog version. Rules that say the same share a plan and its rows, so
+    nothing is multiplied by the number of rules. There is one plan per template: what people have typed in."""
+    due = due_rules(rules, now)
+    said = ["filter_json", "actions_json"]
+    templates, changes = [], None
+    for row in due.select(*said).distinct().orderBy(*said).collect():
+        number = len(templates) + 1
+        try:
+            rows = rule_changeset(catalog, row, number, registry)
+        except (KeyError, TypeError, ValueError):
+            templates.append((row["filter_json"], row["actions_json"], None))
+            continue
+        templates.append((row["filter_json"], row["actions_json"], number))
+        changes = rows if changes is None else changes.unionByName(rows)
+    named = rules.sparkSession.createDataFrame(templates, "filter_json string, actions_json string, template long")
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in said]
+    return DueRules(changes, due.alias("d").join(named.alias("t"), same).select("d.id", "t.template"))
+
+
 def next_due(rules: DataFrame, now: datetime) -> Row | None:
     """The rule that has waited longest."""
     return due_rules(rules, now).first()
@@ -53,12 +85,17 @@ def run_next_due(
     log: ChangeLog,
 ) -> RuleRun | None:
     """Run the longest-waiting rule, unless another operation is active. Rules run one at a time
-    because each must see what the one before has written."""
+    because each must see what the one before has written. A rule that cannot be read comes back without an outcome,
+    to be paused, so that it does not hold up the others."""
     if active_operation(operations).first() is not None:
         return None
     rule = next_due(rules, now)
     if rule is None:
         return None
-    flt = Filter.from_json(rule["filter_json"])
-    actions = actions_from_json(rule["actions_json"])
+    try:
+        flt = Filter.from_json(rule["filter_json"])
+        actions = actions_from_json(rule["actions_json"])
+        check_actions(actions, registry)
+    except (KeyError, TypeError, ValueError):
+        return RuleRun(rule, None)
     return RuleRun(rule, run_operation(catalog, flt, actions, operation_id, registry, log))

@@ -68,8 +68,8 @@ class Star:
         return Catalog(self._objects(), self._meta(), self._terms(), links)
 
     def _sold(self) -> DataFrame:
-        """Variations: one per part (every fourth) and supplier."""
-        return self.table("lineitem").where(F.col("l_partkey") % 4 == 0).groupBy("l_partkey", "l_suppkey").agg(
+        """Variations: one per part and supplier of a line item."""
+        return self.table("lineitem").groupBy("l_partkey", "l_suppkey").agg(
             F.min("l_extendedprice").alias("low"),
             F.max("l_extendedprice").alias("high"),
             F.sum("l_quantity").alias("quantity"),
@@ -116,16 +116,20 @@ class Star:
         def of_part(rows: DataFrame, name: str, value: Column) -> DataFrame:
             return rows.select(product_id, F.lit(name).alias("meta_key"), value.alias("meta_value"))
 
-        sold = self._sold()
-        pairs = self.table("lineitem").where(F.col("l_partkey") % 4 == 0)
-        pairs = pairs.select("l_partkey", "l_suppkey").distinct()
+        def named(name: str, value: Column) -> Column:
+            return F.struct(F.lit(name).alias("meta_key"), value.alias("meta_value"))
 
-        def of_pair(rows: DataFrame, name: str, value: Column) -> DataFrame:
-            return rows.select(
-                self._variation_id().alias("object_id"),
-                F.lit(name).alias("meta_key"),
-                value.alias("meta_value"),
+        # All keys of a variation unfold from one aggregate.
+        of_pair = F.array_compact(
+            F.array(
+                named("_regular_price", _money(F.col("low"))),
+                named("attribute_pa_size", F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string"))),
+                F.when(
+                    F.col("l_suppkey") % 2 == 0,
+                    named(MARKER_KEY, F.concat(F.lit("g"), (F.col("l_suppkey") % 3).cast("string"))),
+                ),
             )
+        )
 
         cost = F.when(key % 7 == 0, "").when(key % 11 == 0, "n/a").otherwise(_money(price - 120))
         parts = [
@@ -133,15 +137,7 @@ class Star:
             of_part(part, "_sale_price", F.when(key % 5 == 0, _money(price - 50)).otherwise("")),
             of_part(part, "_brand", F.col("p_brand")),
             of_part(part.where(key % 3 != 0), "_cost", cost),
-            of_pair(sold, "_regular_price", _money(F.col("low"))),
-            of_pair(
-                pairs, "attribute_pa_size", F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string"))
-            ),
-            of_pair(
-                pairs.where(F.col("l_suppkey") % 2 == 0),
-                MARKER_KEY,
-                F.concat(F.lit("g"), (F.col("l_suppkey") % 3).cast("string")),
-            ),
+            self._sold().select(self._variation_id().alias("object_id"), F.inline(of_pair)),
         ]
         meta = parts[0]
         for rows in parts[1:]:

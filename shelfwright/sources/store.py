@@ -57,9 +57,16 @@ SCHEMAS = {
 BUCKETED = ("objects", "meta", "object_terms")
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to a folder has been committed."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 class CatalogStore:
-    """Catalog versions under one root folder. A version is written once and never changed, so a
-    job that fails half-way leaves the versions before it whole."""
+    """Catalog versions under one root folder. A version is written once and never changed. It counts from
+    the moment its marker is there, which is written last: a job that fails half-way leaves no version, only the
+    ones before it, and can be run again."""
 
     def __init__(self, spark: SparkSession, root: str):
         self._spark = spark
@@ -67,16 +74,33 @@ class CatalogStore:
 
     def write(self, catalog: Catalog, version: str, partitions: int | None = None) -> Catalog:
         """Clustered layout, cut into ranges by sampled bounds, so it holds for skewed keys."""
+        self._begin(version)
         for name, columns in CLUSTERING.items():
             frame: DataFrame = getattr(catalog, name)
             by = [F.col(c) for c in columns]
             ranged = (
                 frame.repartitionByRange(partitions, *by) if partitions else frame.repartitionByRange(*by)
             )
-            ranged.sortWithinPartitions(*by).write.parquet(self._path(version, name))
+            ranged.sortWithinPartitions(*by).write.mode("overwrite").parquet(self._path(version, name))
+        self._finish(version)
         return self.open(version)
 
+    def exists(self, version: str) -> bool:
+        return is_complete(self._spark, self._path(version, "complete"))
+
+    def _begin(self, version: str) -> None:
+        if self.exists(version):
+            raise ValueError(f"catalog version {version} is already written")
+
+    def _finish(self, version: str) -> None:
+        self._spark.range(1).write.mode("overwrite").parquet(self._path(version, "complete"))
+
+    def _check(self, version: str) -> None:
+        if not self.exists(version):
+            raise ValueError(f"there is no complete catalog version {version}")
+
     def open(self, version: str) -> Catalog:
+        self._check(version)
         tables = {
             name: self._spark.read.schema(SCHEMAS[name]).parquet(self._path(version, name))
             for name in CLUSTERING
@@ -86,11 +110,12 @@ class CatalogStore:
     def write_bucketed(self, catalog: Catalog, version: str, buckets: int) -> Catalog:
         """Bucketed by object, so that joins and aggregations on ``object_id`` need no shuffle.
         A bucket is one task: choose this only where no single object owns much of a table."""
+        self._begin(version)
         for name in CLUSTERING:
             frame: DataFrame = getattr(catalog, name)
             path = self._path(version, name)
             if name not in BUCKETED:
-                frame.write.parquet(path)
+                frame.write.mode("overwrite").parquet(path)
                 continue
             (
                 frame.repartition(buckets, "object_id")
@@ -98,12 +123,15 @@ class CatalogStore:
                 .bucketBy(buckets, "object_id")
                 .sortBy(*dict.fromkeys(("object_id", *CLUSTERING[name])))
                 .option("path", path)
+                .mode("overwrite")
                 .saveAsTable(self._table(version, name))
             )
+        self._finish(version)
         return self.open_bucketed(version, buckets)
 
     def open_bucketed(self, version: str, buckets: int) -> Catalog:
         """Open a bucketed version, registering its tables where this session has not."""
+        self._check(version)
         tables = {}
         for name in CLUSTERING:
             if name not in BUCKETED:
@@ -139,7 +167,7 @@ class ChangeLog:
     def write_frozen(self, rows: DataFrame, operation_id: int) -> DataFrame:
         """Keep an operation's targets. They are chosen once: freezing again is an error."""
         path = self._path("frozen", operation_id)
-        if self._complete(path):
+        if is_complete(self._spark, path):
             raise ValueError(f"operation {operation_id} is already frozen")
         rows.drop("operation_id").write.mode("overwrite").parquet(path)
         return self.frozen(operation_id)
@@ -148,16 +176,10 @@ class ChangeLog:
         """Keep an operation's outcome. If it has one already, that is returned and ``rows`` is
         not even computed, so that running an operation again cannot apply it twice."""
         path = self._path("settled", operation_id)
-        if not self._complete(path):
+        if not is_complete(self._spark, path):
             rows.drop("operation_id").write.mode("overwrite").parquet(path)
         return self.settled(operation_id)
 
-    def _complete(self, path: str) -> bool:
-        jvm = self._spark._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        files = marker.getFileSystem(self._spark._jsc.hadoopConfiguration())
-        return files.exists(marker)
-
     def frozen(self, operation_id: int) -> DataFrame:
         return self._one("frozen", operation_id)
 

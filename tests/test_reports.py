@@ -156,7 +156,9 @@ def test_retention(spark):
     assert sorted(r.operation_id for r in oplog.survivors(ops, log, cutoff, 1).collect()) == [2, 3, 4]
     nothing = oplog.purge_counts(ops, log, NOW - timedelta(days=400)).first().asDict()
     assert nothing == {"operations": 0, "rows": 0}
-    assert [oplog.retention_days(d) for d in (1, 7, 30, 180, 999)] == [7, 7, 30, 180, 180]
+    assert oplog.retention_cutoff(NOW, 365) == NOW - timedelta(days=365)
+    with pytest.raises(ValueError):
+        oplog.retention_cutoff(NOW, 0)
 
 
 def test_discovery(shop):
