@@ -14,14 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwright.llm import bktree, mixing, packing, quality, runindex
-from shelfwright.llm.common import count_words, load, snapshot
+from shelfwright.llm.common import count_words, load, snapshot, whole_rows
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """The rows of ``docs`` whose id is (left_semi) or is not (left_anti) among the ids; null is an id like any other."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id")), how)
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    return whole_rows(docs).join(ids, F.col("d.doc_id").eqNullSafe(F.col("_id")), how).select("d.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +42,13 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     document of which nothing is left goes, one that was empty stays."""
     found = runindex.dedupe(docs).filter("n_removed > 0").select("doc_id", "digest", "kept")
     found = snapshot(found.dropDuplicates(["doc_id", "digest"]).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), "kept")
-    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left")
+    digest = F.unhex(F.md5(F.coalesce("d.text", F.lit("")).cast("binary")))
+    joined = whole_rows(docs).join(found, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left")
     cut = F.col("_digest").isNotNull()
-    text = F.when(cut, F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), F.lit("�"), F.lit(""))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text).filter(~cut | (F.length("text") > 0))
-    return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    text = F.when(cut, F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), F.lit("�"), F.lit(""))).otherwise(F.col("d.text"))
+    out = joined.withColumn("_text", text).filter(~cut | (F.length("_text") > 0))
+    changed = {"text": F.col("_text"), "n_chars": F.when(cut, F.length("_text").cast("long")).otherwise(F.col("d.n_chars"))}
+    return out.select(*[changed.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from shelfwright.sources.store import snapshot
 
-__all__ = ["WORD", "count_words", "crc_remainder", "load", "running_total", "snapshot", "split_words"]
+__all__ = ["WORD", "count_words", "crc_remainder", "load", "running_total", "snapshot", "split_words", "whole_rows"]
 
 #: A word: a run of anything but space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def whole_rows(frame: DataFrame) -> DataFrame:
+    """Each row as one value ``d``, so that no column of it can clash with another frame's."""
+    return frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("d"))
+
+
 def count_words(text: Column) -> Column:
     """Words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfwright.llm.common import count_words, snapshot
+from shelfwright.llm.common import count_words, snapshot, whole_rows
 
 #: Hash ranges of a source. Only the range in which the fraction ends has its documents put in order.
 RANGES = 1 << 16
@@ -110,17 +110,20 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFr
     Rows of one id share what the mix takes of the id, row by row, if they share its size too. Rows without words are
     not part of a mixture of words and go. n_chars, if there, is counted anew where a text is cut."""
     taken = mixed.filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
-    trimmed = F.btrim(F.col(text), F.lit(_BLANKS))
+    whole = whole_rows(docs)
+    of = lambda name: F.col("d").getField(name)
+    trimmed = F.btrim(of(text), F.lit(_BLANKS))
     beyond = F.element_at(F.split(trimmed, r"[\x20\x09-\x0D]+", F.col("_cut") + 1), -1)
     first = F.btrim(F.left(trimmed, F.length(trimmed) - F.length(beyond)), F.lit(_BLANKS))
     times = F.array_repeat(F.lit(0), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
     rest = (F.col("_taken") % F.col("_size")).cast("int")
     out = (
-        docs.withColumn("_words", count_words(F.col(text)))
-        .join(snapshot(taken, "taken"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+        whole.withColumn("_words", count_words(of(text)))
+        .join(snapshot(taken, "taken"), of("doc_id").eqNullSafe(F.col("_id")) & of("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
         .withColumn("_cut", F.explode(F.when(rest > 0, F.concat(times, F.array(rest))).otherwise(times)))
-        .withColumn(text, F.when(F.col("_cut") == 0, F.col(text)).otherwise(first))
+        .withColumn("_text", F.when(F.col("_cut") == 0, of(text)).otherwise(first))
     )
+    changed = {text: F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut") == 0, F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_cut") == 0, of("n_chars")).otherwise(F.length("_text").cast("long"))
+    return out.select(*[changed.get(c, of(c)).alias(c) for c in docs.columns])
