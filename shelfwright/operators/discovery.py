@@ -15,8 +15,8 @@ from shelfwright.operators.resolve import ATTRIBUTE_PREFIX
 
 def meta_keys(catalog: Catalog, limit: int | None = None) -> DataFrame:
     """User-facing metadata keys; the first ``limit`` of them by name if that is given."""
-    keys = catalog.meta.where((F.col("meta_key") != "") & is_user_key(F.col("meta_key"))).select("meta_key").distinct()
-    return keys if limit is None else keys.orderBy("meta_key").limit(limit)
+    keys = catalog.meta.where((F.col("meta_key") != "") & is_user_key(F.col("meta_key"))).select("meta_key").distinct().orderBy("meta_key")
+    return keys if limit is None else keys.limit(limit)
 
 
 def brands(catalog: Catalog, registry: FieldRegistry, limit: int | None = None) -> DataFrame:
@@ -26,8 +26,9 @@ def brands(catalog: Catalog, registry: FieldRegistry, limit: int | None = None)
         catalog.meta.where((F.col("meta_key") == key) & (F.col("meta_value") != ""))
         .select(F.col("meta_value").alias("brand"))
         .distinct()
+        .orderBy("brand")
     )
-    values = values if limit is None else values.orderBy("brand").limit(limit)
+    values = values if limit is None else values.limit(limit)
     return values.select(F.lit(META_PREFIX + key).alias("field"), "brand")
 
 

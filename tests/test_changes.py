@@ -24,6 +24,14 @@ def log(spark, tmp_path):
     return ChangeLog(spark, str(tmp_path / "log"))
 
 
+@pytest.fixture
+def shop(spark):
+    s = Shop(spark)
+    for i, stock in enumerate((5, 7, None, 0), 1):
+        s.product(i, "10", stock=stock)
+    return s.catalog()
+
+
 def rows(frame):
     """(object, field) -> (old, new, status)"""
     return {(r.object_id, r.field_key): (r.old_value, r.new_value, r.status) for r in frame.collect()}
@@ -334,3 +342,39 @@ def test_change_log_reads_one_operation(spark, log):
     one = log.all_settled().where("operation_id = 2")
     assert {r.new_value for r in one.collect()} == {"s2"}
     assert "operation_id" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1][:80]
+
+
+def test_interrupted_version_is_no_version(spark, tmp_path, shop):
+    store = CatalogStore(spark, str(tmp_path))
+    # What a job leaves that dies after the first table.
+    shop.objects.write.parquet(str(tmp_path / "v1" / "objects"))
+    with pytest.raises(ValueError):
+        store.open("v1")
+    assert store.write(shop, "v1").objects.count() == shop.objects.count()
+    assert store.open("v1").meta.count() == shop.meta.count()
+    with pytest.raises(ValueError):
+        store.write(shop, "v1")
+
+
+def test_log_and_catalog_agree_on_stock(spark, shop):
+    """A fraction is cut before it is logged, and what is no number is not set."""
+    registry = FieldRegistry()
+    for action in (FormulaAction("stock_quantity", fm.var("stock") * 1.5), SetValue("stock_quantity", "7.9"), SetValue("stock_quantity", "abc")):
+        changes = snapshot(ch.changeset(shop, Filter(), [action], 1, registry))
+        after = ch.apply_changes(shop, changes, ["stock_quantity"], registry)
+        stored = {r.object_id: r.stock_quantity for r in after.objects.collect()}
+        before = {r.object_id: r.stock_quantity for r in shop.objects.collect()}
+        for r in changes.collect():
+            if r.status == 1:
+                assert stored[r.object_id] == int(r.new_value)
+            else:
+                assert r.new_value is None and stored[r.object_id] == before[r.object_id]
+        undone = ch.apply_changes(after, snapshot(undo.revert_now(after, changes, 1, 2, ["stock_quantity"], "skip", registry)), ["stock_quantity"], registry)
+        assert {r.object_id: r.stock_quantity for r in undone.objects.collect()} == before
+
+
+def test_price_too_large_is_skipped(spark, shop):
+    registry = FieldRegistry()
+    changes = snapshot(ch.changeset(shop, Filter(), [SetValue("regular_price", "1e16")], 1, registry))
+    assert {r.status for r in changes.collect()} == {3}
+    assert ch.apply_changes(shop, changes, ["regular_price"], registry).objects.count() == shop.objects.count()

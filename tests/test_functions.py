@@ -192,3 +192,21 @@ def test_field_registry():
         registry.register(Field("x", "X", "post_field", "x"))
     registry.register(Field("loud", "Loud", "meta", "loud", meta_key="loud", reader=F.upper))
     assert registry.get("loud").label == "Loud"
+
+
+def test_old_rules_run_after_now(spark):
+    """No number of missed periods is too many."""
+    now = datetime(2026, 2, 15, 12)
+    rows = [
+        (1, "hourly", datetime(2010, 1, 1), datetime(2026, 2, 15, 13)),
+        (2, "daily", datetime(1990, 5, 5, 8), datetime(2026, 2, 16, 8)),
+        (3, "monthly", datetime(1950, 3, 20, 1), datetime(2026, 2, 20, 1)),
+        (4, "monthly", datetime(1970, 1, 31, 9), datetime(2026, 3, 3, 9)),
+        (5, "monthly", datetime(2025, 12, 29, 9), datetime(2026, 3, 1, 9)),
+        (6, "monthly", datetime(2026, 2, 15, 12), datetime(2026, 3, 15, 12)),
+        (7, "monthly", datetime(2030, 1, 30), datetime(2030, 3, 2)),
+        (8, "once", datetime(2010, 1, 1), None),
+    ]
+    frame = spark.createDataFrame(rows, "id int, recurrence string, start timestamp, expected timestamp")
+    got = frame.select("id", "expected", next_run(F.col("recurrence"), F.col("start"), F.lit(now)).alias("t")).collect()
+    assert [(r.id, r.t) for r in got] == [(r.id, r.expected) for r in got]

@@ -60,7 +60,10 @@ def test_paging(shop):
         return [r.id for r in views.catalog_page(shop, Filter(), REGISTRY, **kw).collect()]
 
     assert page(page=1, per_page=1) == [1] and page(page=2, per_page=1) == [2] and page(page=3, per_page=1) == []
-    assert page(page=0, per_page=0) == [1]
+    assert page(page=0, per_page=1) == [1]
+    for wrong in (0, 201):
+        with pytest.raises(ValueError):
+            page(per_page=wrong)
     assert page(after_id=1, per_page=5) == [2]
 
 
@@ -70,6 +73,14 @@ def test_variation_page(shop):
     assert got == {31: ("Shirt — red, small", 3, ""), 32: ("Shirt", 3, "OWN")}
 
 
+def test_audit_continues_after_a_row(spark, shop):
+    log = spark.createDataFrame([change(1, i) for i in (1, 2, 31, 32)], CHANGES)
+    first = views.audit_page(shop, log, 1, per_page=2).collect()
+    last = first[-1]
+    rest = views.audit_page(shop, log, 1, per_page=2, after=(last.object_id, last.action_ix)).collect()
+    assert [r.object_id for r in first + rest] == [1, 2, 31, 32]
+
+
 def test_audit_page(spark, shop):
     log = spark.createDataFrame(
         [change(1, 1), change(1, 31, 3, kind="variation"), change(1, 32, 0, kind="variation"), change(1, 99, 2), change(2, 2)], CHANGES
