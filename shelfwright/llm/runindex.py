@@ -5,14 +5,14 @@ A string of ``LENGTH`` bytes that also starts earlier in the corpus is removed.
 1. Windows of LENGTH bytes are dealt by content. The least of a window's short substrings (its anchor) lies at the same
    place in every copy of the window, and the bytes around it, left or right, are the window's core. Runs of neighbouring
    windows with one core make a segment. Only cores that more than one text holds, or one text twice, can matter.
-2. Equal segments are one from here on (the first of them counts, the others are repeats through and through). The
-   different segments of a core go to one shard, which builds the run-length compressed BWT of their text, with samples of
+2. The segments of a core go to one shard. Equal ones are one from here on (the first of them counts, the others are repeats
+   through and through; each task has merged its own before). For the different ones the shard builds the run-length compressed BWT of their text, with samples of
    the suffix array at run ends. Every segment is streamed through it backwards, all in step, which gives the row and so
    the matching statistics of each position: rows of a repeated class match LENGTH bytes elsewhere. A class's
    first occurrence stays, the others are marked.
 3. Marks are merged by document and cut out.
 
-A core with very many different segments is not left to one task: its windows are dealt again by longer cores, until the
+A core with very many segments is not left to one task: its windows are dealt again by longer cores, until the
 groups are small or the core is the window itself, of which there is one segment only.
 """
 
@@ -37,8 +37,8 @@ _SLACK = LENGTH - CORE
 BLOCK = 1 << 16
 #: Bits of the sketch that spares rows a join. A full sketch spares none, and the join that follows is exact.
 SKETCH_BITS = 1 << 25
-#: Different segments of a core that one task takes; segments of a shard.
-GROUP_LIMIT, SHARD_SEGMENTS = 20_000, 4_000
+#: Segments of a core that one task takes; segments of a shard.
+GROUP_LIMIT, SHARD_SEGMENTS = 8_000, 20_000
 
 _RANDOM = np.random.default_rng(5).integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -238,15 +238,17 @@ class RunLengthIndex:
     def __init__(self, text: np.ndarray, length: int):
         """text: bytes plus one, segments ended by 0 (at the end too). length: of the matches to tell apart."""
         n = len(text)
-        packed = np.zeros(n, np.int64)
-        for k in range(7):
-            packed[: n - k] |= text[k:].astype(np.int64) << (9 * (6 - k))
-        rank, depth = self._ranked(packed), 7
-        while depth < length or rank.max() < n - 1:
+        packed, depth = np.zeros(n, np.int64), min(7, length)
+        for k in range(depth):
+            packed[: n - k] |= text[k:].astype(np.int64) << (9 * (depth - 1 - k))
+        rank = self._ranked(packed)
+        while True:
             if depth <= length < 2 * depth:  # two ranks tell the first ``length`` symbols
                 second = np.full(n, -1, np.int64)
                 second[: max(n - (length - depth), 0)] = rank[length - depth :]
                 first = (rank, second)
+            if depth >= length and rank.max() == n - 1:
+                break
             beyond = np.full(n, -1, np.int64)
             beyond[: max(n - depth, 0)] = rank[depth:]
             rank, depth = self._ranked(rank * (n + 1) + beyond + 1), 2 * depth
@@ -328,40 +330,51 @@ _MARK = "doc_id long, digest binary, start long, end long"
 
 def marks(found: DataFrame) -> DataFrame:
     """doc_id, digest, start, end: bytes of ``candidates`` that are under a string that starts earlier."""
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "start")
     found = snapshot(found, "candidates")
     out, core_length, level = found.filter("h IS NULL").select(*DOC, "start", "end"), CORE, found.filter("h IS NOT NULL")
     while True:
-        firsts = snapshot(level.groupBy("h", "seg").agg(F.min(order).alias("f"), F.first("core").alias("core")), "firsts")
-        copies = level.join(firsts.select(F.col("h").alias("_h"), F.col("seg").alias("_seg"), "f"), (F.col("h") == F.col("_h")) & (F.col("seg") == F.col("_seg"))).filter(order != F.col("f"))
-        out = out.unionByName(copies.select(*DOC, "start", "end"))
-        sizes = snapshot(firsts.groupBy("h").count().filter("count > 1").withColumnRenamed("h", "_h"), "groups")
-        grouped = snapshot(firsts.select("f.doc_id", "f.digest", "f.start", "core", "h", "seg").join(sizes, F.col("h") == F.col("_h")).drop("_h"), "grouped")
-        out = out.unionByName(_indexed(grouped.filter(F.col("count") <= GROUP_LIMIT)))
-        many = grouped.filter(F.col("count") > GROUP_LIMIT)
-        if core_length == LENGTH or many.isEmpty():
+        # Counted by core first. The rows of a core with few go to its shard in one step.
+        sizes = snapshot(level.groupBy("h").count().filter(F.col("count") > GROUP_LIMIT).select(F.col("h").alias("_h")), "hot")
+        is_hot = F.col("h") == F.col("_h")
+        out = out.unionByName(_indexed(level.join(sizes, is_hot, "left_anti")))
+        if sizes.isEmpty():
             return out
-        level, core_length = split_windows(many, core_length)
+        # Segments of the others are compared whole, in as many tasks as there are different ones, and dealt anew. A list
+        # has at most an entry per task that found the segment.
+        order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "start", "end")
+        same = snapshot(
+            level.join(sizes, is_hot, "left_semi").groupBy("h", "seg").agg(F.array_sort(F.collect_list(order)).alias("all"), F.first("core").alias("core")), "same"
+        )
+        out = out.unionByName(same.select(F.inline(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))))).select(*DOC, "start", "end"))
+        if core_length == LENGTH:
+            return out
+        first = F.get("all", F.lit(0)).alias("f")
+        level, core_length = split_windows(same.select(first, "core", "h", "seg").select("f.doc_id", "f.digest", "f.start", "core", "h", "seg"), core_length)
         level = snapshot(level, "split")
 
 
-def _indexed(grouped: DataFrame) -> DataFrame:
-    shards = max(1, grouped.count() // SHARD_SEGMENTS)
+def _indexed(level: DataFrame) -> DataFrame:
+    """Marks within the segments of each core: of repeats of a whole segment, and of what the index finds in different ones."""
+    shards = max(1, level.count() // SHARD_SEGMENTS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*DOC, "start"], ignore_index=True, na_position="last")
-        ids, digests = pdf["doc_id"].to_numpy(), pdf["digest"].tolist()
-        number, numbers = 0, np.zeros(len(pdf), np.int64)
-        for k in range(1, len(pdf)):
-            number += digests[k] != digests[k - 1] or not (ids[k] == ids[k - 1] or (pd.isna(ids[k]) and pd.isna(ids[k - 1])))
-            numbers[k] = number
-        found = later_repeats(pdf["seg"].tolist(), (numbers << 40) + pdf["start"].to_numpy())
-        seg = [f[0] for f in found]
-        out = pdf.iloc[seg][[*DOC]].reset_index(drop=True)
-        start = pdf["start"].to_numpy()[seg]
-        return out.assign(doc_id=out["doc_id"].astype("Int64"), start=start + [f[1] for f in found], end=start + [f[2] for f in found]) if found else out.assign(doc_id=out["doc_id"].astype("Int64"), start=pd.Series(dtype="int64"), end=pd.Series(dtype="int64"))
-
-    return grouped.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInPandas(run, _MARK)
+        again = pdf.duplicated(["h", "seg"]).to_numpy()
+        whole, pdf = pdf[again][[*DOC, "start", "end"]], pdf[~again]
+        pdf = pdf[pdf.duplicated(["h"], keep=False)].reset_index(drop=True)
+        found = []
+        if len(pdf):
+            ids, digests = pdf["doc_id"], pdf["digest"]
+            new = (digests != digests.shift()) | ((ids != ids.shift()) & ~(ids.isna() & ids.shift().isna()))
+            found = later_repeats(pdf["seg"].tolist(), (new.cumsum().to_numpy().astype(np.int64) << 40) + pdf["start"].to_numpy())
+        seg, a, b = (list(x) for x in zip(*found)) if found else ([], [], [])
+        own = pdf.iloc[seg][[*DOC, "start"]].reset_index(drop=True)
+        own = own.assign(end=own["start"] + np.array(b, np.int64), start=own["start"] + np.array(a, np.int64))
+        out = pd.concat([whole, own], ignore_index=True)
+        return out.astype({"doc_id": "Int64", "start": "int64", "end": "int64"})
+
+    keyed = level.select(*DOC, "start", "end", "h", "seg", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
+    return keyed.groupBy("shard").applyInPandas(run, _MARK)
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
@@ -378,8 +391,11 @@ def dedupe(docs: DataFrame) -> DataFrame:
     known = snapshot(listed.join(firsts, F.col("digest") == F.col("_digest")).withColumn("copy", (order != F.col("first")) & (F.col("n_bytes") >= LENGTH)).drop("_digest", "first"), "known")
 
     cores = snapshot(repeated_cores(docs), "cores")
+    copies = known.filter("copy").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    is_doc = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    # Copies go whole; what was found in them is not needed.
     spans = snapshot(
-        marks(candidates(own, cores)).groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), "spans"
+        marks(candidates(own, cores)).join(snapshot(copies, "copies"), is_doc, "left_anti").groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), "spans"
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,11 +412,20 @@ def dedupe(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     schema = pa.schema([("_id", pa.int64()), ("_digest", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-    texts = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).dropDuplicates(DOC)
+    # Texts without marks are left out before the join as far as a sketch can tell.
+    marked = docs.sparkSession.sparkContext.broadcast(_sketch(spans.select(F.xxhash64("_id", "_digest").alias("h"))))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(3).to_numpy().astype(np.int64) & (SKETCH_BITS - 1)
+            yield batch.filter(pa.array(((marked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
+
+    likely = own.select(*DOC, F.col("text").cast("binary"), F.xxhash64("doc_id", "digest").alias("at")).mapInArrow(sketched, "doc_id long, digest binary, text binary, at long")
+    texts = likely.join(spans, is_doc).dropDuplicates(DOC)
     result = snapshot(
-        texts.select(*DOC, F.col("text").cast("binary"), "spans").mapInArrow(cut, "_id long, _digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary"), "cut"
+        texts.select(*DOC, "text", "spans").mapInArrow(cut, "_id long, _digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary"), "cut"
     )
-    joined = known.join(result, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    joined = known.join(result, is_doc, "left")
     return joined.select(
         *DOC,
         "n_bytes",
