@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from shelfwright.plans.oracle import ORACLES
+from shelfwright.plans.registry import QUERIES
 from tests.compare import connect, difference
 
 PATH = "/root/testdata/sf0.001"
@@ -16,10 +18,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     assert difference(driver.queries()[name](spark, PATH), con, driver.oracle_sql()[name]) is None
 
