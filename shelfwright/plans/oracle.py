@@ -756,3 +756,18 @@ ORACLES |= {
           UNION ALL SELECT object_id, 'pa_size', s FROM synth, (SELECT unnest([{_SIZE_NAMES}]) AS s) WHERE is_parent)""",
     ),
 }
+
+_COUNTS = """count(*) FILTER (status = 0) AS pending, count(*) FILTER (status = 1) AS applied,
+  count(*) FILTER (status = 2) AS failed, count(*) FILTER (status = 3) AS skipped"""
+_STORED = f"""(SELECT * FROM ({ORACLES['changeset_formula']})
+  UNION ALL SELECT 2, * EXCLUDE (operation_id) FROM ({ORACLES['changeset_two_actions']}))"""
+
+# The same over stored logs.
+ORACLES |= {
+    "stored_log_summary": f"SELECT operation_id, count(*) AS targets, {_COUNTS} FROM {_STORED} GROUP BY operation_id",
+    "stored_change_counts": f"SELECT {_COUNTS} FROM {_STORED} WHERE operation_id = 2",
+    "stored_frozen_targets": ORACLES["freeze_targets"],
+    "stored_operations": f"""SELECT o.id, f.status, source, target_count
+      FROM ({sql("operations", "SELECT id, source, target_count FROM operations")}) o
+      JOIN ({ORACLES['operation_final_status']}) f ON f.id = o.id""",
+}

@@ -25,7 +25,7 @@ from shelfwright.operators.resolve import count_matches, resolve, resolve_sorted
 from shelfwright.plans.rule import due_changesets
 from shelfwright.schema import Scope
 from shelfwright.sources.star import MARKER_KEY, Star, term_id
-from shelfwright.sources.store import CatalogStore, shared_dir, snapshot
+from shelfwright.sources.store import CatalogStore, ChangeLog, OperationLog, shared_dir, snapshot
 from shelfwright.sources.synth import drop_marked, synth_catalog
 from shelfwright.streaming import streams
 
@@ -566,6 +566,48 @@ def retention_survivors(spark: SparkSession, path: str) -> DataFrame:
     return oplog.survivors(star.operations(), star.changes(), CUTOFF)
 
 
+# Stored logs -----------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _stored_log(spark: SparkSession, path: str) -> ChangeLog:
+    """Two operations, as they are kept."""
+    catalog, log = _catalog(spark, path), ChangeLog(spark, _folder(spark, "log"))
+    for operation, flt, actions in ((PARENT, EVERYTHING, [COST_PLUS]), (OPERATION, COMBINED, SALE_AFTER_PRICE)):
+        log.write_settled(ch.changeset(catalog, flt, actions, operation, REGISTRY), operation)
+    return log
+
+
+@query
+def stored_log_summary(spark: SparkSession, path: str) -> DataFrame:
+    return oplog.operation_summary(_stored_log(spark, path).all_settled())
+
+
+@query
+def stored_change_counts(spark: SparkSession, path: str) -> DataFrame:
+    """One operation of the stored log: the filter selects its folder."""
+    return oplog.change_counts(_stored_log(spark, path).all_settled(), OPERATION)
+
+
+@query
+def stored_frozen_targets(spark: SparkSession, path: str) -> DataFrame:
+    rows = ch.freeze(_catalog(spark, path), EVERYTHING, SALE_AFTER_PRICE, PARENT, REGISTRY)
+    return ChangeLog(spark, _folder(spark, "frozen")).write_frozen(rows, PARENT)
+
+
+@query
+def stored_operations(spark: SparkSession, path: str) -> DataFrame:
+    """Operation rows written twice, the second time as they are once undos have taken effect: the newest version counts."""
+    rows, log = Star(spark, path).operations(), OperationLog(spark, _folder(spark, "operations"))
+    log.append(rows, 1)
+    final = oplog.final_statuses(rows).select("id", F.col("status").alias("__final"))
+    log.append(rows.join(final, "id").withColumn("status", F.col("__final")), 2)
+    return log.read().select("id", "status", "source", "target_count")
+
+
 # Discovery -------------------------------------------------------------------------------------
 
 

@@ -73,7 +73,8 @@ def admit_once(events: DataFrame, key: Sequence[str], event_time: str, delay: st
     caught when changes are settled, which takes only pending rows.
 
     A key that is replayed very often is first thinned out in several tasks, by the input split
-    its rows come from; the second pass then sees a bounded number of rows for it."""
+    its rows come from; the second pass then sees a bounded number of rows for it. The price is a second state store:
+    up to ``SALT_BUCKETS`` entries per key beside the one that counts, kept for the whole ``delay``."""
     watched = events.withWatermark(event_time, delay)
     salt = F.spark_partition_id() % SALT_BUCKETS
     thinned = watched.withColumn("__salt", salt).dropDuplicatesWithinWatermark([*key, "__salt"])
