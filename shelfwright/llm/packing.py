@@ -8,8 +8,9 @@ for the n-th piece of a length where it goes; pieces are numbered and placed whe
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql.window import Window
 from shelfwright.llm.common import snapshot
 
 CAPACITY = 2048
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers; about 200 bytes each.
+REMEMBERED = 800_000
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
@@ -88,32 +89,76 @@ def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(plan, np.int64).reshape(-1, 5)[np.lexsort(([r[1] for r in plan], [r[0] for r in plan]))] if plan else np.empty((0, 5), np.int64)
 
 
-def word_encoder(tokenizer_file: str) -> Callable[[str], bytes]:
-    """Text to little-endian 32-bit ids, for a tokenizer that drops white space: words are encoded once and remembered."""
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """Text to little-endian 32-bit ids, for a tokenizer that lower-cases, drops white space and parts letters from other
+    characters. Words are encoded once and remembered, up to two generations of ``REMEMBERED``.
 
-    tokenizer, known = Tokenizer.from_file(tokenizer_file), {}
+    Other cases of an ASCII word, and the word before a full stop or comma, are encoded as the bare word. Bare words of
+    letters skip what would not change them."""
 
-    def encode(text: str) -> bytes:
+    def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self._whole, self._bare = Tokenizer.from_file(tokenizer_file), Tokenizer.from_file(tokenizer_file)
+        self._bare.normalizer = None
+        self._bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._known, self._older = {}, {}
+
+    def __call__(self, text: str) -> bytes:
         words = text.encode("utf-8").split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
+        known = self._known
+        new = [w for w in set(words) if w not in known]
+        if new:
+            if len(known) + len(new) > REMEMBERED:
+                self._older, self._known = known, {}
+                known, new = self._known, list(set(words))
+            self._learn(new)
         return b"".join([known[w] for w in words])
 
-    return encode
+    def _learn(self, words: list[bytes]) -> None:
+        known, older, parts, unknown = self._known, self._older, {}, set()
+        for word in words:
+            if (found := older.get(word)) is not None:
+                known[word] = found
+                continue
+            base, tail = (word if b"<|" in word else word.lower()), b""
+            if base[-1:] in (b".", b",") and base[-2:-1].isalpha():
+                base, tail = base[:-1], base[-1:]
+            parts[word] = (base, tail)
+            unknown.update(x for x in (base, tail) if x and x not in known)
+        bare, whole = [], []
+        for part in unknown:
+            text = part.decode("utf-8")
+            plain = text.isalpha() and (part.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text)))
+            (bare if plain else whole).append((part, text))
+        if bare:
+            found = self._bare.encode([t for _, t in bare], is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids)
+            cuts = np.searchsorted(owner, np.arange(len(bare) + 1)).tolist()
+            for (part, _), a, b in zip(bare, cuts, cuts[1:]):
+                known[part] = ids[a:b].tobytes()
+        for (part, _), found in zip(whole, self._whole.encode_batch([t for _, t in whole], add_special_tokens=False)):
+            known[part] = np.array(found.ids, "<u4").tobytes()
+        for word, (base, tail) in parts.items():
+            known[word] = known[base] + known[tail] if tail else known[base]
+
+
+#: Of this worker process, for all the tasks it runs.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(tokenizer_file: str) -> WordEncoder:
+    if tokenizer_file not in _ENCODERS:
+        _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
+    return _ENCODERS[tokenizer_file]
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """The pieces of every row, each numbered (``nth``) among those of its length that its task saw (``task``)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task, seen, row = word_encoder(tokenizer_file), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), task_row()
+        encode, task, seen, row = encoder(tokenizer_file), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), task_row()
         ending = np.array([end_id], "<u4").tobytes()
         for frame in frames:
             out = []
