@@ -32,6 +32,8 @@ class Index:
     seed: int = 11
     #: Vectors, or queries, of a bucket that meet in one block.
     block: int = 8192
+    #: Bytes of vectors that a task ranks at a time.
+    group_bytes: int = 1 << 25
 
 
 def _hadamard(rows: np.ndarray) -> np.ndarray:
@@ -103,7 +105,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, index: Index = Inde
         vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_e")).join(classes.select("rep", "embedding"), F.col("_e") == F.col("embedding")).select("query_id", "rep"), "asked"
     )
     squared = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    count, longest, shortest = classes.select(squared.alias("s")).agg(F.count("*"), F.max("s"), F.min("s")).first()
+    count, longest, shortest, dim = classes.select(squared.alias("s"), F.size("embedding").alias("d")).agg(F.count("*"), F.max("s"), F.min("s"), F.max("d")).first()
     hashes = 1
     while count > index.per_hash**hashes:
         hashes += 1
@@ -141,7 +143,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, index: Index = Inde
     )
     # A block of a bucket's vectors meets every block of its queries.
     part, other = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("_nq")).otherwise(F.col("_nv"))), F.when(F.col("asks"), F.col("_nv")).otherwise(F.col("_nq"))
-    groups = max(1, count * index.tables // 20_000)
+    # A query's best are ranked once per group of buckets it looks into, so groups are as large as a task can hold.
+    groups = max(8, count * index.tables * 8 * (dim or 0) // index.group_bytes)
     blocks = (
         dealt.join(sizes, [F.col(c) == F.col(f"_{c}") for c in key])
         .select(*key, "asks", "rep", "vector", part.alias("own"), F.explode(F.sequence(F.lit(0), other - 1)).alias("with"))
