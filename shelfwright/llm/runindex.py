@@ -199,7 +199,8 @@ def candidates(docs: DataFrame, cores: DataFrame) -> DataFrame:
             rows = [(None if d[0] else d[1], d[2], a, b, None, None, None) for d, spans in covered.items() for a, b in _merged(spans)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-        left = list(kept.items())
+        # Segments of one core lie together, where they compress well.
+        left = sorted(kept.items(), key=lambda x: x[1][2])
         for at in range(0, len(left), 10_000):
             rows = [(None if d[0] else d[1], d[2], d[3], d[3] + len(seg), c, h, seg) for seg, (d, c, h) in left[at : at + 10_000]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
@@ -360,6 +361,7 @@ def _indexed(level: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*DOC, "start"], ignore_index=True, na_position="last")
         again = pdf.duplicated(["h", "seg"]).to_numpy()
+        pdf["end"] = pdf["start"] + pdf["seg"].str.len()
         whole, pdf = pdf[again][[*DOC, "start", "end"]], pdf[~again]
         pdf = pdf[pdf.duplicated(["h"], keep=False)].reset_index(drop=True)
         found = []
@@ -373,7 +375,7 @@ def _indexed(level: DataFrame) -> DataFrame:
         out = pd.concat([whole, own], ignore_index=True)
         return out.astype({"doc_id": "Int64", "start": "int64", "end": "int64"})
 
-    keyed = level.select(*DOC, "start", "end", "h", "seg", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
+    keyed = level.select(*DOC, "start", "h", "seg", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
     return keyed.groupBy("shard").applyInPandas(run, _MARK)
 
 
