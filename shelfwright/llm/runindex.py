@@ -124,16 +124,16 @@ def repeated_cores(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            marks = np.array([xxhash.xxh32_intdigest(t) >> 1 for t in texts], np.int64)
-            for number, hashes, *_ in _scan(texts):
-                # A core that a text holds again goes under another mark.
+            marks = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
+            for number, hashes, _, first, _ in _scan(texts):
+                # A core that a text holds again, in the same block or in another, goes under another mark.
                 order = np.lexsort((hashes, number))
                 again = np.zeros(len(order), bool)
                 again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (number[order[1:]] == number[order[:-1]])
-                own = (marks[number] + again).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(own)], ["h", "mark"])
+                own = _join(marks[number], (first // BLOCK).astype(np.uint64)) + again.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(own.view(np.int64))], ["h", "mark"])
 
-    found = docs.select(F.col("text").cast("binary")).filter(F.octet_length("text") >= LENGTH).mapInArrow(run, "h long, mark int")
+    found = docs.select(F.col("text").cast("binary")).filter(F.octet_length("text") >= LENGTH).mapInArrow(run, "h long, mark long")
     return found.groupBy("h").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("a <> b").select("h")
 
 

@@ -147,6 +147,19 @@ def test_long_texts_are_cut_into_blocks(spark, monkeypatch):
     assert windows == [(n, w) for n, t in enumerate(texts) for w in range(max(0, len(t) - 99))]
 
 
+def test_repeats_within_a_text_of_several_blocks(spark):
+    """The passages stand in one text only, farther off than a block; one goes over a border of blocks."""
+    rng = random.Random(6)
+    size = runindex.BLOCK
+    text = "".join(rng.choices("abcdefghij ", k=3 * size + 500))
+    for source, target in ((1_000, 2 * size + 9_000), (5_000, size - 60), (size + 700, 3 * size + 100)):
+        text = text[:target] + text[source : source + 160] + text[target + 160 :]
+    rows = [(1, text), (2, "".join(rng.choices("klmnop ", k=2 * size)))]
+    got = removed(spark, rows)
+    assert got == removed_repeats(rows)
+    assert got[1][1] >= 480
+
+
 @given(st.lists(st.binary(min_size=6, max_size=14), min_size=1, max_size=12, unique=True))
 @settings(max_examples=80, deadline=None)
 def test_index_marks_what_starts_earlier(segs):
