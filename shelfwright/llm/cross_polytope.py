@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors of one length (shorter ones get a coordinate that makes them so, which turns the largest inner product into the
-smallest angle) are turned by pseudo-rotations, three rounds of random signs and a fast Hadamard transform, and go to
+Vectors are dealt by bands of norms. Those of a band are of one length (shorter ones get a coordinate that makes them so,
+which turns the largest inner product into the smallest angle), and every query asks every band. They are turned by pseudo-rotations, three rounds of random signs and a fast Hadamard transform, and go to
 the bucket of the nearest signed axis, once per table. A query looks into the ``probes`` nearest buckets of each table.
 What a bucket holds is ranked by the exact inner product. Equal vectors are one entry with its smallest ids, so a vector
-that a third of all rows share is hashed and ranked once.
+that a third of all rows share is hashed and ranked once. Queries that find too few rows are ranked against all vectors.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from shelfwright.llm.common import snapshot
 
 @dataclass(frozen=True)
 class Index:
-    """``tables`` hash tables of ``probes`` buckets looked into. Up to ``per_hash`` entries a bucket is one axis; beyond,
-    it is two axes of two rotations, and so on, so that buckets stay small as the input grows."""
+    """``tables`` hash tables of ``probes`` buckets looked into in each band of norms. A bucket is one axis, whatever the
+    input, for large ones are cut into blocks; given ``per_hash``, beyond so many entries it is two axes of two rotations, and
+    so on, for smaller buckets of which the same probes see less."""
 
     tables: int = 8
     probes: int = 24
-    per_hash: int = 1 << 24
+    per_hash: int | None = None
     seed: int = 11
     #: Vectors, or queries, of a bucket that meet in one block.
     block: int = 8192
@@ -105,38 +106,72 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, index: Index = Inde
         vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_e")).join(classes.select("rep", "embedding"), F.col("_e") == F.col("embedding")).select("query_id", "rep"), "asked"
     )
     squared = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    count, longest, shortest, dim = classes.select(squared.alias("s"), F.size("embedding").alias("d")).agg(F.count("*"), F.max("s"), F.min("s"), F.max("d")).first()
+    # Bands of norms, a factor of 1.41 wide; unit vectors are in the middle of one.
+    banded = snapshot(classes.withColumn("s", squared).withColumn("d", F.size("embedding")).withColumn("band", F.coalesce(F.round(F.log2("s")), F.lit(-2000)).cast("int")), "banded")
+    bands = {(r["d"], r["band"]): r for r in banded.groupBy("d", "band").agg(F.count("*").alias("n"), F.max("s").alias("longest"), F.min("s").alias("shortest")).collect()}
+    count, dim = sum(r["n"] for r in bands.values()), max((d for d, _ in bands), default=0)
     hashes = 1
-    while count > index.per_hash**hashes:
+    while index.per_hash and count > index.per_hash**hashes:
         hashes += 1
-    # Only vectors of unlike lengths need the extra coordinate.
-    reach = longest if count and longest - shortest > 1e-6 * longest else None
+    # Only bands of unlike lengths need the extra coordinate.
+    reach = {b: r["longest"] if r["longest"] - r["shortest"] > 1e-6 * r["longest"] else None for b, r in bands.items()}
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def dealt(given: np.ndarray, reps: np.ndarray, extra: np.ndarray | None, asks: bool, own_bands: list[int]) -> Iterator[pd.DataFrame]:
+            own = given if extra is None else np.column_stack([given, extra])
+            rows = np.zeros((len(own), 1 << (own.shape[1] - 1).bit_length()))
+            rows[:, : own.shape[1]] = own
+            unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+            for t in range(index.tables):
+                found = buckets(unit, t, hashes, index.probes if asks else 1, index)
+                at = np.repeat(np.arange(len(given)), found.shape[1])
+                for band in own_bands:
+                    yield pd.DataFrame({"dim": given.shape[1], "band": band, "t": t, "bucket": found.ravel(), "asks": asks, "rep": reps[at], "vector": [given[i].tobytes() for i in at]})
+
         for frame in frames:
-            for dim, part in frame.groupby(frame["embedding"].str.len()):
+            for (dim, band), part in frame.groupby(["d", "band"]):
+                given, far = np.stack(part["embedding"].to_list()).astype(np.float64), reach[dim, band]
+                extra = None if far is None else np.sqrt(np.maximum(far - (given**2).sum(1), 0))
+                yield from dealt(given, part["rep"].to_numpy(), extra, False, [band])
+            for dim, part in frame[frame["asks"]].groupby("d"):
                 given = np.stack(part["embedding"].to_list()).astype(np.float64)
-                own = given if reach is None else np.column_stack([given, np.zeros(len(given))])
-                rows = np.zeros((len(own), 1 << (own.shape[1] - 1).bit_length()))
-                ask = part["asks"].to_numpy()
-                for query in (False, True):
-                    chosen = np.flatnonzero(ask) if query else np.arange(len(part))
-                    if not len(chosen):
-                        continue
-                    rows[:, : own.shape[1]] = own
-                    if reach is not None and not query:
-                        rows[:, own.shape[1] - 1] = np.sqrt(np.maximum(reach - (given**2).sum(1), 0))
-                    unit = rows[chosen] / np.linalg.norm(rows[chosen], axis=1, keepdims=True)
-                    number = index.probes if query else 1
-                    for t in range(index.tables):
-                        found = buckets(unit, t, hashes, number, index)
-                        at = np.repeat(chosen, found.shape[1])
-                        yield pd.DataFrame({"dim": int(dim), "t": t, "bucket": found.ravel(), "asks": query, "rep": part["rep"].to_numpy()[at], "vector": [given[i].tobytes() for i in at]})
+                for plain in (True, False):
+                    if alike := [b for (d, b), far in reach.items() if d == dim and (far is None) == plain]:
+                        yield from dealt(given, part["rep"].to_numpy(), None if plain else np.zeros(len(given)), True, alike)
 
     queries = asked.select(F.col("rep").alias("_q")).distinct()
-    flagged = classes.select("rep", "embedding").join(queries, F.col("rep") == F.col("_q"), "left").select("rep", "embedding", F.col("_q").isNotNull().alias("asks"))
-    dealt = snapshot(flagged.mapInPandas(hashed, "dim int, t int, bucket long, asks boolean, rep long, vector binary"), "dealt")
-    key = ["dim", "t", "bucket"]
+    flagged = banded.join(queries, F.col("rep") == F.col("_q"), "left").select("rep", "embedding", "d", "band", F.col("_q").isNotNull().alias("asks"))
+    schema = "dim int, band int, t int, bucket long, asks boolean, rep long, vector binary"
+    lists = _met(flagged.mapInPandas(hashed, schema), classes, k, index, count * index.tables * (dim or 0))
+
+    # Each list holds k rows and the query itself, or all rows there are; what is shorter is ranked again, against all.
+    rows = classes.groupBy(F.size("embedding").alias("_d")).agg(F.sum(F.size("members")).alias("rows"))
+    listed = flagged.filter("asks").join(rows, F.col("d") == F.col("_d")).join(lists.select("q", F.size("best").alias("found")), F.col("rep") == F.col("q"), "left")
+    short = snapshot(listed.filter(F.coalesce("found", F.lit(0)) < F.least("rows", F.lit(k + 1))).select(F.col("rep").alias("_q"), F.col("d").alias("_d")), "short")
+    if not short.isEmpty():
+
+        def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                vectors = [np.asarray(x, np.float64).tobytes() for x in frame["embedding"]]
+                yield pd.DataFrame({"dim": frame["d"], "band": 0, "t": -1, "bucket": 0, "asks": frame["asks"], "rep": frame["rep"], "vector": vectors})
+
+        asking = flagged.join(short, F.col("rep") == F.col("_q"), "left_semi")
+        against = flagged.join(short.select("_d").distinct(), F.col("d") == F.col("_d"), "left_semi").withColumn("asks", F.lit(False))
+        again = _met(asking.unionByName(against).mapInPandas(whole, schema), classes, k, index, count * (dim or 0))
+        lists = lists.join(short, F.col("q") == F.col("_q"), "left_anti").unionByName(again)
+    # Queries with one vector share a list, less their own id.
+    return (
+        asked.join(lists, F.col("rep") == F.col("q"))
+        .select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("rank", "x"))
+        .select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    )
+
+
+def _met(dealt: DataFrame, classes: DataFrame, k: int, index: Index, numbers: int) -> DataFrame:
+    """q, best: the k + 1 best of the vectors that share a bucket with each query, as (minus the score, vec_id). numbers: of
+    components of all vectors dealt."""
+    dealt = snapshot(dealt, "dealt")
+    key = ["dim", "band", "t", "bucket"]
     sizes = snapshot(
         dealt.groupBy(*key).agg(F.sum((~F.col("asks")).cast("int")).alias("nv"), F.sum(F.col("asks").cast("int")).alias("nq"))
         .filter("nv > 0 AND nq > 0").select(*[F.col(c).alias(f"_{c}") for c in key], *[F.ceil(F.col(c) / index.block).cast("int").alias(f"_{c}") for c in ("nv", "nq")]), "sizes"
@@ -144,7 +179,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, index: Index = Inde
     # A block of a bucket's vectors meets every block of its queries.
     part, other = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("_nq")).otherwise(F.col("_nv"))), F.when(F.col("asks"), F.col("_nv")).otherwise(F.col("_nq"))
     # A query's best are ranked once per group of buckets it looks into, so groups are as large as a task can hold.
-    groups = max(8, count * index.tables * 8 * (dim or 0) // index.group_bytes)
+    groups = max(8, numbers * 8 // index.group_bytes)
     blocks = (
         dealt.join(sizes, [F.col(c) == F.col(f"_{c}") for c in key])
         .select(*key, "asks", "rep", "vector", part.alias("own"), F.explode(F.sequence(F.lit(0), other - 1)).alias("with"))
@@ -183,14 +218,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, index: Index = Inde
         .withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
     )
     ordered = F.struct((-F.col("score")).alias("s"), F.col("vec_id"))
-    lists = snapshot(
+    return snapshot(
         top.join(classes.select(F.col("rep").alias("_r"), "members"), F.col("rep") == F.col("_r"))
         .select("q", "score", F.explode("members").alias("vec_id"))
         .groupBy("q").agg(F.slice(F.sort_array(F.collect_list(ordered)), 1, k + 1).alias("best")), "lists"
     )
-    # Queries with one vector share a list, less their own id.
-    return (
-        asked.join(lists, F.col("rep") == F.col("q"))
-        .select("query_id", F.posexplode(F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)).alias("rank", "x"))
-        .select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
-    )

@@ -137,6 +137,29 @@ def test_more_vectors_take_more_axes(spark):
     assert len(got) == 20 and all(len(v) == 5 for v in got.values())
 
 
+def recall(spark, rows, index=cross_polytope.Index()):
+    got = search(spark, [(i, v.tolist(), "", "") for i, v in rows.items()], 20, index)
+    asked = [i for i in rows if i % 20 == 0]
+    assert all(len(got[q]) == min(20, len(rows) - 1) for q in asked)
+    return sum(len({i for i, _ in exact(rows, q, 20)} & {i for i, _ in got[q]}) for q in asked) / sum(min(20, len(rows) - 1) for _ in asked)
+
+
+def units(n):
+    rows = np.random.default_rng(8).normal(size=(n, 64))
+    return {i: (v / np.linalg.norm(v)).astype(np.float32) for i, v in enumerate(rows)}
+
+
+def test_a_long_vector_spoils_no_others(spark):
+    rows = units(2000)
+    rows[7] = rows[7] * 100
+    assert recall(spark, rows) >= 0.95
+
+
+def test_few_vectors_or_two_axes_find_all_rows(spark):
+    assert recall(spark, units(15)) == 1
+    assert recall(spark, units(1500), cross_polytope.Index(per_hash=1000)) > 0
+
+
 # Packing
 
 
