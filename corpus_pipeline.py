@@ -1,8 +1,7 @@
 """The corpus pipeline: stages from documents to packed training sequences.
 
 Each stage takes what its predecessor kept, decides over all of it, and its decisions take effect; all but the last give
-rows of the columns of documents. ``doc_id`` is taken to name a document, as in the given table; rows that share an id
-share the decisions about it.
+rows of the columns of documents. Decisions are about rows: a null or repeated ``doc_id`` does not spread them to other texts.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwright.llm import bktree, mixing, packing, quality, runindex
@@ -19,22 +18,33 @@ from shelfwright.llm.common import count_words, load, snapshot, whole_rows
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of ``docs`` whose id is (left_semi) or is not (left_anti) among the ids; null is an id like any other."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return whole_rows(docs).join(ids, F.col("d.doc_id").eqNullSafe(F.col("_id")), how).select("d.*")
+def _digest(text: str) -> Column:
+    """MD5 of a text; a null text is empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the risk-controlled rules reject."""
-    rated = quality.rate(docs, load(spark, sf_dir, "labels"), ["doc_id", "lang"])
-    return _only(docs, snapshot(rated.filter(~F.col("kept")).select("doc_id"), "rejected"), "left_anti")
+    own = docs.select("doc_id", "lang", "text", _digest("text").alias("digest"))
+    rated = quality.rate(own, load(spark, sf_dir, "labels"), ["doc_id", "lang", "digest"])
+    # What a verdict hangs on besides the labels: rows alike in these have the same one.
+    rejected = snapshot(rated.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("digest").alias("_digest")).distinct(), "rejected")
+    same = F.col("d.doc_id").eqNullSafe(F.col("_id")) & F.col("d.lang").eqNullSafe(F.col("_lang")) & (_digest("d.text") == F.col("_digest"))
+    return whole_rows(docs).join(rejected, same, "left_anti").select("d.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints: the one with the smallest id."""
-    found = bktree.near_duplicates(docs)
-    return _only(docs, snapshot(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "copies"), "left_anti")
+    """One row of each component of linked fingerprints: the one with the smallest id (nulls last), then digest; of rows
+    alike in both, the least."""
+    own = docs.select("doc_id", "text", _digest("text").alias("digest"))
+    found = bktree.near_duplicates(own, keep=("digest",)).groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("f")
+    firsts = snapshot(found.groupBy("label").agg(first).select(F.col("f.doc_id").alias("_id"), F.col("f.digest").alias("_digest"), F.col("f.n").alias("_n")), "firsts")
+    is_first = F.col("d.doc_id").eqNullSafe(F.col("_id")) & (_digest("d.text") == F.col("_digest"))
+    rows = whole_rows(docs)
+    once = rows.join(firsts.filter("_n = 1"), is_first, "left_semi").select("d.*")
+    copies = rows.join(firsts.filter("_n > 1"), is_first).groupBy("_id", "_digest").agg(F.min("d").alias("d")).select("d.*")
+    return once.unionByName(copies)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +52,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     document of which nothing is left goes, one that was empty stays."""
     found = runindex.dedupe(docs).filter("n_removed > 0").select("doc_id", "digest", "kept")
     found = snapshot(found.dropDuplicates(["doc_id", "digest"]).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), "kept")
-    digest = F.unhex(F.md5(F.coalesce("d.text", F.lit("")).cast("binary")))
-    joined = whole_rows(docs).join(found, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left")
+    joined = whole_rows(docs).join(found, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (_digest("d.text") == F.col("_digest")), "left")
     cut = F.col("_digest").isNotNull()
     text = F.when(cut, F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), F.lit("�"), F.lit(""))).otherwise(F.col("d.text"))
     out = joined.withColumn("_text", text).filter(~cut | (F.length("_text") > 0))

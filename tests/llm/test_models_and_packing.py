@@ -351,3 +351,15 @@ def test_pipeline_bears_odd_documents(spark):
     empty = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_pipeline_decides_about_rows(spark):
+    """Null and repeated ids spread no verdict to other texts, and of copies one row stays, whatever the ids."""
+    clean = [" ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest()[:6] for k in range(60)) for i in range(6)]
+    given_rows = [(None, clean[0]), (None, "# # #"), (1, clean[1]), (1, "# # #"), (2, clean[2]), (None, clean[2]), (None, clean[3]), (None, clean[3]), (3, clean[4]), (3, clean[4]), (3, clean[5])]
+    docs = documents(spark, given_rows)
+    rated = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality_rules(spark, docs, SMALL).collect())
+    assert rated == Counter(r for r in given_rows if r[1] != "# # #")
+    unlike = documents(spark, [r for r in given_rows if r[1] != "# # #"])
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, unlike, SMALL).collect())
+    assert left == Counter([(None, clean[0]), (1, clean[1]), (2, clean[2]), (None, clean[3]), (3, clean[4]), (3, clean[5])])
