@@ -122,8 +122,10 @@ class WordEncoder:
             if (found := older.get(word)) is not None:
                 known[word] = found
                 continue
-            base, tail = (word if b"<|" in word else word.lower()), b""
-            if base[-1:] in (b".", b",") and base[-2:-1].isalpha():
+            # Beside ASCII, a mark may compose with the letter before it, but not with its other case.
+            alone = word.isascii() and b"<|" not in word
+            base, tail = (word.lower() if alone else word), b""
+            if alone and base[-1:] in (b".", b",") and base[-2:-1].isalpha():
                 base, tail = base[:-1], base[-1:]
             parts[word] = (base, tail)
             unknown.update(x for x in (base, tail) if x and x not in known)

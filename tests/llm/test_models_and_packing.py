@@ -239,6 +239,14 @@ def test_word_by_word_encoding_is_the_tokenizers(parts):
 _TOKENIZER: list = []
 
 
+@pytest.mark.parametrize("text", ["J\u030c", "H\u0331 xT\u0308y.", "aJ\u030c, <|A. É. e\u0301."])
+def test_marks_compose_before_letters_change_case(text):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(WORD_BPE)
+    assert np.frombuffer(packing.WordEncoder(WORD_BPE)(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 # Language model
 
 
