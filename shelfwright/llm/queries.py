@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import bktree, context_mixing, cross_polytope, langmask, mixing, oracle, packing, prefix_tree, quality, runindex, sharding
+from shelfwright.llm import bktree, context_mixing, cross_polytope, idfiles, langmask, mixing, oracle, packing, prefix_tree, quality, runindex, sharding
 from shelfwright.llm.common import count_words, load, snapshot
+from shelfwright.sources.store import shared_dir
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 1 << 20
@@ -63,6 +66,12 @@ def bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    files = idfiles.write(load(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return idfiles.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_chat_trees": chat_trees,
     "op2_cross_polytopes": cross_polytopes,
@@ -74,6 +83,7 @@ QUERIES = {
     "op8_context_mixing": context_mixing_scores,
     "op9_language_filters": language_filters,
     "op10_bk_trees": bk_trees,
+    "op13_id_files": id_files,
 }
 
 ORACLES = oracle.ORACLES
