@@ -8,22 +8,21 @@ for the n-th piece of a length where it goes; pieces are numbered and placed whe
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfwright.llm.common import snapshot
+from shelfwright.llm.wordids import encoder, slices
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers; about 200 bytes each.
-REMEMBERED = 800_000
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
 
 
@@ -89,98 +88,36 @@ def best_fit(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(plan, np.int64).reshape(-1, 5)[np.lexsort(([r[1] for r in plan], [r[0] for r in plan]))] if plan else np.empty((0, 5), np.int64)
 
 
-class WordEncoder:
-    """Text to little-endian 32-bit ids, for a tokenizer that lower-cases, drops white space and parts letters from other
-    characters. Words are encoded once and remembered, up to two generations of ``REMEMBERED``.
-
-    Other cases of an ASCII word, and the word before a full stop or comma, are encoded as the bare word. Bare words of
-    letters skip what would not change them."""
-
-    def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self._whole, self._bare = Tokenizer.from_file(tokenizer_file), Tokenizer.from_file(tokenizer_file)
-        self._bare.normalizer = None
-        self._bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self._known, self._older = {}, {}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.encode("utf-8").split()
-        known = self._known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                self._older, self._known = known, {}
-                known, new = self._known, list(set(words))
-            self._learn(new)
-        return b"".join([known[w] for w in words])
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, older, parts, unknown = self._known, self._older, {}, set()
-        for word in words:
-            if (found := older.get(word)) is not None:
-                known[word] = found
-                continue
-            # Beside ASCII, a mark may compose with the letter before it, but not with its other case.
-            alone = word.isascii() and b"<|" not in word
-            base, tail = (word.lower() if alone else word), b""
-            if alone and base[-1:] in (b".", b",") and base[-2:-1].isalpha():
-                base, tail = base[:-1], base[-1:]
-            parts[word] = (base, tail)
-            unknown.update(x for x in (base, tail) if x and x not in known)
-        bare, whole = [], []
-        for part in unknown:
-            text = part.decode("utf-8")
-            plain = text.isalpha() and (part.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text)))
-            (bare if plain else whole).append((part, text))
-        if bare:
-            found = self._bare.encode([t for _, t in bare], is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            cuts = np.searchsorted(owner, np.arange(len(bare) + 1)).tolist()
-            for (part, _), a, b in zip(bare, cuts, cuts[1:]):
-                known[part] = ids[a:b].tobytes()
-        for (part, _), found in zip(whole, self._whole.encode_batch([t for _, t in whole], add_special_tokens=False)):
-            known[part] = np.array(found.ids, "<u4").tobytes()
-        for word, (base, tail) in parts.items():
-            known[word] = known[base] + known[tail] if tail else known[base]
-
-
-#: Of this worker process, for all the tasks it runs.
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder(tokenizer_file: str) -> WordEncoder:
-    if tokenizer_file not in _ENCODERS:
-        _ENCODERS[tokenizer_file] = WordEncoder(tokenizer_file)
-    return _ENCODERS[tokenizer_file]
-
-
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """The pieces of every row, each numbered (``nth``) among those of its length that its task saw (``task``)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task, seen, row = encoder(tokenizer_file), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), task_row()
-        ending = np.array([end_id], "<u4").tobytes()
-        for frame in frames:
-            out = []
-            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"]):
-                ids = (encode(text) if text else b"") + ending
-                number = next(row)
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    length = len(own) // 4
-                    out.append((number, doc_id, piece, at // 4, length, zlib.crc32(own), task, int(seen[length])))
-                    seen[length] += 1
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
-
-    def task_row() -> Iterator[int]:
-        number = TaskContext.get().partitionId() << 40
-        while True:
-            yield number
-            number += 1
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, task, seen = encoder(tokenizer_file), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        row = task << 40
+        for batch in batches:
+            doc_ids = batch.column(0)
+            for first, texts in slices(batch.column(1)):
+                ids, offsets = encode(texts, end_id)
+                sizes = np.diff(offsets)
+                cuts = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), cuts)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * capacity
+                length = np.minimum(sizes[owner] - start, capacity)
+                at, data = offsets[owner] + start, memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist())]
+                # The n-th of its length: its place among equal lengths here, after those of the batches before.
+                order = np.argsort(length, kind="stable")
+                tally = np.bincount(length, minlength=capacity + 1)
+                nth = np.empty(len(order), np.int64)
+                nth[order] = np.arange(len(order)) - np.repeat(np.cumsum(tally) - tally, tally)
+                nth += seen[length]
+                seen += tally
+                columns = [row + owner, doc_ids.slice(first, len(texts)).take(pa.array(owner)), piece.astype(np.int32), start, length, np.array(crc, np.int64), np.full(len(owner), task), nth]
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in PIECES.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

@@ -8,13 +8,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfwright.llm import context_mixing, cross_polytope, langmask, packing, prefix_tree
+from shelfwright.llm import context_mixing, cross_polytope, langmask, packing, prefix_tree, wordids
 from tests.llm.helpers import documents, near_copies, odd_rows
 
 SMALL = "/root/testdata/sf0.001"
@@ -233,7 +234,9 @@ def test_word_by_word_encoding_is_the_tokenizers(parts):
     text = "".join(parts)
     whole = Tokenizer.from_file(WORD_BPE) if not _TOKENIZER else _TOKENIZER[0]
     _TOKENIZER[:] = [whole]
-    assert np.frombuffer(packing.encoder(WORD_BPE)(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    ids, offsets = wordids.encoder(WORD_BPE)(pa.array([text, "x", text]), 7)
+    want = whole.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == [*want, 7, *whole.encode("x").ids, 7, *want, 7] and offsets.tolist() == [0, len(want) + 1, len(want) + 3, len(ids)]
 
 
 _TOKENIZER: list = []
@@ -244,7 +247,35 @@ def test_marks_compose_before_letters_change_case(text):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(WORD_BPE)
-    assert np.frombuffer(packing.WordEncoder(WORD_BPE)(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    ids, _ = wordids.WordIds(WORD_BPE)(pa.array([text]), 0)
+    assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_every_word_of_the_vocabulary_is_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(WORD_BPE)
+    words = [whole.decode([i]) for i in range(512, 49_406)]
+    ids, offsets = wordids.encoder(WORD_BPE)(pa.array(words), 0)
+    want = whole.encode_batch_fast(words, add_special_tokens=False)
+    assert [ids[a : b - 1].tolist() for a, b in zip(offsets, offsets[1:])] == [e.ids for e in want]
+
+
+def test_other_tokenizers_encode_texts_whole():
+    from tokenizers import Tokenizer
+
+    other = wordids.WordIds(BYTE_BPE)
+    assert other._quick is None
+    texts = ["Two  words\n", "", "<|endoftext|> é"]
+    ids, offsets = other(pa.array(texts), 5)
+    whole = Tokenizer.from_file(BYTE_BPE)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [[*whole.encode(t, add_special_tokens=False).ids, 5] for t in texts]
+
+
+def test_slices_are_bounded_by_bytes():
+    texts = ["a" * 10, None, "b" * 50, "c", "d" * 3]
+    assert [(at, s.to_pylist()) for at, s in wordids.slices(pa.array(texts), 12)] == [(0, ["a" * 10, ""]), (2, ["b" * 50]), (3, ["c", "d" * 3])]
+    assert list(wordids.slices(pa.array([], pa.string()))) == []
 
 
 # Language model
