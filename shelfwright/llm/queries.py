@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwright.llm import bktree, context_mixing, cross_polytope, idfiles, langmask, mixing, oracle, packing, prefix_tree, quality, runindex, sharding
+from shelfwright.llm import alignment, bktree, context_mixing, cross_polytope, idfiles, langmask, mixing, oracle, packing, prefix_tree, quality, runindex, runs, sharding
 from shelfwright.llm.common import count_words, load, snapshot
 from shelfwright.sources.store import shared_dir
 
@@ -66,6 +67,49 @@ def bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def aligned_tokens(docs: DataFrame, sent: int = alignment.SENT) -> DataFrame:
+    """Alignments of byte-level ids with pieces, with a digest of the groups."""
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    derive = lambda frame: frame.withColumn("groups_sha256", digest).drop("groups")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), derive, sent)
+
+
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_tokens(load(spark, sf_dir, "documents"))
+
+
+def _planted(doc_id: str, n: int) -> tuple[int, int] | None:
+    """From which word on a text repeats how many words: one document in ten does."""
+    h = zlib.crc32(doc_id.encode())
+    if h % 10:
+        return None
+    g = h // 10
+    start = g % n
+    return start, 1 + (n - start) // (3 + g % 8)
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """Runs and digests of every document, after one in ten is made to repeat."""
+    none = F.lit(None).cast(runs.RUN)
+    # Runs come by start and period, so the first of equal exponents stands.
+    more = lambda best, r: best["length"].isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda best, r: F.when(more(best, r), r).otherwise(best))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    found = runs.find(docs, _planted).withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(load(spark, sf_dir, "documents"))
+
+
 def id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     files = idfiles.write(load(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
@@ -83,6 +127,8 @@ QUERIES = {
     "op8_context_mixing": context_mixing_scores,
     "op9_language_filters": language_filters,
     "op10_bk_trees": bk_trees,
+    "op11_token_alignment": token_alignment,
+    "op12_word_runs": word_runs,
     "op13_id_files": id_files,
 }
 
