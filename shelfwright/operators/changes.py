@@ -7,6 +7,7 @@ applied, skipped (there was no new value) or failed (the object is gone).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from shelfwright.catalog import Catalog
 from shelfwright.functions.formula import Formula
 from shelfwright.functions.numbers import number_text, numeric
-from shelfwright.operators.actions import Action, FormulaAction, check_actions, reads_of
+from shelfwright.operators.actions import Action, FormulaAction, actions_to_json, check_actions, reads_of
 from shelfwright.operators.fields import PRICE_FIELDS, PRICE_META_KEYS, Field, FieldRegistry, unique
 from shelfwright.operators.filters import Filter
-from shelfwright.operators.resolve import Facts, Matcher, all_of
-from shelfwright.schema import CHANGE_COLUMNS, CHANGE_KEY, PRICE_TYPE, ChangeStatus
+from shelfwright.operators.resolve import Facts, ManyMatcher, Matcher, all_of
+from shelfwright.schema import CHANGE_COLUMNS, CHANGE_KEY, PRICE_TYPE, ChangeStatus, Scope
 
 
 def preview(catalog: Catalog, flt: Filter, actions: Sequence[Action], registry: FieldRegistry) -> DataFrame:
@@ -181,31 +182,35 @@ def _fields_of(actions: Sequence[Action], registry: FieldRegistry) -> list[Field
     return unique([registry.get(a.field) for a in actions] + reads_of(actions, registry))
 
 
-def _evaluate(
+def _outcomes(
     rows: DataFrame,
     actions: Sequence[Action],
     registry: FieldRegistry,
     texts: Mapping[str, Column],
     found: Column,
     pending: Sequence[Column] | None,
-) -> DataFrame:
-    """Run the actions in order; each sees what earlier ones have set on the same object."""
+    tag: str = "",
+    only: Column | None = None,
+) -> tuple[DataFrame, list[dict[str, Column]]]:
+    """Run the actions in order; each sees what earlier ones have set on the same object. Gives the columns of a log row per
+    action; ``only`` tells for which rows they are computed."""
     staged = dict(texts)
     parts = []
     for i, action in enumerate(actions):
-        field = registry.get(action.field)
+        field, number, name = registry.get(action.field), f"__number{tag}{i}", f"{tag}{i}"
         if isinstance(action, FormulaAction):
             # Its own projection, so that printing the number does not repeat computing it.
-            rows = rows.withColumn(f"__number{i}", action.new_number(registry, staged))
-            new = number_text(F.col(f"__number{i}"))
+            value = action.new_number(registry, staged)
+            rows = rows.withColumn(number, value if only is None else F.when(only, value))
+            new = number_text(F.col(number))
         else:
             new = action.new_text(registry, staged)
         # The log records what the catalog will hold.
         new = field.hold(new)
         if pending is not None:
             new = F.when(pending[i], new)
-        rows = rows.withColumns({f"__old{i}": staged[field.key], f"__new{i}": new})
-        old, new = F.col(f"__old{i}"), F.col(f"__new{i}")
+        rows = rows.withColumns({f"__old{name}": staged[field.key], f"__new{name}": new})
+        old, new = F.col(f"__old{name}"), F.col(f"__new{name}")
         staged[field.key] = F.when(new.isNotNull(), field.read(field.write(new))).otherwise(old)
         status = (
             F.when(~found, int(ChangeStatus.FAILED))
@@ -222,6 +227,18 @@ def _evaluate(
                 "status": status.cast("int"),
             }
         )
+    return rows, parts
+
+
+def _evaluate(
+    rows: DataFrame,
+    actions: Sequence[Action],
+    registry: FieldRegistry,
+    texts: Mapping[str, Column],
+    found: Column,
+    pending: Sequence[Column] | None,
+) -> DataFrame:
+    rows, parts = _outcomes(rows, actions, registry, texts, found, pending)
     if len(parts) == 1:
         return rows.withColumns(parts[0]).select(*CHANGE_COLUMNS)
     structs = [F.struct(*[c.alias(n) for n, c in part.items()]) for part in parts]
@@ -236,6 +253,53 @@ def _evaluate(
     return rows.select("operation_id", "object_type", "object_id", "__row.*")
 
 
+@dataclass(frozen=True)
+class Template:
+    """A filter with its actions, and the operation id its change set goes under."""
+
+    number: int
+    flt: Filter
+    actions: tuple[Action, ...]
+
+
+def changesets(catalog: Catalog, templates: Sequence[Template], registry: FieldRegistry) -> DataFrame | None:
+    """The change sets of all templates against one catalog version, in the table passes of one change set per scope.
+
+    All conditions are bits of one row per object. A row is repeated for each template it matches and can be given a value
+    by; action lists that several templates share are evaluated in one place."""
+    found = None
+    for scope in sorted({t.flt.scope for t in templates}, key=lambda s: s.value):
+        rows = _scope_changesets(catalog, scope, [t for t in templates if t.flt.scope is scope], registry)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _scope_changesets(catalog: Catalog, scope: Scope, templates: Sequence[Template], registry: FieldRegistry) -> DataFrame:
+    matcher = ManyMatcher(catalog, scope)
+    takers, texts = [], {}
+    lists: dict[str, tuple[Sequence[Action], list[int]]] = {}
+    for t in templates:
+        check_actions(t.actions, registry)
+        takes = matcher.test(t.flt) & all_of([matcher.present(f) for f in reads_of(t.actions, registry)])
+        takers.append(F.when(takes, F.lit(t.number).cast("bigint")))
+        texts |= {f.key: matcher.text(f) for f in _fields_of(t.actions, registry)}
+        lists.setdefault(actions_to_json(t.actions), (t.actions, []))[1].append(t.number)
+    named = {key: f"__text{i}" for i, key in enumerate(texts)}
+    rows = matcher.frame().select(
+        "object_id",
+        *[texts[key].alias(name) for key, name in named.items()],
+        F.explode(F.array_compact(F.array(*takers))).alias("operation_id"),
+    )
+    rows = rows.withColumn("object_type", F.lit(scope.value))
+    chosen, current = None, {key: F.col(name) for key, name in named.items()}
+    for i, (actions, numbers) in enumerate(lists.values()):
+        mine = F.col("operation_id").isin(*numbers)
+        rows, parts = _outcomes(rows, actions, registry, current, F.lit(True), None, f"{i}_", mine)
+        structs = F.array(*[F.struct(*[c.alias(n) for n, c in part.items()]) for part in parts])
+        chosen = F.when(mine, structs) if chosen is None else chosen.when(mine, structs)
+    return rows.select("operation_id", "object_type", "object_id", F.inline(chosen)).select(*CHANGE_COLUMNS)
+
+
 def settle(log: DataFrame, outcomes: DataFrame, order_by: str | None = None) -> DataFrame:
     """Record outcomes in a log: a pending row takes the first outcome reported for it, a settled
     row takes none. Repeated reports collapse before the shuffle."""

@@ -65,7 +65,11 @@ def object_progress(log: DataFrame) -> DataFrame:
 
 def operation_progress(log: DataFrame, operations: DataFrame) -> DataFrame:
     """Progress of every operation, recomputed from its changes."""
-    progress = object_progress(log)
+    return progress_rows(object_progress(log), operations)
+
+
+def progress_rows(progress: DataFrame, operations: DataFrame) -> DataFrame:
+    """Progress of every operation from its counts in rows and objects; zeros where there are none."""
     joined = operations.select("id", "status").join(
         progress, F.col("id") == F.col("operation_id"), "left"
     )

@@ -85,17 +85,21 @@ class Matcher:
     """One filter over one catalog. Ask for the values and presence flags the caller needs, then
     take ``frame()``: the matching rows of ``objects`` with those facts alongside."""
 
+    facts = Facts
+
     def __init__(self, catalog: Catalog, flt: Filter, ignore_case: bool = False):
+        self._open(catalog, flt.scope, ignore_case)
+        self._predicate = self._filtered(flt)
+
+    def _open(self, catalog: Catalog, scope: Scope, ignore_case: bool) -> None:
         self._catalog = catalog
-        self._filter = flt
         self._ignore_case = ignore_case
-        self._meta = Facts(catalog.meta, "meta_key", "__m")
-        self._terms = Facts(catalog.object_terms, "taxonomy", "__t")
-        self._scope = flt.scope
+        self._meta = self.facts(catalog.meta_of(scope), "meta_key", "__m")
+        self._terms = self.facts(catalog.object_terms, "taxonomy", "__t")
+        self._scope = scope
         self._in_scope = (F.col("object_type") == self._scope.value) & (F.col("status") == "publish")
         # Products that leave pricing to their variations have no price of their own.
         self._priced = self._has_meta("_regular_price") if self._scope is Scope.PRODUCT else None
-        self._predicate = self._combine([t for t in map(self._test, flt.conditions) if t is not None])
 
     def present(self, field: Field) -> Column:
         """True where the object carries a non-empty value for a field."""
@@ -132,12 +136,12 @@ class Matcher:
     def _has_meta(self, key: str) -> Column:
         return self._meta.flag(key, F.col("meta_value") != "")
 
-    def _combine(self, tests: list[Column]) -> Column | None:
+    def _filtered(self, flt: Filter) -> Column | None:
+        """A filter as one test over a row; None where it says nothing."""
+        tests = [t for t in map(self._test, flt.conditions) if t is not None]
         if not tests:
             return None
-        if self._filter.relation == "OR":
-            return reduce(lambda a, b: a | b, tests)
-        return reduce(lambda a, b: a & b, tests)
+        return reduce(lambda a, b: a | b if flt.relation == "OR" else a & b, tests)
 
     def _test(self, condition: Condition) -> Column | None:
         """One condition as a test, or None where it says nothing and is dropped."""
@@ -242,6 +246,74 @@ class Matcher:
         return self._meta.flag(key, self._text_test(subject, condition))
 
 
+class PackedFacts(Facts):
+    """Facts whose flags are bits: a word of an object holds ``WORD`` of them, so hundreds of tests are a few numbers in the
+    aggregation and in the shuffle."""
+
+    WORD = 63
+
+    def __init__(self, table: DataFrame, label: str, prefix: str):
+        super().__init__(table, label, prefix)
+        self._hits: list[Column] = []
+        self._inputs: list[Column] = []
+        self._labels: set[str] = set()
+
+    def flag(self, label: str, test: Column | None = None) -> Column:
+        row = F.col(self._label) == F.lit(label)
+        word, bit = divmod(len(self._hits), self.WORD)
+        self._hits.append(row if test is None else row & test)
+        self._labels.add(label)
+        packed = F.col(f"{self._prefix}bits{word}").bitwiseAND(F.lit(1 << bit).cast("bigint"))
+        return F.coalesce(packed != 0, F.lit(False))
+
+    def value(self, label: str, value_column: str = "meta_value") -> Column:
+        if label not in self._values:
+            self._values[label] = f"{self._prefix}value{len(self._inputs)}"
+            self._inputs.append(F.when(F.col(self._label) == F.lit(label), F.col(value_column)))
+            self._labels.add(label)
+        return F.col(self._values[label])
+
+    def frame(self, key: str = "object_id") -> DataFrame | None:
+        if not self._labels:
+            return None
+        none, bits = F.lit(0).cast("bigint"), {}
+        for at in range(0, len(self._hits), self.WORD):
+            own = [F.when(h, F.lit(1 << k).cast("bigint")).otherwise(none) for k, h in enumerate(self._hits[at : at + self.WORD])]
+            bits[f"{self._prefix}bits{at // self.WORD}"] = reduce(lambda a, b: a.bitwiseOR(b), own)
+        values = {f"{self._prefix}value{i}": c for i, c in enumerate(self._inputs)}
+        rows = self._table.where(F.col(self._label).isin(*sorted(self._labels)))
+        rows = rows.select(F.col("object_id").alias(key), *[c.alias(n) for n, c in (bits | values).items()])
+        return rows.groupBy(key).agg(*[F.bit_or(n).alias(n) for n in bits], *[F.max(n).alias(n) for n in values])
+
+
+class ManyMatcher(Matcher):
+    """Any number of filters of one scope over one catalog, in the passes of one filter: every different condition is one bit of
+    an object, and a filter is a test of bits. ``frame()`` has all objects of the scope; ``test`` tells what a filter says."""
+
+    facts = PackedFacts
+
+    def __init__(self, catalog: Catalog, scope: Scope, ignore_case: bool = False):
+        self._known: dict[str, Column | None] = {}
+        self._predicate = None
+        self._open(catalog, scope, ignore_case)
+
+    def test(self, flt: Filter) -> Column:
+        found = self._filtered(flt)
+        return F.lit(True) if found is None else F.coalesce(found, F.lit(False))
+
+    def _test(self, condition: Condition) -> Column | None:
+        said = f"condition {condition.to_dict()!r}"
+        if said not in self._known:
+            self._known[said] = super()._test(condition)
+        return self._known[said]
+
+    def _has_meta(self, key: str) -> Column:
+        said = f"meta {key}"
+        if said not in self._known:
+            self._known[said] = super()._has_meta(key)
+        return self._known[said]
+
+
 def _term_ids(condition: Condition) -> list[int]:
     return [i for i in map(literal_int, condition.values()) if i != 0]
 

@@ -771,3 +771,42 @@ ORACLES |= {
       FROM ({sql("operations", "SELECT id, source, target_count FROM operations")}) o
       JOIN ({ORACLES['operation_final_status']}) f ON f.id = o.id""",
 }
+
+# Counters kept, chains, parts and indexes: what they stand for, computed from scratch.
+_CHAIN_ROWS = "products object_terms wide meta"
+_CHAIN = f"""SELECT c.object_id, w.rp, w.rp_text, c.stock_quantity, s.meta_value AS sp_text, k.meta_value AS cost_now,
+    round((round(w.rp + 10, 6) - 1) * 2, 6) - 1 AS rp5
+  FROM (SELECT * FROM products o WHERE stock_status = 'instock' AND {_term('product_cat', CATEGORIES)}) c
+  JOIN wide w ON w.object_id = c.object_id
+  LEFT JOIN meta s ON s.object_id = c.object_id AND s.meta_key = '_sale_price'
+  LEFT JOIN meta k ON k.object_id = c.object_id AND k.meta_key = '_cost'"""
+ORACLES |= {
+    "kept_operation_summary": ORACLES["operation_summary"],
+    "kept_operation_progress": ORACLES["operation_progress"],
+    # The fourth operation takes the sale price back to what the second found.
+    "chain_changeset": sql(
+        _CHAIN_ROWS,
+        f"""SELECT 2::BIGINT AS operation_id, 'product' AS object_type, object_id,
+          (CASE f WHEN 'regular_price' THEN 4096 WHEN 'stock_quantity' THEN 1 WHEN 'sale_price' THEN 3072 ELSE 4097 END)::INT AS action_ix,
+          CASE f WHEN '_cost' THEN 'meta' ELSE 'post_field' END AS field_type, f AS field_key,
+          CASE f WHEN 'regular_price' THEN rp_text WHEN 'stock_quantity' THEN stock_quantity::VARCHAR WHEN 'sale_price' THEN sp_text
+            ELSE coalesce(cost_now, '') END AS old_value,
+          CASE f WHEN 'regular_price' THEN {_number_text('rp5')} WHEN 'stock_quantity' THEN '7' WHEN 'sale_price' THEN sp_text ELSE '5' END AS new_value,
+          1 AS status
+        FROM ({_CHAIN}), (VALUES ('regular_price'), ('stock_quantity'), ('sale_price'), ('_cost')) a(f)""",
+    ),
+    "apply_chain_meta": sql(
+        _CHAIN_ROWS,
+        f"""SELECT m.object_id, meta_key, CASE WHEN c.object_id IS NULL THEN meta_value WHEN meta_key = '_regular_price' THEN {_number_text('rp5')}
+            WHEN meta_key = '_cost' THEN '5' ELSE meta_value END AS meta_value
+          FROM meta m LEFT JOIN ({_CHAIN}) c ON c.object_id = m.object_id
+        UNION ALL SELECT object_id, '_cost', '5' FROM ({_CHAIN}) WHERE cost_now IS NULL""",
+    ),
+    "undo_chain": sql(
+        _CHAIN_ROWS, f"SELECT * FROM meta UNION ALL SELECT object_id, '_cost', '' FROM ({_CHAIN}) WHERE cost_now IS NULL"
+    ),
+    "parted_meta_after_apply": ORACLES["meta_after_apply"],
+    "parted_catalog_after_apply": ORACLES["catalog_after_apply"],
+    "indexed_sku_contains": ORACLES["filter_sku_contains"],
+    "indexed_sku_matches": ORACLES["sku_matches"],
+}

@@ -19,13 +19,17 @@ from shelfwright.functions.values import values_equal
 from shelfwright.operators import changes as ch
 from shelfwright.operators import discovery, oplog, rules, undo, views
 from shelfwright.operators.actions import Action, FormulaAction, SetValue
+from shelfwright.operators.chain import compose
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Condition, Filter, filter_from_form
 from shelfwright.operators.resolve import count_matches, resolve, resolve_sorted, scan_scope
 from shelfwright.plans.rule import due_changesets
 from shelfwright.schema import Scope
+from shelfwright.sources import counters
+from shelfwright.sources.counters import CounterLog, batch_of
+from shelfwright.sources.index import SkuIndex, resolve_indexed
 from shelfwright.sources.star import MARKER_KEY, Star, term_id
-from shelfwright.sources.store import CatalogStore, ChangeLog, OperationLog, shared_dir, snapshot
+from shelfwright.sources.store import CatalogStore, ChangeLog, OperationLog, PartedStore, shared_dir, snapshot
 from shelfwright.sources.synth import drop_marked, synth_catalog
 from shelfwright.streaming import streams
 
@@ -608,6 +612,117 @@ def stored_operations(spark: SparkSession, path: str) -> DataFrame:
     return log.read().select("id", "status", "source", "target_count")
 
 
+@lru_cache(maxsize=2)
+def _kept_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The star's log counted as it is written: in batches, first pending and then settled, one batch twice, and compacted in between."""
+    rows, kept = Star(spark, path).changes(), CounterLog(spark, _folder(spark, "counters"))
+    kept.append(rows.withColumn("status", F.lit(0)), batch_of(4), 1)
+    kept.append(rows, batch_of(4), 2)
+    kept.compact()
+    kept.append(rows.where(batch_of(4) == 1), 1, 2)
+    return kept.counters()
+
+
+@query
+def kept_operation_summary(spark: SparkSession, path: str) -> DataFrame:
+    return counters.operation_summary(_kept_counters(spark, path))
+
+
+@query
+def kept_operation_progress(spark: SparkSession, path: str) -> DataFrame:
+    return counters.operation_progress(_kept_counters(spark, path), Star(spark, path).operations())
+
+
+# Chains, parts and indexes ---------------------------------------------------------------------
+
+CHAIN = (11, 12, 13, 14, 15)
+CHAIN_FIELDS = [PRICE, "sale_price", "stock_quantity", "meta:_cost"]
+
+
+#: Conditions that the chain itself does not change.
+CHAIN_FILTER = Filter(COMBINED.conditions[1:])
+
+
+@lru_cache(maxsize=2)
+def _chain_log(spark: SparkSession, path: str) -> tuple[Catalog, DataFrame]:
+    """Five operations applied in turn to the objects of a filter; the fourth undoes the second. The catalog before them, and the log."""
+    catalog, log = _catalog(spark, path), ChangeLog(spark, _folder(spark, "chain"))
+    ids = snapshot(resolve(catalog, CHAIN_FILTER), "ids")
+
+    def kept(c: Catalog) -> Catalog:
+        return c.with_tables(**{n: snapshot(getattr(c, n).join(ids, "object_id", "left_semi"), n) for n in ("objects", "meta")})
+
+    steps = [
+        [FormulaAction(PRICE, fm.var(PRICE) + 10), SetValue("stock_quantity", 7)],
+        [FormulaAction("sale_price", fm.var(PRICE) - 1)],
+        [FormulaAction(PRICE, fm.var("sale_price") * 2)],
+        None,
+        [FormulaAction(PRICE, fm.var(PRICE) - 1), SetValue("meta:_cost", "5")],
+    ]
+    now = kept(catalog)
+    for operation, actions in zip(CHAIN, steps):
+        if actions is None:
+            rows, fields = undo.revert_now(now, log.settled(CHAIN[1]), CHAIN[1], operation, ["sale_price"], "skip", REGISTRY), ["sale_price"]
+        else:
+            rows, fields = ch.changeset(now, CHAIN_FILTER, actions, operation, REGISTRY), [a.field for a in actions]
+        now = kept(ch.apply_changes(now, log.write_settled(rows, operation), fields, REGISTRY))
+    return catalog, log.all_settled()
+
+
+@query
+def chain_changeset(spark: SparkSession, path: str) -> DataFrame:
+    """Five operations as one change set."""
+    return compose(_chain_log(spark, path)[1], CHAIN, OPERATION)
+
+
+@query
+def apply_chain_meta(spark: SparkSession, path: str) -> DataFrame:
+    catalog, log = _chain_log(spark, path)
+    chain = snapshot(compose(log, CHAIN, OPERATION), "chain")
+    return ch.apply_changes(catalog, chain, CHAIN_FIELDS, REGISTRY).meta
+
+
+@query
+def undo_chain(spark: SparkSession, path: str) -> DataFrame:
+    """All five taken back at once: the metadata is what it was."""
+    catalog, log = _chain_log(spark, path)
+    chain = snapshot(compose(log, CHAIN, OPERATION), "chain")
+    after = ch.apply_changes(catalog, chain, CHAIN_FIELDS, REGISTRY)
+    undone = snapshot(undo.revert_now(after, chain, OPERATION, UNDO, CHAIN_FIELDS, "skip", REGISTRY), "undone")
+    return ch.apply_changes(after, undone, CHAIN_FIELDS, REGISTRY).meta
+
+
+@lru_cache(maxsize=2)
+def _parted(spark: SparkSession, path: str) -> Catalog:
+    catalog, store = _catalog(spark, path), PartedStore(spark, _folder(spark, "parted"))
+    changes = snapshot(ch.changeset(catalog, COMBINED, SALE_AFTER_PRICE, PARENT, REGISTRY), "changes")
+    store.write(catalog, "v1")
+    return store.apply("v1", changes, [a.field for a in SALE_AFTER_PRICE], REGISTRY, "v2")
+
+
+@query
+def parted_meta_after_apply(spark: SparkSession, path: str) -> DataFrame:
+    """A version that rewrites the parts of two keys and takes over the others."""
+    return _parted(spark, path).meta
+
+
+@query
+def parted_catalog_after_apply(spark: SparkSession, path: str) -> DataFrame:
+    return _shown(_parted(spark, path).objects.select("object_id", "title", "min_price", "max_price", "stock_quantity"))
+
+
+@query
+def indexed_sku_contains(spark: SparkSession, path: str) -> DataFrame:
+    """A SKU condition answered by a stored trigram index."""
+    catalog = _catalog(spark, path)
+    return resolve_indexed(catalog, FILTERS["filter_sku_contains"], SkuIndex(spark, _folder(spark, "skus")).write(catalog))
+
+
+@query
+def indexed_sku_matches(spark: SparkSession, path: str) -> DataFrame:
+    return SkuIndex(spark, _folder(spark, "skus")).write(_catalog(spark, path)).sku_matches("SKU-1")
+
+
 # Discovery -------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfwright.catalog import Catalog
 from shelfwright.operators.actions import actions_from_json, check_actions
-from shelfwright.operators.changes import changeset
+from shelfwright.operators.changes import Template, changeset, changesets
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Filter
 from shelfwright.operators.oplog import active_operation
@@ -51,21 +51,24 @@ class DueRules:
 
 
 def due_changesets(catalog: Catalog, rules: DataFrame, now: datetime, registry: FieldRegistry) -> DueRules:
-    """Change sets for all due rules against one catalog version. Rules that say the same share a plan and its rows, so
-    nothing is multiplied by the number of rules. There is one plan per template: what people have typed in."""
+    """Change sets for all due rules against one catalog version, in the table passes of one rule per scope however many there
+    are. Rules that say the same share a template and its rows. The different filters and actions, which people have typed in,
+    become the plan's expressions."""
     due = due_rules(rules, now)
     said = ["filter_json", "actions_json"]
-    templates, changes = [], None
-    for row in due.select(*said).distinct().orderBy(*said).collect():
-        number = len(templates) + 1
+    numbered, templates = [], []
+    for row in due.select(*said).distinct().orderBy(*said).toLocalIterator():
+        number = len(numbered) + 1
         try:
-            rows = rule_changeset(catalog, row, number, registry)
+            template = Template(number, Filter.from_json(row["filter_json"]), tuple(actions_from_json(row["actions_json"])))
+            check_actions(template.actions, registry)
         except (KeyError, TypeError, ValueError):
-            templates.append((row["filter_json"], row["actions_json"], None))
+            numbered.append((row["filter_json"], row["actions_json"], None))
             continue
-        templates.append((row["filter_json"], row["actions_json"], number))
-        changes = rows if changes is None else changes.unionByName(rows)
-    named = rules.sparkSession.createDataFrame(templates, "filter_json string, actions_json string, template long")
+        numbered.append((row["filter_json"], row["actions_json"], number))
+        templates.append(template)
+    changes = changesets(catalog, templates, registry)
+    named = rules.sparkSession.createDataFrame(numbered, "filter_json string, actions_json string, template long")
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in said]
     return DueRules(changes, due.alias("d").join(named.alias("t"), same).select("d.id", "t.template"))
 

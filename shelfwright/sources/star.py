@@ -64,8 +64,8 @@ class Star:
         return self._tables[name]
 
     def catalog(self) -> Catalog:
-        links = self._links()
-        return Catalog(self._objects(), self._meta(), self._terms(), links)
+        owned = self._meta()
+        return Catalog(self._objects(), owned.drop("object_type"), self._terms(), self._links(), owned)
 
     def _sold(self) -> DataFrame:
         """Variations: one per part and supplier of a line item."""
@@ -108,18 +108,23 @@ class Star:
         return products.unionByName(variations)
 
     def _meta(self) -> DataFrame:
+        """Metadata with the type of its owner. All keys of a product unfold from its part, and all keys of a variation from
+        one aggregate."""
         key = F.col("p_partkey")
         price = F.col("p_retailprice")
-        part = self.table("part")
-        product_id = (key + 1).cast("bigint").alias("object_id")
-
-        def of_part(rows: DataFrame, name: str, value: Column) -> DataFrame:
-            return rows.select(product_id, F.lit(name).alias("meta_key"), value.alias("meta_value"))
 
         def named(name: str, value: Column) -> Column:
             return F.struct(F.lit(name).alias("meta_key"), value.alias("meta_value"))
 
-        # All keys of a variation unfold from one aggregate.
+        cost = F.when(key % 7 == 0, "").when(key % 11 == 0, "n/a").otherwise(_money(price - 120))
+        of_part = F.array_compact(
+            F.array(
+                named("_regular_price", F.when(key % 4 == 0, "").otherwise(_money(price))),
+                named("_sale_price", F.when(key % 5 == 0, _money(price - 50)).otherwise("")),
+                named("_brand", F.col("p_brand")),
+                F.when(key % 3 != 0, named("_cost", cost)),
+            )
+        )
         of_pair = F.array_compact(
             F.array(
                 named("_regular_price", _money(F.col("low"))),
@@ -130,19 +135,13 @@ class Star:
                 ),
             )
         )
-
-        cost = F.when(key % 7 == 0, "").when(key % 11 == 0, "n/a").otherwise(_money(price - 120))
-        parts = [
-            of_part(part, "_regular_price", F.when(key % 4 == 0, "").otherwise(_money(price))),
-            of_part(part, "_sale_price", F.when(key % 5 == 0, _money(price - 50)).otherwise("")),
-            of_part(part, "_brand", F.col("p_brand")),
-            of_part(part.where(key % 3 != 0), "_cost", cost),
-            self._sold().select(self._variation_id().alias("object_id"), F.inline(of_pair)),
-        ]
-        meta = parts[0]
-        for rows in parts[1:]:
-            meta = meta.unionByName(rows)
-        return meta
+        products = self.table("part").select(
+            (key + 1).cast("bigint").alias("object_id"), F.lit("product").alias("object_type"), F.inline(of_part)
+        )
+        variations = self._sold().select(
+            self._variation_id().alias("object_id"), F.lit("variation").alias("object_type"), F.inline(of_pair)
+        )
+        return products.unionByName(variations)
 
     def _named_links(self) -> DataFrame:
         """(object_id, taxonomy, name): each part unfolds into its links in one scan."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 
 from shelfwright import schema as sc
 from shelfwright.catalog import Catalog
+from shelfwright.operators.changes import apply_changes
+from shelfwright.operators.fields import PRICE_FIELDS, FieldRegistry
 
 
 _local_dirs: dict[str, str] = {}
@@ -156,6 +159,111 @@ class CatalogStore:
         return "".join(c if c.isalnum() else "_" for c in f"catalog_{version}_{name}").lower()
 
 
+class PartedStore:
+    """Catalog versions that share what an operation has not touched.
+
+    Metadata lies in parts, by the type of its owner and a hash of its key, and objects by their type. A version is a list of parts and the
+    version whose files hold each. An operation writes the parts of its keys and takes the others over, so its cost follows what it
+    changes, not the catalog. Parts are written once; the list, with its marker, comes last."""
+
+    _PART = "table string, scope string, part int, version string"
+
+    def __init__(self, spark: SparkSession, root: str, parts: int = 32):
+        self._spark = spark
+        self._root = root.rstrip("/")
+        self._parts = parts
+
+    def exists(self, version: str) -> bool:
+        return is_complete(self._spark, f"{self._root}/{version}/parts")
+
+    def parts(self, version: str) -> list[tuple[str, str, int, str]]:
+        """(table, scope, part, version of the files): at most two lists of parts per table."""
+        if not self.exists(version):
+            raise ValueError(f"there is no complete catalog version {version}")
+        rows = self._spark.read.schema(self._PART).parquet(f"{self._root}/{version}/parts").collect()
+        return sorted(tuple(r) for r in rows)
+
+    def write(self, catalog: Catalog, version: str) -> Catalog:
+        """A whole catalog. Owners of metadata are looked up unless the catalog knows them; rows without one are kept."""
+        self._begin(version)
+        owned = catalog.owned_meta
+        if owned is None:
+            types = catalog.objects.select(F.col("object_id").alias("__id"), "object_type")
+            owned = catalog.meta.join(types, F.col("object_id") == F.col("__id"), "left").drop("__id")
+        listed = self._write(owned, "meta", version) + self._write(catalog.objects, "objects", version)
+        for name in ("terms", "object_terms"):
+            getattr(catalog, name).write.mode("overwrite").parquet(f"{self._root}/{version}/{name}")
+            listed.append((name, "", 0, version))
+        return self._finish(listed, version)
+
+    def apply(self, base: str, changes: DataFrame, fields: Sequence[str], registry: FieldRegistry, version: str) -> Catalog:
+        """The version that a (written) change set makes of another: only parts that it can touch are read and written."""
+        self._begin(version)
+        known = self.parts(base)
+        targets = [registry.get(f) for f in fields]
+        keys = {f.meta_key for f in targets if f.meta_key is not None}
+        scopes = [r[0] for r in changes.select("object_type").distinct().collect()]
+        touched = {("meta", s, self._part_of(k)) for s in scopes for k in keys}
+        listed = []
+        rewritten = None
+        for scope in scopes if keys else ():
+            few = self._open([p for p in known if p[0] == "meta" and p[:3] in touched and p[1] == scope])
+            own = apply_changes(few, changes.where(F.col("object_type") == scope), [f.key for f in targets if f.meta_key is not None], registry)
+            rows = own.meta.withColumn("object_type", F.lit(scope))
+            rewritten = rows if rewritten is None else rewritten.unionByName(rows)
+        if rewritten is not None:
+            listed += self._write(rewritten, "meta", version)
+        if any(f.column is not None or f.key in PRICE_FIELDS for f in targets):
+            touched |= {("objects", s, 0) for s in scopes}
+            whole = self._open([p for p in known if p[0] != "objects" or p[:3] in touched])
+            listed += self._write(apply_changes(whole, changes, fields, registry).objects, "objects", version)
+        return self._finish(listed + [p for p in known if p[:3] not in touched], version)
+
+    def open(self, version: str) -> Catalog:
+        return self._open(self.parts(version))
+
+    def _open(self, parts: Sequence[tuple[str, str, int, str]]) -> Catalog:
+        owned = self._read("meta", parts)
+        others = {name: self._read(name, parts) for name in ("objects", "terms", "object_terms")}
+        return Catalog(meta=owned.select(*sc.META.fieldNames()), owned_meta=owned, **others)
+
+    def _read(self, table: str, parts: Sequence[tuple[str, str, int, str]]) -> DataFrame:
+        columns = T.StructType([*sc.META, T.StructField("object_type", T.StringType())]) if table == "meta" else SCHEMAS[table]
+        paths = [self._folder(*p) for p in parts if p[0] == table]
+        if not paths:
+            return self._spark.createDataFrame([], columns)
+        return self._spark.read.schema(columns).parquet(*paths)
+
+    def _folder(self, table: str, scope: str, part: int, version: str) -> str:
+        own = f"/__scope={scope}/__part={part}" if scope else ""
+        return f"{self._root}/{version}/{table}{own}"
+
+    def _part_of(self, key: str) -> int:
+        return zlib.crc32(key.encode()) % self._parts
+
+    def _write(self, rows: DataFrame, table: str, version: str) -> list[tuple[str, str, int, str]]:
+        path = f"{self._root}/{version}/{table}"
+        part = (F.crc32(F.coalesce("meta_key", F.lit("")).cast("binary")) % self._parts).cast("int") if table == "meta" else F.lit(0)
+        marked = rows.withColumns({"__scope": F.coalesce("object_type", F.lit("none")), "__part": part})
+        by = [F.col(c) for c in ("__scope", "__part", *CLUSTERING[table])]
+        # Adaptive execution divides parts that are large and joins those that are small.
+        dealt = marked.hint("rebalance", F.col("__scope"), F.col("__part")).sortWithinPartitions(*by)
+        dealt.write.mode("overwrite").partitionBy("__scope", "__part").parquet(path)
+        pattern = self._spark._jvm.org.apache.hadoop.fs.Path(f"{path}/__scope=*/__part=*")
+        found = pattern.getFileSystem(self._spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        folders = [f.getPath() for f in found]
+        return [(table, f.getParent().getName().split("=")[1], int(f.getName().split("=")[1]), version) for f in folders]
+
+    def _begin(self, version: str) -> None:
+        if self.exists(version):
+            raise ValueError(f"catalog version {version} is already written")
+
+    def _finish(self, listed: Sequence[tuple[str, str, int, str]], version: str) -> Catalog:
+        rows = self._spark.createDataFrame(list(listed), self._PART)
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self._root}/{version}/parts")
+        return self.open(version)
+
+
 class ChangeLog:
     """Change sets, one folder per operation and stage. Each is written once: what an earlier run
     completed stands, and what it left half-written is replaced."""

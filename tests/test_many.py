@@ -1,0 +1,272 @@
+"""Many rules in one pass, chains of operations, shared parts of versions, the SKU index and kept counters."""
+
+from __future__ import annotations
+
+import os
+import random
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from shelfwright.functions import formula as fm
+from shelfwright.operators import changes as ch
+from shelfwright.operators import oplog, undo
+from shelfwright.operators.actions import FormulaAction, SetValue, actions_to_json
+from shelfwright.operators.chain import apply_chain, compose
+from shelfwright.operators.fields import FieldRegistry
+from shelfwright.operators.filters import Condition, Filter
+from shelfwright.operators.resolve import ManyMatcher, resolve
+from shelfwright.operators.views import sku_matches
+from shelfwright.plans.registry import FILTERS
+from shelfwright.plans.rule import due_changesets
+from shelfwright.schema import CHANGES, OPERATIONS, RULES, Scope
+from shelfwright.sources import counters
+from shelfwright.sources.counters import CounterLog, batch_of
+from shelfwright.sources.index import SkuIndex, resolve_indexed, text_grams
+from shelfwright.sources.star import Star
+from shelfwright.sources.store import CatalogStore, PartedStore, snapshot
+from shelfwright.sources.synth import numbers, synth_catalog
+from tests.shop import Shop, ids
+
+PATH = "/root/testdata/sf0.001"
+REGISTRY = FieldRegistry()
+NOW = datetime(2026, 2, 15, 12, 0, 0)
+RAISE = FormulaAction("regular_price", fm.var("regular_price") * 1.5)
+COST_PLUS = FormulaAction("regular_price", fm.roundto(fm.var("cost") * 1.35, 0.99))
+
+
+def plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_of(frame) -> list:
+    return sorted(map(tuple, frame.collect()), key=repr)
+
+
+# Many filters and rules
+
+
+def test_many_filters_match_as_each_alone(spark):
+    catalog = Star(spark, PATH).catalog()
+    for scope in Scope:
+        matcher = ManyMatcher(catalog, scope)
+        own = {name: f for name, f in FILTERS.items() if f.scope is scope}
+        tests = [matcher.test(f).alias(name) for name, f in own.items()]
+        found = snapshot(matcher.frame().select("object_id", *tests), "found")
+        for name, f in own.items():
+            assert ids(found.where(F.col(name))) == ids(resolve(catalog, f)), name
+
+
+def rules_of(spark, templates):
+    rows = [(i + 1, f"r{i}", flt, actions, "daily", "active", datetime(2026, 1, 1), None, None, "") for i, (flt, actions) in enumerate(templates)]
+    return spark.createDataFrame(rows, RULES)
+
+
+def brand_rules(n):
+    """Different filters over brands, costs, prices and categories, with three action lists."""
+    lists = [actions_to_json(a) for a in ([RAISE], [COST_PLUS, SetValue("stock_status", "outofstock")], [SetValue("meta:note", "x")])]
+    out = []
+    for k in range(n):
+        conditions = [Condition("meta:_brand", "=", f"Brand#{k % 60}")]
+        if k % 3 == 1:
+            conditions.append(Condition("price", ">", 900 + k % 50))
+        if k % 3 == 2:
+            conditions = [Condition("meta:_cost", "<", 780 + k), Condition("tag", "not_exists"), Condition("sku", "contains", str(k))]
+        scope = Scope.VARIATION if k % 10 == 9 else Scope.PRODUCT
+        out.append((Filter(tuple(conditions), "OR" if k % 4 == 3 else "AND", scope).to_json(), lists[k % 3]))
+    return out
+
+
+def test_rules_cost_the_same_scans_however_many(spark):
+    catalog = Star(spark, PATH).catalog()
+    few = due_changesets(catalog, rules_of(spark, brand_rules(30)), NOW, REGISTRY)  # every kind of condition and scope
+    many = due_changesets(catalog, rules_of(spark, brand_rules(300)), NOW, REGISTRY)
+    assert plan(few.changes).count("FileScan") == plan(many.changes).count("FileScan")
+    assert many.changes.count() > few.changes.count() > 0
+
+
+def test_rules_do_what_each_would_do_alone(spark):
+    catalog = Star(spark, PATH).catalog()
+    templates = [*brand_rules(24), ("not json", "[]"), ('{"conditions": [{"field": "price", "operator": "?"}]}', actions_to_json([RAISE])), brand_rules(1)[0]]
+    due = due_changesets(catalog, rules_of(spark, templates), NOW, REGISTRY)
+    numbers_of = {r["id"]: r["template"] for r in due.rules.collect()}
+    assert numbers_of[25] is None and numbers_of[26] is None and numbers_of[27] == numbers_of[1]
+    got: dict[int, list] = {}
+    for r in due.changes.collect():
+        got.setdefault(r["operation_id"], []).append(tuple(r))
+    from shelfwright.operators.actions import actions_from_json
+
+    for k, (flt, actions) in enumerate(templates[:24]):
+        number = numbers_of[k + 1]
+        alone = ch.changeset(catalog, Filter.from_json(flt), actions_from_json(actions), number, REGISTRY)
+        assert sorted(got.get(number, []), key=repr) == rows_of(alone), flt
+    assert due_changesets(catalog, rules_of(spark, []), NOW, REGISTRY).changes is None
+
+
+def test_product_filters_leave_variations_alone(spark):
+    text = plan(resolve(Star(spark, PATH).catalog(), FILTERS["filter_price_between"]))
+    assert "lineitem" not in text and text.count("FileScan") == 2
+
+
+# Chains
+
+
+def chain_shop(spark):
+    s = Shop(spark)
+    for k in range(1, 9):
+        s.product(k, price=str(10 * k), stock=k, meta={"_cost": str(k), "_sale_price": ""})
+    s.variation(100, 1)
+    return s.catalog()
+
+
+def test_a_chain_equals_its_operations_in_turn(spark):
+    catalog, log = chain_shop(spark), spark.createDataFrame([], CHANGES)
+    steps = [
+        [FormulaAction("regular_price", fm.var("regular_price") + 1), SetValue("stock_quantity", 3)],
+        [FormulaAction("sale_price", fm.var("cost") * 2)],
+        [SetValue("meta:_regular_price", "77"), SetValue("meta:fresh", "a")],
+        [FormulaAction("regular_price", fm.var("stock") * 4)],
+        [SetValue("name", "N"), SetValue("meta:fresh", "b")],
+    ]
+    fields = ["regular_price", "sale_price", "stock_quantity", "meta:_regular_price", "meta:fresh", "name"]
+    filters = [Filter(), Filter((Condition("stock_quantity", "=", 3),)), Filter((Condition("meta:_cost", ">", 4),)), Filter((Condition("meta:_cost", "<", 7),)), Filter()]
+    now = catalog
+    for i, (actions, flt) in enumerate(zip(steps, filters)):
+        rows = snapshot(ch.changeset(now, flt, actions, 5 - i, REGISTRY), "rows")
+        log = log.unionByName(rows)
+        after = ch.apply_changes(now, rows, [a.field for a in actions], REGISTRY)
+        now = after.with_tables(objects=snapshot(after.objects), meta=snapshot(after.meta))
+    log = snapshot(log, "log")
+    at_once = apply_chain(catalog, log, [5, 4, 3, 2, 1], 9, fields, REGISTRY)
+    assert rows_of(at_once.meta) == rows_of(now.meta) and rows_of(at_once.objects) == rows_of(now.objects)
+
+    chain = snapshot(compose(log, [5, 4, 3, 2, 1], 9), "chain")
+    keys = [(r.object_id, r.field_type, r.field_key) for r in chain.collect()]
+    assert len(keys) == len(set(keys))
+    # Two fields are one key here, so the price is undone where the last of them wrote it.
+    undone = snapshot(undo.revert_now(at_once, chain.where("field_key <> 'fresh'"), 9, 10, [f for f in fields if f != "meta:fresh"], "force", REGISTRY), "undone")
+    back = ch.apply_changes(at_once, undone.where("field_key <> '_regular_price'"), fields, REGISTRY)
+    assert rows_of(back.objects) == rows_of(catalog.objects)
+    assert rows_of(back.meta.where("meta_key <> 'fresh'")) == rows_of(catalog.meta)
+
+
+def test_chains_of_nothing_and_of_unsettled_rows(spark):
+    catalog = chain_shop(spark)
+    frozen = snapshot(ch.freeze(catalog, Filter(), [RAISE], 1, REGISTRY), "frozen")
+    assert compose(frozen, [], 9).count() == 0 and compose(frozen, [1, 2], 9).count() == 0
+    with pytest.raises(ValueError):
+        compose(frozen, range(1 << 21), 9)
+
+
+# Parts
+
+
+def files_under(root: str) -> dict[str, float]:
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+
+def test_a_version_shares_what_an_operation_left_alone(spark, tmp_path):
+    catalog = synth_catalog(numbers(spark, 300), 30)
+    store = PartedStore(spark, str(tmp_path), parts=16)
+    v1 = store.write(catalog, "v1")
+    assert rows_of(v1.meta) == rows_of(catalog.meta) and rows_of(v1.objects) == rows_of(catalog.objects)
+    before = files_under(str(tmp_path))
+    actions = [SetValue("meta:_brand", "New"), SetValue("meta:fresh", "1")]
+    changes = snapshot(ch.changeset(v1, Filter((Condition("price", ">", 50),)), actions, 1, REGISTRY), "changes")
+    v2 = store.apply("v1", changes, [a.field for a in actions], REGISTRY, "v2")
+    want = ch.apply_changes(catalog, changes, [a.field for a in actions], REGISTRY)
+    assert rows_of(v2.meta) == rows_of(want.meta) and rows_of(v2.objects) == rows_of(want.objects)
+    # Nothing of the first version has changed, and the second has files for two keys of products only.
+    now = files_under(str(tmp_path))
+    assert {f: now[f] for f in before} == before
+    own = [p for p in store.parts("v2") if p[3] == "v2"]
+    assert {p[:3] for p in own} == {("meta", "product", store._part_of(k)) for k in ("_brand", "fresh")}
+    # A price moves the lookup columns of products, not of variations.
+    priced = snapshot(ch.changeset(v2, Filter(), [COST_PLUS], 2, REGISTRY), "priced")
+    v3 = store.apply("v2", priced, ["regular_price"], REGISTRY, "v3")
+    want = ch.apply_changes(want, priced, ["regular_price"], REGISTRY)
+    assert rows_of(v3.meta) == rows_of(want.meta) and rows_of(v3.objects) == rows_of(want.objects)
+    assert ("objects", "product", 0, "v3") in store.parts("v3") and ("objects", "variation", 0, "v1") in store.parts("v3")
+    assert rows_of(store.open("v1").meta) == rows_of(catalog.meta)
+    with pytest.raises(ValueError):
+        store.apply("v2", priced, ["regular_price"], REGISTRY, "v3")
+    with pytest.raises(ValueError):
+        store.open("v9")
+
+
+def test_filters_over_parts_read_their_scope_only(spark, tmp_path):
+    catalog = synth_catalog(numbers(spark, 300), 30)
+    opened = PartedStore(spark, str(tmp_path), parts=4).write(catalog, "v1")
+    for flt in (Filter((Condition("meta:_brand", "=", "Acme"),)), Filter((Condition("meta:_cost", ">", 5),), scope=Scope.VARIATION)):
+        assert ids(resolve(opened, flt)) == ids(resolve(catalog, flt))
+    text = opened.owned_meta._sc._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
+        resolve(opened, Filter((Condition("meta:_brand", "=", "Acme"),)))._jdf.queryExecution(), "formatted"
+    )
+    assert "EqualTo(object_type,product), " in text and "EqualTo(meta_key,_brand)" in text
+
+
+# Index
+
+
+def test_index_finds_what_a_scan_finds(spark, tmp_path):
+    rng, s = random.Random(3), Shop(spark)
+    for k in range(1, 120):
+        s.product(k, sku=rng.choice(["", "AB", "abcABC", "ÄÖÜ-1", "x" * 40, f"SKU-{k}", f"sku_{k % 7}%"]), price="" if k % 9 == 0 else "5", status="draft" if k % 11 == 0 else "publish")
+    for k in range(200, 260):
+        s.variation(k, rng.randrange(1, 120), sku=rng.choice(["", f"SKU-V{k}"]))
+    catalog = s.catalog()
+    index = SkuIndex(spark, str(tmp_path / "skus")).write(catalog)
+    for text in ("SKU-1", "sku-1", "U-1", "AB", "a", "", "abcabc", "ABCA", "ÖÜ-", "öü-", "%", "_", "xxx", "xxxx", "nothing here"):
+        assert ids(index.sku_matches(text)) == ids(sku_matches(catalog, text)), text
+        for fold in (False, True):
+            for scope in Scope:
+                flt = Filter((Condition("sku", "contains", text), Condition("price", ">", 1)), scope=scope)
+                assert ids(resolve_indexed(catalog, flt, index, fold)) == ids(resolve(catalog, flt, ignore_case=fold)), (text, fold, scope)
+    either = Filter((Condition("sku", "contains", "SKU-1"), Condition("price", ">", 1)), "OR")
+    assert ids(resolve_indexed(catalog, either, index)) == ids(resolve(catalog, either))
+    with pytest.raises(ValueError):
+        index.write(catalog)
+    assert text_grams("abcabc") == ["abc", "bca", "cab"] and text_grams("ab") == []
+
+
+def test_index_search_reads_postings_alone(spark, tmp_path):
+    index = SkuIndex(spark, str(tmp_path / "skus")).write(synth_catalog(numbers(spark, 100), 30))
+    explain = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+    text = explain(index.sku_matches("GEN-1")._jdf.queryExecution(), "formatted")
+    assert plan(index.sku_matches("GEN-1")).count("FileScan") == 1 and "/postings]" in text and "In(gram" in text
+    assert "/skus/skus]" in explain(index.sku_matches("GE")._jdf.queryExecution(), "formatted")
+
+
+# Counters
+
+
+def test_kept_counters_equal_the_recount(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(op, "product", obj, ix, "post_field", "f", "1", "2", rng.randrange(4)) for op in (1, 2, 3) for obj in range(30) for ix in range(rng.randrange(1, 4))]
+    log = spark.createDataFrame(rows, CHANGES)
+    operations = spark.createDataFrame([(i, *[None] * 4, "completed", *[None] * 10) for i in (1, 2, 3, 4)], OPERATIONS)
+    kept = CounterLog(spark, str(tmp_path / "counters"))
+
+    def agree():
+        found = kept.counters()
+        assert rows_of(counters.operation_summary(found)) == rows_of(oplog.operation_summary(log))
+        assert rows_of(counters.operation_progress(found, operations)) == rows_of(oplog.operation_progress(log, operations))
+
+    kept.append(log.withColumn("status", F.lit(0)), batch_of(3), 1)
+    kept.append(log, batch_of(3), 2)
+    agree()
+    kept.append(log.where(batch_of(3) == 0), 0, 2)  # replayed
+    agree()
+    kept.compact()
+    assert len(os.listdir(tmp_path / "counters")) == 1
+    agree()
+    kept.append(log.where(batch_of(3) == 2), 2, 2)
+    kept.append(log.withColumn("status", F.lit(0)), batch_of(3), 1)  # an older state that comes late
+    agree()
+
+
+def test_store_versions_still_open(spark, tmp_path):
+    catalog = synth_catalog(numbers(spark, 50), 30)
+    opened = CatalogStore(spark, str(tmp_path)).write(catalog, "v1", 2)
+    assert opened.owned_meta is None and rows_of(opened.meta) == rows_of(catalog.meta)
