@@ -52,12 +52,12 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = (), width: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and the columns ``keep`` of every row; null and blank texts have zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
+            found = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
     schema = ", ".join(["doc_id long", "fp long", *[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]])
@@ -187,13 +187,13 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = (), width: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id, label (the component's smallest fingerprint) and the columns ``keep`` of every row: component_id is the smallest doc_id whose fingerprint is reachable over
     links of at most ``radius`` differing bits, its own included.
 
     Rows without words share fingerprint zero and are linked like any others. Repeated rows stay. A null id is never the
     smallest unless a component has no other, and then its component_id is null. Empty in, empty out."""
-    marked = snapshot(fingerprints(docs, keep), "fingerprints")
+    marked = snapshot(fingerprints(docs, keep, width), "fingerprints")
     nodes = snapshot(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     labels = snapshot(components(links(nodes.select("fp"), radius)), "labels")
     placed = snapshot(

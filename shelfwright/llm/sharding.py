@@ -65,11 +65,17 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
 def shard(rows: DataFrame, key: str, size: Column, limit: int, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (default: the key), bytes, shard (the bucket's bits as text; '' before any split), depth, shard_bytes.
 
-    ``size``: bytes of a row (null: 0). A row larger than the limit has a shard of its own key with an '!' after the
-    bits, since no split can help it; so do rows of one key that are too large together. Null keys are one key.
-    An empty table gives an empty one. No row is lost."""
+    ``size``: bytes of a row (null: 0). Rows of one key are in one shard while they fit it together; those of a key too large
+    for any shard are hashed one by one and split like others, so only a row larger than the limit by itself has a
+    shard over it, its own, with an '!' after the bits. Null keys are one key. An empty table gives an empty one. No row is lost."""
     keep = keep or [key]
-    sizes = snapshot(rows.select(*keep, F.coalesce(size, F.lit(0)).cast("long").alias("bytes"), hashed(F.col(key)).alias("_h")), "sizes")
+    by_key = snapshot(
+        rows.select(*keep, F.coalesce(size, F.lit(0)).cast("long").alias("bytes"), hashed(F.col(key)).alias("_h"), F.monotonically_increasing_id().alias("_row")), "by_key"
+    )
+    heavy = by_key.filter(F.col("bytes") <= limit).groupBy("_h").agg(F.sum("bytes").alias("_sum")).filter(F.col("_sum") > limit).select(F.col("_h").alias("_heavy"))
+    heavy = snapshot(heavy, "heavy")
+    own = F.when(F.col("_heavy").isNull(), F.col("_h")).otherwise(hashed(F.concat_ws(":", F.col("_h").cast("string"), F.col("_row").cast("string"))))
+    sizes = by_key if heavy.isEmpty() else snapshot(by_key.join(heavy, F.col("_h") == F.col("_heavy"), "left").withColumn("_h", own).drop("_heavy"), "sizes")
     fitting, large = sizes.filter(F.col("bytes") <= limit), sizes.filter(F.col("bytes") > limit)
     buckets = snapshot(directory(fitting.select("_h", "bytes"), limit), "directory")
     # The directory has an entry for each prefix of its deepest bucket in use; shallow buckets own many entries. Rows ask
