@@ -16,6 +16,8 @@ from shelfwright.llm import bktree, mixing, packing, quality, runindex
 from shelfwright.llm.common import count_words, load, snapshot, whole_rows
 
 TOKENIZER = "word_bpe_49k.json"
+#: Shingles of five words. Two texts that share 0.9 of their shingles differ in 6.6 of 64 bits on average, and in 4.6 at 0.95.
+WIDTH, RADIUS = 5, 7
 
 
 def _digest(text: str) -> Column:
@@ -37,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each component of linked fingerprints: the one with the smallest id (nulls last), then digest; of rows
     alike in both, the least."""
     own = docs.select("doc_id", "text", _digest("text").alias("digest"))
-    found = bktree.near_duplicates(own, keep=("digest",)).groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n"))
+    found = bktree.near_duplicates(own, RADIUS, ("digest",), WIDTH).groupBy("label", "doc_id", "digest").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("f")
     firsts = snapshot(found.groupBy("label").agg(first).select(F.col("f.doc_id").alias("_id"), F.col("f.digest").alias("_digest"), F.col("f.n").alias("_n")), "firsts")
     is_first = F.col("d.doc_id").eqNullSafe(F.col("_id")) & (_digest("d.text") == F.col("_digest"))
@@ -62,8 +64,8 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it; the one at which a source's target is met is cut there."""
-    mixed = mixing.mix(docs, count_words(F.col("text")))
-    return mixing.repeat_rows(docs, mixed).select(*docs.columns)
+    mixed = mixing.mix(docs, count_words(F.col("text")), digest=mixing.row_digest(docs))
+    return mixing.repeat_rows(docs, mixed)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
