@@ -7,9 +7,10 @@ A string of ``LENGTH`` bytes that also starts earlier in the corpus is removed.
    windows with one core make a segment. Only cores that more than one text holds, or one text twice, can matter.
 2. The segments of a core go to one shard. Equal ones are one from here on (the first of them counts, the others are repeats
    through and through; each task has merged its own before). For the different ones the shard builds the run-length compressed BWT of their text, with samples of
-   the suffix array at run ends. Every segment is streamed through it backwards, all in step, which gives the row and so
-   the matching statistics of each position: rows of a repeated class match LENGTH bytes elsewhere. A class's
-   first occurrence stays, the others are marked.
+   the suffix array at run ends; nothing else of the suffix array is kept. Every segment is streamed through it backwards, all in
+   step, with its row and its matching statistic: how many bytes it shares with the row above, which grows by one within a run
+   and is the match of two samples at a run's head. Rows that match LENGTH bytes are a class with the row above. A
+   class's first occurrence stays, the others are marked.
 3. Marks are merged by document and cut out.
 
 A core with very many segments is not left to one task: its windows are dealt again by longer cores, until the
@@ -35,8 +36,9 @@ LENGTH, ANCHOR, CORE = 100, 16, 58
 _SLACK = LENGTH - CORE
 #: Bytes of text looked at in one go.
 BLOCK = 1 << 16
-#: Bits of the sketch that spares rows a join. A full sketch spares none, and the join that follows is exact.
-SKETCH_BITS = 1 << 25
+#: The most bits of the sketch that spares rows a shuffle, and bits per hash in it while it is smaller. A full sketch spares
+#: none, and what follows is exact.
+SKETCH_BITS, BITS_EACH = 1 << 28, 16
 #: Segments of a core that one task takes; segments of a shard.
 GROUP_LIMIT, SHARD_SEGMENTS = 8_000, 20_000
 
@@ -138,22 +140,26 @@ def repeated_cores(docs: DataFrame) -> DataFrame:
 
 
 def _sketch(cores: DataFrame) -> np.ndarray:
-    """A bit per hash, in bytes. Tasks make the parts, so SKETCH_BITS / 8 bytes are all that reaches the driver."""
-    width = 1 << 16
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(width, np.uint8)
-        bits[pdf["slot"].to_numpy() % width] = 1
-        return pd.DataFrame({"part": pdf["slot"].iloc[:1] // width, "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    slot = F.col("h").bitwiseAND(F.lit(SKETCH_BITS - 1).cast("long"))
-    parts = cores.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / width)).applyInPandas(run, "part long, bits binary").collect()
-    out = np.zeros(SKETCH_BITS // 8, np.uint8)
-    for part, bits in parts:
-        out[part * width // 8 : (part + 1) * width // 8] = np.frombuffer(bits, np.uint8)
+    """A bit per hash, in bytes; as many as the hashes need, at most SKETCH_BITS. Set bits are joined to words where they lie, and
+    the words are what reaches the driver."""
+    bits = 1 << 16
+    count = cores.count()
+    while bits < min(BITS_EACH * count, SKETCH_BITS):
+        bits *= 2
+    slot = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = cores.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out
 
 
+def _sketched(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a sketch."""
+    at = hashes.view(np.int64) & (64 * len(words) - 1)
+    return ((words[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
 #: A document's place in the corpus: its id, and its text for ids that come twice.
 DOC = ["doc_id", "digest"]
 #: Rows without a core hash say that the bytes from start to ``end`` are repeats.
@@ -183,8 +189,7 @@ def candidates(docs: DataFrame, cores: DataFrame) -> DataFrame:
             ids, digests, texts = (batch.column(i).to_pylist() for i in range(3))
             covered: dict[tuple, list[tuple[int, int]]] = {}
             for number, hashes, core, first, last in _scan(texts):
-                at = hashes % np.uint64(SKETCH_BITS)
-                hit = np.flatnonzero((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+                hit = np.flatnonzero(_sketched(bits, hashes))
                 for k, a, b, c, h in zip(number[hit].tolist(), first[hit].tolist(), last[hit].tolist(), core[hit].tolist(), hashes[hit].view(np.int64).tolist()):
                     seg, own = texts[k][a : b + LENGTH], (ids[k] is None, ids[k] or 0, digests[k], a)
                     before = kept.get(seg)
@@ -244,11 +249,7 @@ class RunLengthIndex:
             packed[: n - k] |= text[k:].astype(np.int64) << (9 * (depth - 1 - k))
         rank = self._ranked(packed)
         while True:
-            if depth <= length < 2 * depth:  # two ranks tell the first ``length`` symbols
-                second = np.full(n, -1, np.int64)
-                second[: max(n - (length - depth), 0)] = rank[length - depth :]
-                first = (rank, second)
-            if depth >= length and rank.max() == n - 1:
+            if rank.max() == n - 1:
                 break
             beyond = np.full(n, -1, np.int64)
             beyond[: max(n - depth, 0)] = rank[depth:]
@@ -269,11 +270,24 @@ class RunLengthIndex:
         # LF of a run's first row: rows of smaller symbols, and earlier runs of its own. Rows of one run stay together.
         self.targets = np.empty(len(heads), np.int64)
         self.targets[order] = before
-        # Rows that share LENGTH bytes with the row above them, as ranges of repeated classes.
-        a, b = first[0][rows], first[1][rows]
-        same = np.concatenate(([False], (a[1:] == a[:-1]) & (b[1:] == b[:-1]), [False]))
-        self.class_starts = np.flatnonzero(~same[:-1] & same[1:])
-        self.class_ends = np.flatnonzero(same[:-1] & ~same[1:])
+        self.matches = self._matches(text, length, order)
+
+    def _matches(self, text: np.ndarray, length: int, order: np.ndarray) -> np.ndarray:
+        """How many symbols, at most ``length``, the suffix at each run's head shares with the one at the end of the run of its
+        symbol before it: what the samples at run ends are compared for. -1 where there is no such run."""
+        out = np.full(len(self.heads), -1, np.int64)
+        follows = self.symbols[order[1:]] == self.symbols[order[:-1]]
+        run, above = order[1:][follows], order[:-1][follows]
+        a, b = self.samples[1][above], self.samples[0][run]
+        out[run], live = length, np.arange(len(run))
+        for k in range(length):
+            # A suffix shares nothing beyond the text's end.
+            same = (text[np.minimum(a[live] + k, len(text) - 1)] == text[np.minimum(b[live] + k, len(text) - 1)]) & (np.maximum(a[live], b[live]) + k < len(text))
+            out[run[live[~same]]] = k
+            live = live[same]
+            if not len(live):
+                break
+        return out
 
     @staticmethod
     def _ranked(keys: np.ndarray) -> np.ndarray:
@@ -283,17 +297,14 @@ class RunLengthIndex:
         rank[order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
         return rank
 
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """The rows of the suffixes one symbol longer."""
-        run = np.searchsorted(self.heads, rows, side="right") - 1
-        return self.targets[run] + rows - self.heads[run]
+    def step(self, rows: np.ndarray, matched: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the suffixes one symbol longer, and how many symbols (at most ``length``) each shares with the row above it.
 
-    def repeated(self, rows: np.ndarray) -> np.ndarray:
-        """The repeated class of each row; -1 for a row whose match is shorter."""
-        at = np.searchsorted(self.class_starts, rows, side="right") - 1
-        if not len(self.class_starts):
-            return np.full(len(rows), -1, np.int64)
-        return np.where((at >= 0) & (rows <= self.class_ends[np.maximum(at, 0)]), at, -1)
+        Within a run the row above is extended by the same symbol, so the match grows by it. At a run's head the row
+        above is now the extension of another run's end, and the match is the one between the samples there."""
+        run = np.searchsorted(self.heads, rows, side="right") - 1
+        matched = np.where(rows == self.heads[run], self.matches[run], matched) + 1
+        return self.targets[run] + rows - self.heads[run], np.minimum(matched, length)
 
 
 def later_repeats(segs: list[bytes], place: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int]]:
@@ -303,16 +314,21 @@ def later_repeats(segs: list[bytes], place: np.ndarray, length: int = LENGTH) ->
     text = np.frombuffer(b"\0".join(segs) + b"\0", np.uint8).astype(np.int64) + 1
     text[np.cumsum(sizes + 1) - 1] = 0
     index = RunLengthIndex(text, length)
-    rows, live = index.end_rows.copy(), np.arange(len(segs))
-    found_seg, found_at, found_class = [], [], []
+    rows, matched, live = index.end_rows.copy(), np.zeros(len(segs), np.int64), np.arange(len(segs))
+    found_seg, found_at, found_row, found_same = [], [], [], []
     for back in range(1, int(sizes.max()) + 1):
         live = live[sizes[live] >= back]
-        rows[live] = index.step(rows[live])
+        rows[live], matched[live] = index.step(rows[live], matched[live], length)
         if back >= length:
-            classes = index.repeated(rows[live])
-            hit = classes >= 0
-            found_seg.append(live[hit]), found_at.append(sizes[live[hit]] - back), found_class.append(classes[hit])
-    seg, at, cls = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_seg, found_at, found_class))
+            found_seg.append(live), found_at.append(sizes[live] - back), found_row.append(rows[live]), found_same.append(matched[live] >= length)
+    seg, at, row, same = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (found_seg, found_at, found_row, found_same))
+    if not len(seg):
+        return []
+    # Windows that share all their bytes are neighbours among the rows: a class begins where the row above does not match.
+    order = np.argsort(row)
+    seg, at, cls = seg[order], at[order], np.cumsum(~same[order].astype(bool))
+    size = np.bincount(cls)
+    seg, at, cls = (x[size[cls] > 1] for x in (seg, at, cls))
     if not len(seg):
         return []
     where = place[seg] + at
@@ -419,8 +435,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(3).to_numpy().astype(np.int64) & (SKETCH_BITS - 1)
-            yield batch.filter(pa.array(((marked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)))
+            yield batch.filter(pa.array(_sketched(marked.value, batch.column(3).to_numpy())))
 
     likely = own.select(*DOC, F.col("text").cast("binary"), F.xxhash64("doc_id", "digest").alias("at")).mapInArrow(sketched, "doc_id long, digest binary, text binary, at long")
     texts = likely.join(spans, is_doc).dropDuplicates(DOC)

@@ -185,4 +185,19 @@ def test_run_ends_are_sampled():
     assert index.heads.tolist() == heads
     assert index.samples[0].tolist() == [order[k] for k in heads]
     rows = np.arange(len(text))
-    assert index.step(rows).tolist() == [order.index((order[r] - 1) % len(text)) for r in rows]
+    shared = lambda r: next((k for k, (a, b) in enumerate(zip(text[order[r] :], text[order[r - 1] :])) if a != b), len(text) - max(order[r], order[r - 1])) if r else 0
+    matched = np.array([min(shared(r), 7) for r in rows])
+    after, found = index.step(rows, matched, 7)
+    assert after.tolist() == [order.index((order[r] - 1) % len(text)) for r in rows]
+    inner = [k for k in rows if text[order[k] - 1]]  # streaming ends before a separator
+    assert [found[k] for k in inner] == [min(shared(after[k]), 7) for k in inner]
+
+
+def test_nothing_but_runs_is_kept():
+    text = np.frombuffer(b"abracadabra\0abracadabra abracadabra\0", np.uint8).astype(np.int64) + 1
+    text[[11, len(text) - 1]] = 0
+    index = runindex.RunLengthIndex(text, 6)
+    sizes = {k: np.size(v) for k, v in vars(index).items() if isinstance(v, np.ndarray)}
+    assert set(sizes) == {"ends", "end_rows", "heads", "symbols", "samples", "targets", "matches"}
+    runs = len(index.heads)
+    assert all(n <= 2 * runs for k, n in sizes.items()) and runs < len(text) - 10
