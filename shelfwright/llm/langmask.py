@@ -15,12 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfwright.llm.common import crc_remainder, snapshot
 
 UNKNOWN = "und"
-#: Slots of the filter and slots per trigram; languages that fit one filter's bits.
-SLOTS, PROBES, LANGUAGES = 1 << 20, 3, 63
+#: Slots of the filter and slots per trigram; languages that one word of a slot has bits for.
+SLOTS, PROBES, WORD = 1 << 20, 3, 63
 #: A trigram belongs to a language if its share there is at least this part of the largest share anywhere ...
 PRESENCE = 0.2
 #: ... and one in this many of the language's trigrams.
@@ -92,7 +93,8 @@ def count_grams(labelled: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """``masks``: a slot's languages as bits, in the order of ``languages``. ``chance``: of a false hit, per language."""
+    """``masks``: (word, slot): a slot's languages as bits, ``WORD`` of them a word, in the order of ``languages``. ``chance``: of a
+    false hit, per language."""
 
     languages: list[str]
     masks: np.ndarray
@@ -102,29 +104,29 @@ class Model:
 def learn(labelled: DataFrame) -> Model:
     """The filter of all labelled rows (lang, text); null languages and texts teach nothing.
 
-    Counts are summed in the tasks. What reaches the driver is the filter: one number per language, and at most
-    ``SLOTS`` slots, whatever the input. More than 63 languages are refused."""
+    Counts are summed in the tasks. What reaches the driver is the filter, whatever the number of documents: a number per language, and
+    at most ``SLOTS`` slots of 8 bytes for every 63 languages."""
     counts = snapshot(count_grams(labelled), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = sorted(r[0] for r in totals.select("lang").limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    bit = F.create_map(*[x for k, lang in enumerate(languages) for x in (F.lit(lang), F.lit(1 << k).cast("long"))]) if languages else None
-    masks = np.zeros(SLOTS, np.int64)
+    languages = sorted(r[0] for r in totals.select("lang").collect())
+    words = -(-len(languages) // WORD)
+    masks = np.zeros((words, SLOTS), np.int64)
     if languages:
-        most = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("all"))
-        kept = most.select("gram", F.filter("all", lambda x: (x["share"] >= PRESENCE * F.col("top")) & (x["share"] * RARE >= 1)).alias("kept"))
-        named = kept.select("gram", F.aggregate("kept", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit[x["lang"]])).alias("mask"))
+        shares = counts.join(totals, "lang").withColumn("share", F.col("n") / F.col("total"))
+        bits = shares.sparkSession.createDataFrame([(name, k // WORD, 1 << k % WORD) for k, name in enumerate(languages)], "lang string, word int, bit long")
+        top = Window.partitionBy("gram")  # a row per language
+        kept = shares.withColumn("top", F.max("share").over(top)).where((F.col("share") >= PRESENCE * F.col("top")) & (F.col("share") * RARE >= 1))
+        named = kept.join(bits, "lang").groupBy("gram", "word").agg(F.bit_or("bit").alias("mask"))
 
         def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 for at in slots(frame["gram"].to_numpy().view(np.uint64)):
-                    yield pd.DataFrame({"slot": at, "mask": frame["mask"]})
+                    yield pd.DataFrame({"word": frame["word"], "slot": at, "mask": frame["mask"]})
 
-        used = named.mapInPandas(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-        masks[used["slot"].to_numpy()] = used["mask"].to_numpy()
-    filled = np.array([np.count_nonzero(masks & (1 << k)) for k in range(len(languages))]) / SLOTS
+        placed = named.select("gram", "word", "mask").mapInPandas(place, "word int, slot long, mask long")
+        used = placed.groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+        masks[used["word"].to_numpy(), used["slot"].to_numpy()] = used["mask"].to_numpy()
+    filled = np.array([np.count_nonzero(masks[k // WORD] & (1 << k % WORD)) for k in range(len(languages))]) / SLOTS
     return Model(languages, masks, filled**PROBES)
 
 
@@ -132,13 +134,13 @@ def decide(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
     """A language and a score from 0 to 1 (its part of all corrected hits) per text."""
     grams, owner = trigrams(texts)
     first, *others = slots(grams)
-    found = model.masks[first]
+    found = model.masks[:, first]
     for at in others:
-        found &= model.masks[at]
+        found &= model.masks[:, at]
     n = np.bincount(owner, minlength=len(texts))
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if model.languages:
-        hits = np.stack([np.bincount(owner, weights=(found >> k) & 1, minlength=len(texts)) for k in range(len(model.languages))])
+        hits = np.stack([np.bincount(owner, weights=(found[k // WORD] >> k % WORD) & 1, minlength=len(texts)) for k in range(len(model.languages))])
         chance = model.chance[:, None]
         hits = np.maximum(hits - n * chance, 0) / np.maximum(1 - chance, 1e-9)
         best, total = hits.argmax(axis=0), hits.sum(axis=0)
