@@ -136,6 +136,16 @@ class FieldRegistry:
             return self.get(META_PREFIX + storage_key)
         return None
 
+    def key_of(self, field_type: Column, storage_key: Column) -> Column:
+        """``by_storage`` over columns: the key of the field each change-log row refers to, null when none owns it."""
+        is_meta = (field_type == META) & (storage_key != "")
+        found = F.when(is_meta, F.concat(F.lit(META_PREFIX), storage_key))
+        # The first field registered for a place is its field.
+        for field in reversed(self._fields.values()):
+            owns = (field_type == field.field_type) & (storage_key == field.storage_key)
+            found = F.when(owns, F.lit(field.key)).otherwise(found)
+        return found
+
     def all_fields(self) -> list[Field]:
         return list(self._fields.values())
 

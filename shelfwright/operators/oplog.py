@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwright.functions.times import instant
+from shelfwright.operators.fields import FieldRegistry
 from shelfwright.schema import (
     ACTIVE_OPERATION_STATUSES,
     CHANGE_STATUS_LABELS,
@@ -33,6 +34,12 @@ def operation_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("operation_id").agg(F.count("*").alias("targets"), *_count_statuses())
 
 
+def field_summary(log: DataFrame, registry: FieldRegistry) -> DataFrame:
+    """Per operation and field: rows in each status. Rows that no field owns any more are under a null field."""
+    field = registry.key_of(F.col("field_type"), F.col("field_key")).alias("field")
+    return log.groupBy("operation_id", field).agg(F.count("*").alias("targets"), *_count_statuses())
+
+
 def percent(processed: Column, target: Column) -> Column:
     done = F.floor(F.try_divide(F.least(processed, target), target) * 100)
     return F.when(target > 0, done).otherwise(F.lit(0)).cast("bigint")

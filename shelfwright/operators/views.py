@@ -68,6 +68,14 @@ def catalog_page(
     return _page_rows(catalog, matched.limit(size).collect(), flt.scope, registry)
 
 
+def ranked_page(catalog: Catalog, ids: DataFrame, scope: Scope, registry: FieldRegistry) -> DataFrame:
+    """The rows of a page whose object and parent ids are known, as from a ``RankIndex``."""
+    found = ids.limit(MAX_PAGE + 1).collect()
+    if len(found) > MAX_PAGE:
+        raise ValueError(f"a page has at most {MAX_PAGE} objects")
+    return _page_rows(catalog, found, scope, registry)
+
+
 def _page_rows(catalog: Catalog, page: Sequence, scope: Scope, registry: FieldRegistry) -> DataFrame:
     ids = [r["object_id"] for r in page]
     rows = catalog.objects.where(F.col("object_id").isin(*ids))

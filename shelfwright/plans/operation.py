@@ -6,16 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfwright.catalog import Catalog
-from shelfwright.operators.actions import Action, reads_of
+from shelfwright.operators.actions import Action
 from shelfwright.operators.changes import apply_changes, changeset, derive, freeze
 from shelfwright.operators.fields import FieldRegistry
 from shelfwright.operators.filters import Filter
-from shelfwright.operators.resolve import resolve
 from shelfwright.operators.undo import revert_now
 from shelfwright.schema import ConflictPolicy
-from shelfwright.sources.store import ChangeLog
+from shelfwright.sources.store import ChangeLog, snapshot
 
 
 class TooManyObjects(ValueError):
@@ -40,8 +40,7 @@ def run_operation(
 ) -> Outcome:
     """Resolve the filter and settle its targets in one pass, and write the change set before
     anything is applied. The new catalog is lazy: write it with ``CatalogStore``."""
-    _check_limit(catalog, flt, actions, registry, max_objects)
-    rows = changeset(catalog, flt, actions, operation_id, registry)
+    rows = _limited(changeset(catalog, flt, actions, operation_id, registry), max_objects)
     return _outcome(catalog, log.write_settled(rows, operation_id), actions, registry)
 
 
@@ -55,8 +54,7 @@ def queue_operation(
     max_objects: int | None = None,
 ) -> DataFrame:
     """Freeze an operation's targets now, to be run later with ``run_queued``."""
-    _check_limit(catalog, flt, actions, registry, max_objects)
-    return log.write_frozen(freeze(catalog, flt, actions, operation_id, registry), operation_id)
+    return log.write_frozen(_limited(freeze(catalog, flt, actions, operation_id, registry), max_objects), operation_id)
 
 
 def run_queued(
@@ -87,19 +85,15 @@ def run_undo(
     return Outcome(changes, apply_changes(catalog, changes, parent.fields, registry), parent.fields)
 
 
-def _check_limit(
-    catalog: Catalog,
-    flt: Filter,
-    actions: Sequence[Action],
-    registry: FieldRegistry,
-    max_objects: int | None,
-) -> None:
-    """Refuse an operation over more objects than allowed, before it writes anything."""
+def _limited(rows: DataFrame, max_objects: int | None) -> DataFrame:
+    """Refuse an operation over more objects than allowed, before its log says anything of it. The filter is resolved once: what
+    is counted is then written."""
     if max_objects is None:
-        return
-    targets = resolve(catalog, flt, reads_of(actions, registry))
-    if targets.limit(max_objects + 1).count() > max_objects:
+        return rows
+    rows = snapshot(rows, "limited")
+    if rows.where(F.col("action_ix") == 0).limit(max_objects + 1).count() > max_objects:
         raise TooManyObjects(f"more than {max_objects} objects match")
+    return rows
 
 
 def _outcome(

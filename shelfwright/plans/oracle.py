@@ -810,3 +810,56 @@ ORACLES |= {
     "indexed_sku_contains": ORACLES["filter_sku_contains"],
     "indexed_sku_matches": ORACLES["sku_matches"],
 }
+
+# Streams against batch counterparts: gaps and islands, and the version of each event's time.
+ORACLES |= {
+    "stream_stalls": f"""WITH marked AS (SELECT user_id + 1 AS operation_id, ts,
+        (ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 1 DAY)::INT AS opens FROM events),
+      islands AS (SELECT *, sum(coalesce(opens, 1)) OVER (PARTITION BY operation_id ORDER BY ts) AS island FROM marked)
+      SELECT operation_id, {_stamp('min(ts)')} AS started, {_stamp('max(ts)')} AS last_event, {_stamp('max(ts) + INTERVAL 1 DAY')} AS stalled_at,
+        count(*) AS changes FROM islands GROUP BY operation_id, island
+      HAVING max(ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""",
+    "stream_enforcement_versions": sql(
+        "wide products combined",
+        f"""SELECT event_id, object_id, 'regular_price' AS field_key, {_money('value')} AS old_value,
+          CASE WHEN cost IS NOT NULL THEN {_number_text("round(greatest(value, cost * 1.5::DOUBLE), 6)")} END AS new_value,
+          CASE WHEN cost IS NOT NULL THEN 1 ELSE 3 END AS status
+        FROM (SELECT event_id, w.object_id, value, CASE WHEN ts >= TIMESTAMP '2024-01-15' AND c.object_id IS NOT NULL THEN 2000 ELSE cost END AS cost
+          FROM events JOIN wide w ON w.object_id = user_id + 1 JOIN products p ON p.object_id = w.object_id
+          LEFT JOIN combined c ON c.object_id = w.object_id WHERE p.stock_status = 'instock')""",
+    ),
+}
+
+ORACLES |= {
+    "field_summary": sql(
+        "changes",
+        f"""SELECT operation_id, CASE object_id % 5 WHEN 1 THEN 'meta:_cost' WHEN 2 THEN 'supplier' WHEN 3 THEN NULL ELSE 'regular_price' END AS field,
+          count(*) AS targets, {_COUNTS} FROM changes GROUP BY ALL""",
+    ),
+    "formula_variables": sql(
+        "wide", "SELECT object_id, rp AS of_regular_price, sp AS of_sale_price, stock AS of_stock, NULL::DOUBLE AS of_weight, sp AS of_cost FROM wide"
+    ),
+    "two_fields_of_one_key": sql(
+        "meta combined",
+        """SELECT m.object_id, meta_key, CASE WHEN meta_key = '_regular_price' AND c.object_id IS NOT NULL THEN '6' ELSE meta_value END AS meta_value
+        FROM meta m LEFT JOIN combined c ON c.object_id = m.object_id""",
+    ),
+    "operation_caps": sql(
+        "combined",
+        """SELECT cap, CASE WHEN n <= cap THEN 2 * n ELSE 0 END AS logged
+        FROM (SELECT count(*) AS n FROM combined), (VALUES (0::BIGINT), (3), (1000000000)) c(cap)""",
+    ),
+}
+
+ORACLES |= {
+    "archived_log_summary": ORACLES["operation_summary"],
+    "archived_change_counts": ORACLES["change_counts"],
+    "archived_survivors": ORACLES["retention_survivors"],
+    "archived_audit_page": sql(
+        "changes objects",
+        """SELECT l.object_id, action_ix, l.object_type, coalesce(sku, '') AS sku, coalesce(title, '') AS name, field_type, field_key, old_value, new_value,
+          CASE l.status WHEN 0 THEN 'pending' WHEN 1 THEN 'applied' WHEN 2 THEN 'failed' ELSE 'skipped' END AS status
+        FROM (SELECT * FROM changes WHERE operation_id = 3 ORDER BY object_id LIMIT 50) l LEFT JOIN objects o ON o.object_id = l.object_id""",
+    ),
+    "ranked_product_page": ORACLES["product_page"].replace("OFFSET 25", "OFFSET 75"),
+}

@@ -20,16 +20,17 @@ from shelfwright.operators import changes as ch
 from shelfwright.operators import discovery, oplog, rules, undo, views
 from shelfwright.operators.actions import Action, FormulaAction, SetValue
 from shelfwright.operators.chain import compose
-from shelfwright.operators.fields import FieldRegistry
+from shelfwright.operators.fields import Field, FieldRegistry
 from shelfwright.operators.filters import Condition, Filter, filter_from_form
 from shelfwright.operators.resolve import count_matches, resolve, resolve_sorted, scan_scope
+from shelfwright.plans.operation import TooManyObjects, run_operation
 from shelfwright.plans.rule import due_changesets
-from shelfwright.schema import Scope
+from shelfwright.schema import CHANGES, Scope
 from shelfwright.sources import counters
 from shelfwright.sources.counters import CounterLog, batch_of
-from shelfwright.sources.index import SkuIndex, resolve_indexed
+from shelfwright.sources.index import RankIndex, SkuIndex, resolve_indexed
 from shelfwright.sources.star import MARKER_KEY, Star, term_id
-from shelfwright.sources.store import CatalogStore, ChangeLog, OperationLog, PartedStore, shared_dir, snapshot
+from shelfwright.sources.store import CatalogStore, ChangeLog, LogArchive, OperationLog, PartedStore, shared_dir, snapshot
 from shelfwright.sources.synth import drop_marked, synth_catalog
 from shelfwright.streaming import streams
 
@@ -40,6 +41,7 @@ LOG_NOW = datetime(2001, 7, 1, 12, 0, 0)
 CUTOFF = datetime(1998, 1, 1)
 STREAM_NOW = datetime(2024, 1, 30, 12, 0, 0)
 OPERATION = 2
+AUDITED = 3
 PARENT, UNDO, REDO = 1, 9001, 9002
 
 REGISTRY = FieldRegistry()
@@ -570,6 +572,46 @@ def retention_survivors(spark: SparkSession, path: str) -> DataFrame:
     return oplog.survivors(star.operations(), star.changes(), CUTOFF)
 
 
+@query
+def field_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Log rows by the field they refer to: core, metadata, registered by a user, and one that nobody owns any more."""
+    registry = FieldRegistry()
+    registry.register(Field("supplier", "Supplier", "partner", "supplier_code", meta_key="_supplier"))
+    form, of_meta = F.col("object_id") % 5, F.lit("meta")
+    kind = F.when(form == 1, of_meta).when(form == 2, F.lit("partner")).when(form == 3, F.lit("gone")).otherwise(F.col("field_type"))
+    key = F.when(form == 1, F.lit("_cost")).when(form == 2, F.lit("supplier_code")).otherwise(F.col("field_key"))
+    return oplog.field_summary(Star(spark, path).changes().withColumns({"field_type": kind, "field_key": key}), registry)
+
+
+@query
+def formula_variables(spark: SparkSession, path: str) -> DataFrame:
+    """All variables of formulas, in a shop that keeps its cost under another key."""
+    registry = FieldRegistry(cost_meta_key="_sale_price")
+    every = {f"of_{name}": fm.var(name) + 0 for name in registry.variable_names()}
+    return ch.derived_numbers(_catalog(spark, path), EVERYTHING, every, registry)
+
+
+@query
+def two_fields_of_one_key(spark: SparkSession, path: str) -> DataFrame:
+    """Rows are matched to fields by type and key; of two fields stored in one place the later action stays."""
+    _, after = _run(_catalog(spark, path), [SetValue(PRICE, "5"), SetValue("meta:_regular_price", "6")], COMBINED)
+    return after.meta
+
+
+@query
+def operation_caps(spark: SparkSession, path: str) -> DataFrame:
+    """Whether an operation may run under caps on its objects, and how many rows it then logs."""
+    catalog, log, out = _catalog(spark, path), ChangeLog(spark, _folder(spark, "capped")), None
+    for number, cap in enumerate((0, 3, 10**9)):
+        try:
+            rows = run_operation(catalog, COMBINED, SALE_AFTER_PRICE, number, REGISTRY, log, cap).changes
+        except TooManyObjects:
+            rows = spark.createDataFrame([], CHANGES)
+        own = rows.agg(F.count("*").alias("logged")).select(F.lit(cap).cast("bigint").alias("cap"), "logged")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 # Stored logs -----------------------------------------------------------------------------------
 
 
@@ -612,6 +654,41 @@ def stored_operations(spark: SparkSession, path: str) -> DataFrame:
     return log.read().select("id", "status", "source", "target_count")
 
 
+@lru_cache(maxsize=2)
+def _archive(spark: SparkSession, path: str) -> LogArchive:
+    """The star's log of many operations, added in two parts, one of them twice."""
+    rows, kept = Star(spark, path).changes(), LogArchive(spark, _folder(spark, "archive"))
+    kept.add(rows.where(F.col("operation_id") % 3 == 0))
+    kept.add(rows)
+    return kept
+
+
+@query
+def archived_log_summary(spark: SparkSession, path: str) -> DataFrame:
+    return oplog.operation_summary(_archive(spark, path).rows())
+
+
+@query
+def archived_change_counts(spark: SparkSession, path: str) -> DataFrame:
+    """One operation of the archive: its bucket, and the row groups that can hold it."""
+    return oplog.change_counts(_archive(spark, path).rows(OPERATION), OPERATION)
+
+
+@query
+def archived_audit_page(spark: SparkSession, path: str) -> DataFrame:
+    catalog = _catalog(spark, path)
+    return views.audit_page(catalog, _archive(spark, path).rows(AUDITED), AUDITED, page=1, per_page=50)
+
+
+@query
+def archived_survivors(spark: SparkSession, path: str) -> DataFrame:
+    """What retention leaves once the archive is compacted without expired operations."""
+    star, kept = Star(spark, path), LogArchive(spark, _folder(spark, "retained"))
+    kept.add(star.changes())
+    kept.compact(oplog.expired_operations(star.operations(), kept.rows(), CUTOFF))
+    return kept.rows()
+
+
 @lru_cache(maxsize=2)
 def _kept_counters(spark: SparkSession, path: str) -> DataFrame:
     """The star's log counted as it is written: in batches, first pending and then settled, one batch twice, and compacted in between."""
@@ -723,6 +800,14 @@ def indexed_sku_matches(spark: SparkSession, path: str) -> DataFrame:
     return SkuIndex(spark, _folder(spark, "skus")).write(_catalog(spark, path)).sku_matches("SKU-1")
 
 
+@query
+def ranked_product_page(spark: SparkSession, path: str) -> DataFrame:
+    """A page far down, by the ranks of a stored index."""
+    catalog = _catalog(spark, path)
+    index = RankIndex(spark, _folder(spark, "ranks")).write(scan_scope(catalog, Scope.PRODUCT).join(resolve(catalog, EVERYTHING), "object_id", "left_semi"))
+    return _shown(views.ranked_page(catalog, index.page(4, 25), Scope.PRODUCT, REGISTRY))
+
+
 # Discovery -------------------------------------------------------------------------------------
 
 
@@ -904,3 +989,30 @@ def stream_progress(spark: SparkSession, path: str) -> DataFrame:
     versions = streams.drain_batches(counted, lambda batch: batch, _stream_dir(spark, "progress"))
     rows = streams.newest(versions, ["operation_id", "bucket_start"])
     return _shown(streams.with_stall_flag(rows, STREAM_NOW).select("operation_id", "bucket_start", "changes", "stalled"))
+
+
+@query
+def stream_stalls(spark: SparkSession, path: str) -> DataFrame:
+    """Operations that fell silent for a day, found while the stream runs."""
+    found = streams.stalls(_events(spark, path), "ts", "1 day", "2 hours")
+    return _shown(streams.drain(found, _stream_dir(spark, "stalls")))
+
+
+VERSION_TIMES = (datetime(2023, 1, 1), datetime(2024, 1, 15))
+
+
+@query
+def stream_enforcement_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Updates held against the catalog of their time: in its second version the cost of the combined filter is 2000."""
+    catalog = _catalog(spark, path)
+    action = FormulaAction(PRICE, fm.max_(fm.var(PRICE), fm.var("cost") * 1.5))
+    flt = Filter((Condition("stock_status", "=", "instock"),))
+    _, later = _run(catalog, [SetValue("meta:_cost", "2000")], COMBINED)
+    known = [(t, streams.enforcement_targets(c, flt, [action], REGISTRY)) for t, c in zip(VERSION_TIMES, (catalog, later))]
+    targets = snapshot(streams.versioned_targets(known), "targets")
+
+    def enforce(batch: DataFrame) -> DataFrame:
+        return streams.enforce_as_of(batch, targets, VERSION_TIMES, action, REGISTRY)
+
+    rows = streams.drain_batches(_events(spark, path), enforce, _stream_dir(spark, "enforce"))
+    return rows.select("event_id", "object_id", "field_key", "old_value", "new_value", "status")

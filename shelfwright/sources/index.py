@@ -1,4 +1,5 @@
-"""A stored index of SKUs by their trigrams, for substring searches that scan no objects.
+"""Stored indexes of a catalog version: SKUs by their trigrams, for substring searches that scan no objects, and ids by their
+rank, for pages that sort nothing.
 
 The postings hold, for every object, the trigrams of its own SKU and, for a variation, of its parent's, each with the SKU
 itself. They are clustered by trigram, so a search reads the row groups of its own trigrams: candidates are the rows that have all
@@ -9,12 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfwright.catalog import Catalog
+from shelfwright.functions.numbers import literal_text
 from shelfwright.operators.filters import Filter, Operator
 from shelfwright.operators.resolve import Matcher
 from shelfwright.schema import Scope
-from shelfwright.functions.numbers import literal_text
 from shelfwright.sources.store import is_complete
 
 GRAM = 3
@@ -83,6 +85,39 @@ class SkuIndex:
         return self.search(text).select("object_id").distinct()
 
 
+class RankIndex:
+    """Ids of a filter in order, each with its rank. A page of any depth reads the row groups its ranks lie in.
+
+    Ranks come from ranges of ids that are counted apart: one number per range is added up in a single task."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._spark = spark
+        self._path = path.rstrip("/")
+
+    def write(self, rows: DataFrame) -> "RankIndex":
+        """``rows``: object_id (unique) and parent_id."""
+        if is_complete(self._spark, f"{self._path}/complete"):
+            raise ValueError(f"there is an index at {self._path} already")
+        ranges = rows.select("object_id", "parent_id").repartitionByRange("object_id").withColumn("part", F.spark_partition_id())
+        ranges.write.mode("overwrite").parquet(f"{self._path}/ranges")
+        kept = self._spark.read.schema(f"{self._ROW}, part int").parquet(f"{self._path}/ranges")
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = kept.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        inside = Window.partitionBy("part").orderBy("object_id")
+        ranked = kept.withColumn("rank", F.row_number().over(inside)).join(starts, "part").select((F.col("rank") + F.col("before")).alias("rank"), "object_id", "parent_id")
+        ranked.sortWithinPartitions("rank").write.mode("overwrite").parquet(f"{self._path}/ranked")
+        self._spark.range(1).write.mode("overwrite").parquet(f"{self._path}/complete")
+        return self
+
+    _ROW = "object_id long, parent_id long"
+
+    def page(self, page: int, per_page: int) -> DataFrame:
+        """object_id and parent_id of the n-th page, from 1, in no particular order."""
+        first = (max(1, page) - 1) * per_page
+        ranked = self._spark.read.schema(f"rank long, {self._ROW}").parquet(f"{self._path}/ranked")
+        return ranked.where(F.col("rank").between(first + 1, first + per_page)).select("object_id", "parent_id")
+
+
 def resolve_indexed(catalog: Catalog, flt: Filter, index: SkuIndex, ignore_case: bool = False) -> DataFrame:
     """Ids of the objects that match a filter, like ``resolve``, with the SKU conditions of an AND filter answered by the index
     first: facts are gathered about the objects it leaves, and about no others."""

@@ -6,8 +6,9 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -307,6 +308,74 @@ class ChangeLog:
         return f"{self._root}/{stage}/operation_id={operation_id}"
 
 
+class LogArchive:
+    """Change sets of any number of operations in few folders: dealt to buckets by operation, sorted by operation and object
+    inside, with Bloom filters on both. Reading one operation opens its bucket and in it the row groups that can hold it.
+
+    Rows come in generations, each written once; of an operation that was added again only the first counts."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self._spark = spark
+        self._path = path.rstrip("/")
+        self._buckets = buckets
+
+    def _bucket(self, operation_id: Column) -> Column:
+        return F.pmod(F.xxhash64(operation_id), F.lit(self._buckets).cast("bigint")).cast("int")
+
+    def generations(self) -> list[int]:
+        """Complete generations; there are as many as ``add`` was called since the last ``compact``."""
+        jvm = self._spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self._path)
+        system = root.getFileSystem(self._spark._jsc.hadoopConfiguration())
+        if not system.exists(root):
+            return []
+        found = [int(f.getPath().getName()) for f in system.listStatus(root) if f.isDirectory()]
+        return sorted(g for g in found if is_complete(self._spark, f"{self._path}/{g}"))
+
+    def add(self, rows: DataFrame) -> None:
+        """Rows of whole operations. Those of operations already here are left out, so adding may be repeated."""
+        known = self.generations()
+        if known:
+            rows = rows.join(self._read(known).select("operation_id").distinct(), "operation_id", "left_anti")
+        self._write(rows, known[-1] + 1 if known else 0)
+
+    def _write(self, rows: DataFrame, generation: int) -> None:
+        by = [F.col("bucket"), F.col("operation_id"), F.col("object_id")]
+        dealt = rows.select(*sc.CHANGE_COLUMNS, self._bucket(F.col("operation_id")).alias("bucket")).hint("rebalance", F.col("bucket")).sortWithinPartitions(*by)
+        filters = {f"parquet.bloom.filter.enabled#{c}": "true" for c in ("operation_id", "object_id")}
+        dealt.write.mode("overwrite").options(**filters).partitionBy("bucket").parquet(f"{self._path}/{generation}")
+
+    def _read(self, generations: Sequence[int]) -> DataFrame:
+        schema = T.StructType([*sc.CHANGES, T.StructField("bucket", T.IntegerType())])
+        frames = [self._spark.read.schema(schema).parquet(f"{self._path}/{g}") for g in generations]
+        if not frames:
+            return self._spark.createDataFrame([], schema)
+        return reduce(DataFrame.unionByName, frames)
+
+    def rows(self, operation_id: int | None = None) -> DataFrame:
+        """The whole log, or one operation's."""
+        found = self._read(self.generations())
+        if operation_id is not None:
+            bucket = self._spark.range(1).select(self._bucket(F.lit(operation_id).cast("bigint"))).first()[0]
+            found = found.where((F.col("bucket") == bucket) & (F.col("operation_id") == operation_id))
+        return found.select(*sc.CHANGE_COLUMNS)
+
+    def compact(self, expired: DataFrame | None = None) -> None:
+        """All generations as one, without the operations in ``expired`` (operation_id): how retention frees space. The
+        generations it was made from go once it is complete; a lost job leaves them as they were."""
+        known = self.generations()
+        if not known or (len(known) == 1 and expired is None):
+            return
+        rows = self._read(known)
+        if expired is not None:
+            rows = rows.join(expired.select("operation_id"), "operation_id", "left_anti")
+        self._write(rows, known[-1] + 1)
+        jvm = self._spark._jvm
+        for g in known:
+            old = jvm.org.apache.hadoop.fs.Path(f"{self._path}/{g}")
+            old.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 class OperationLog:
     """Operation rows as appended versions; the newest version of a row is the row."""
 

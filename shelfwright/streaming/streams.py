@@ -11,6 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfwright.catalog import Catalog
 from shelfwright.functions.times import instant
@@ -46,11 +47,15 @@ def enforce(
     """Corrections for a batch of updates (event_id, ts, object_id, value): the action evaluated
     as if ``value`` had just been written to ``updated_field``. Updates of objects the rule does
     not cover give nothing."""
+    return _corrected(updates.join(targets, "object_id"), action, registry, updated_field)
+
+
+def _corrected(rows: DataFrame, action: Action, registry: FieldRegistry, updated_field: str) -> DataFrame:
     fields = unique([registry.get(action.field), *action.reads(registry)])
     texts = {f.key: F.col(f"`__f_{f.key}`") for f in fields}
     texts[updated_field] = F.col("value")
     field = registry.get(action.field)
-    rows = updates.join(targets, "object_id").withColumns(
+    rows = rows.withColumns(
         {"old_value": texts[field.key], "new_value": action.new_text(registry, texts)}
     )
     status = F.when(F.col("new_value").isNull(), int(ChangeStatus.SKIPPED)).otherwise(
@@ -68,6 +73,41 @@ def enforce(
     )
 
 
+def versioned_targets(versions: Sequence[tuple[datetime, DataFrame]]) -> DataFrame:
+    """Enforcement targets of several catalog versions, each in force from its time on until the next one's. What an object says in
+    versions on end is one row, ``__first`` to ``__last``; an object that a version does not cover has none for it."""
+    ordered = sorted(versions, key=lambda v: v[0])
+    rows = None
+    for number, (_, targets) in enumerate(ordered):
+        own = targets.withColumn("__version", F.lit(number))
+        rows = own if rows is None else rows.unionByName(own)
+    values = [f"`{c}`" for c in rows.columns if c not in ("object_id", "__version")]
+    by_object = Window.partitionBy("object_id").orderBy("__version")  # a row per version
+    before = F.lag(F.struct(F.col("__version") + 1, *values)).over(by_object)
+    # A run goes on where the version before is there and says the same.
+    starts = (~before.eqNullSafe(F.struct("__version", *values))).cast("int")
+    runs = rows.withColumn("__start", starts).withColumn("__run", F.sum("__start").over(by_object))
+    return runs.groupBy("object_id", "__run", *values).agg(F.min("__version").alias("__first"), F.max("__version").alias("__last")).drop("__run")
+
+
+def enforce_as_of(
+    updates: DataFrame,
+    targets: DataFrame,
+    times: Sequence[datetime],
+    action: Action,
+    registry: FieldRegistry,
+    updated_field: str = "regular_price",
+) -> DataFrame:
+    """Like ``enforce``, against the version in force when an update happened. ``targets``: of ``versioned_targets``, kept as a
+    snapshot; ``times``: of the versions. The join is on the object alone, whose rows are as many as its changes; updates
+    from before the first version give nothing."""
+    known = F.array(*[instant(t) for t in sorted(times)])
+    version = F.size(F.filter(known, lambda t: t <= F.col("ts"))) - 1
+    in_force = (F.col("__version") >= F.col("__first")) & (F.col("__version") <= F.col("__last"))
+    current = updates.withColumn("__version", version).join(targets.withColumnRenamed("object_id", "__object"), (F.col("object_id") == F.col("__object")) & in_force)
+    return _corrected(current, action, registry, updated_field)
+
+
 def admit_once(events: DataFrame, key: Sequence[str], event_time: str, delay: str) -> DataFrame:
     """Change events without replays that arrive within the watermark. Replays beyond it are
     caught when changes are settled, which takes only pending rows.
@@ -91,6 +131,20 @@ def progress(events: DataFrame, event_time: str, bucket: str, delay: str) -> Dat
     )
 
 
+def stalls(events: DataFrame, event_time: str, silent_for: str, delay: str) -> DataFrame:
+    """Stretches of progress that ended in silence, as soon as it is known: one row per operation and stretch, when nothing has
+    come for ``silent_for`` and the watermark, ``delay`` behind the latest event, has passed that.
+
+    Sessions are what Spark merges events into, so append mode gives each once. Of a busy operation, sessions
+    can be merged before the shuffle: spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition."""
+    watched = events.withWatermark(event_time, delay)
+    return (
+        watched.groupBy("operation_id", F.session_window(event_time, silent_for).alias("session"))
+        .agg(F.count("*").alias("changes"), F.max(event_time).alias("last_event"))
+        .select("operation_id", F.col("session.start").alias("started"), "last_event", F.col("session.end").alias("stalled_at"), "changes")
+    )
+
+
 def with_stall_flag(
     rows: DataFrame, now: datetime, silent_for: timedelta = timedelta(minutes=STALL_MINUTES)
 ) -> DataFrame:

@@ -270,3 +270,47 @@ def test_store_versions_still_open(spark, tmp_path):
     catalog = synth_catalog(numbers(spark, 50), 30)
     opened = CatalogStore(spark, str(tmp_path)).write(catalog, "v1", 2)
     assert opened.owned_meta is None and rows_of(opened.meta) == rows_of(catalog.meta)
+
+
+# Ranks and archives
+
+
+def test_ranked_pages_equal_offsets(spark, tmp_path):
+    from shelfwright.sources.index import RankIndex
+
+    rng = random.Random(8)
+    chosen = rng.sample(range(10_000), 997)
+    rows = spark.createDataFrame([(i, i // 10) for i in chosen], "object_id long, parent_id long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = RankIndex(spark, str(tmp_path / "ranks")).write(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for page, size in ((1, 10), (7, 50), (20, 50), (21, 50), (0, 3), (997, 1)):
+        at = (max(1, page) - 1) * size
+        assert sorted((r.object_id, r.parent_id) for r in index.page(page, size).collect()) == [(i, i // 10) for i in sorted(chosen)[at : at + size]]
+    text = plan(index.page(20, 50))
+    assert "Sort" not in text and "Exchange" not in text and "GreaterThanOrEqual(rank" in text
+
+
+def test_archive_of_many_operations(spark, tmp_path):
+    from shelfwright.sources.store import LogArchive
+
+    rows = [(op, "product", op * 7 % 50 + k, 0, "post_field", "f", "1", "2", k % 4) for op in range(1, 2001) for k in range(op % 4)]
+    log = snapshot(spark.createDataFrame(rows, CHANGES), "log")
+    archive = LogArchive(spark, str(tmp_path / "archive"), buckets=8)
+    assert archive.rows().count() == 0 and archive.rows(5).count() == 0
+    archive.add(log.where("operation_id <= 900"))
+    archive.add(log)  # what is there stays as it is
+    assert rows_of(archive.rows()) == rows_of(log) and archive.generations() == [0, 1]
+    for op in (3, 8, 1501, 5000):
+        assert rows_of(archive.rows(op)) == rows_of(log.where(F.col("operation_id") == op))
+    # Ten thousand operations would be as few folders, and one of them is asked for by bucket and by row group.
+    assert sum(len(d) for _, d, _ in os.walk(tmp_path / "archive")) <= 2 + 2 * 8
+    explain = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+    text = explain(archive.rows(7)._jdf.queryExecution(), "formatted")
+    assert "PartitionFilters: [isnotnull(bucket" in text and "EqualTo(operation_id,7)" in text
+    archive.compact(log.where("operation_id % 2 = 0").select("operation_id").distinct())
+    assert rows_of(archive.rows()) == rows_of(log.where("operation_id % 2 = 1")) and archive.generations() == [2]
+    archive.compact()
+    assert archive.generations() == [2]

@@ -104,3 +104,60 @@ def test_late_replays_are_caught_when_settling(spark):
     log = spark.createDataFrame([(1, "product", 1, 0, "post_field", "sku", "a", "b", 1)], CHANGES)
     late = spark.createDataFrame([(1, "product", 1, 0, "post_field", "sku", "b", "c", 1)], CHANGES)
     assert settle(log, late).first()["new_value"] == "b"
+
+
+def sessions_by_hand(rows, gap, watermark):
+    out, by = [], {}
+    for r in rows:
+        by.setdefault(r[2], []).append(r[1])
+    for operation, times in by.items():
+        run: list = []
+        for t in [*sorted(times), None]:
+            if run and (t is None or (t - run[-1]).total_seconds() > gap):
+                if (watermark - run[-1]).total_seconds() >= gap:
+                    out.append((operation, run[0], run[-1], len(run)))
+                run = []
+            if t is not None:
+                run.append(t)
+    return sorted(out)
+
+
+def test_stalls_come_out_as_they_happen(spark, tmp_path):
+    rows = [
+        (1, at(0), 7, 1, "c", "1"), (2, at(3), 7, 1, "c", "1"), (3, at(8), 7, 2, "c", "1"), (4, at(2), 8, 1, "c", "1"),
+        (5, at(19), 7, 1, "c", "1"), (6, at(24), 7, 1, "c", "1"), (7, at(45), 9, 1, "c", "1"), (8, at(59), 9, 1, "c", "1"),
+    ]
+    for k, row in enumerate(rows):
+        write(spark, tmp_path / "in", k, [row])
+    found = streams.stalls(read(spark, str(tmp_path / "in")), "ts", "5 minutes", "1 minute")
+    got = streams.drain(found, str(tmp_path / "out"))
+    assert sorted((r.operation_id, r.started, r.last_event, r.changes) for r in got.collect()) == sessions_by_hand(rows, 300, at(58))
+    assert all((r.stalled_at - r.last_event).total_seconds() == 300 for r in got.collect())
+    # It goes on where it ended: one more event closes what was open, and repeats nothing.
+    write(spark, tmp_path / "in", 99, [(9, datetime(2026, 8, 10, 14, 0), 1, 1, "c", "1")])
+    rows.append((9, datetime(2026, 8, 10, 14, 0), 1, 1, "c", "1"))
+    again = streams.drain(streams.stalls(read(spark, str(tmp_path / "in")), "ts", "5 minutes", "1 minute"), str(tmp_path / "out"))
+    assert sorted((r.operation_id, r.started, r.last_event, r.changes) for r in again.collect()) == sessions_by_hand(rows, 300, datetime(2026, 8, 10, 13, 59))
+
+
+def test_updates_meet_the_version_of_their_time(spark):
+    def catalog(costs):
+        s = Shop(spark)
+        for k, cost in costs.items():
+            s.product(k, "10", meta={"_cost": cost})
+        return s.catalog()
+
+    action = FormulaAction("regular_price", fm.max_(fm.var("regular_price"), fm.var("cost") * 1.5))
+    costs = [{1: "10", 2: "20", 3: "30"}, {1: "10", 2: "22"}, {1: "11", 2: "22", 3: "30"}]
+    times = [at(0), at(10), at(20)]
+    known = [(t, streams.enforcement_targets(catalog(c), Filter(), [action], REGISTRY)) for t, c in zip(times, costs)]
+    targets = snapshot(streams.versioned_targets(known[::-1]))
+    # An object that says the same in versions on end is one row; one that went and came back is two.
+    assert sorted((r.object_id, r["__first"], r["__last"]) for r in targets.collect()) == [(1, 0, 1), (1, 2, 2), (2, 0, 0), (2, 1, 2), (3, 0, 0), (3, 2, 2)]
+    updates = spark.createDataFrame([(10 * m + k, at(m), 1, k, "c", "1") for m in (0, 9, 10, 15, 20, 30) for k in (1, 2, 3, 4)] + [(999, datetime(2026, 8, 10, 11, 59), 1, 1, "c", "1")], EVENT)
+    got = {r.event_id: r.new_value for r in streams.enforce_as_of(updates, targets, times, action, REGISTRY).collect()}
+    want = {}
+    for m in (0, 9, 10, 15, 20, 30):
+        version = sum(t <= at(m) for t in times) - 1
+        want |= {10 * m + k: f"{float(c) * 1.5:g}" for k, c in costs[version].items()}
+    assert got == want
