@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from shelfwright.sources.store import snapshot
 
-__all__ = ["WORD", "count_words", "crc_remainder", "load", "running_total", "snapshot", "split_words", "whole_rows"]
+__all__ = ["WORD", "count_words", "crc_remainder", "forget_shuffles", "load", "running_total", "snapshot", "split_words", "whole_rows"]
 
 #: A word: a run of anything but space and the five ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,6 +22,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are written: it does so once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_rows(frame: DataFrame) -> DataFrame:
     """Each row as one value ``d``, so that no column of it can clash with another frame's."""
     return frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("d"))

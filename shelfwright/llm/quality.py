@@ -167,8 +167,8 @@ def rate(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str = "la
     like all others; no row is lost or doubled. An empty table gives an empty one."""
     rated = snapshot(features(docs, keep).withColumns(defects()), "features")  # read twice, measured once
     limits = cutoffs(rated.select("doc_id", stratum, *RULES), labels, stratum, setting)
-    # As many rows as strata: Spark sends them to every task while they are small.
-    limits = limits.withColumnsRenamed({r: f"_cut_{r}" for r in RULES} | {stratum: "_stratum"})
+    # As many rows as strata. Written, so that their size is known: while it is small they go to every task, and no row is shuffled.
+    limits = snapshot(limits.withColumnsRenamed({r: f"_cut_{r}" for r in RULES} | {stratum: "_stratum"}), "limits")
     over = [F.coalesce(F.col(r) > F.col(f"_cut_{r}"), F.lit(False)) for r in RULES]
     return (
         rated.join(limits, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwright.llm.common import snapshot
+from shelfwright.llm.common import forget_shuffles, snapshot
 
 #: Bytes of a repeated string, of an anchor, and of a core.
 LENGTH, ANCHOR, CORE = 100, 16, 58
@@ -409,6 +409,7 @@ def dedupe(docs: DataFrame) -> DataFrame:
     known = snapshot(listed.join(firsts, F.col("digest") == F.col("_digest")).withColumn("copy", (order != F.col("first")) & (F.col("n_bytes") >= LENGTH)).drop("_digest", "first"), "known")
 
     cores = snapshot(repeated_cores(docs), "cores")
+    forget_shuffles(docs.sparkSession)
     copies = known.filter("copy").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     is_doc = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     # Copies go whole; what was found in them is not needed.
@@ -416,6 +417,8 @@ def dedupe(docs: DataFrame) -> DataFrame:
         marks(candidates(own, cores)).join(snapshot(copies, "copies"), is_doc, "left_anti").groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), "spans"
     )
 
+    forget_shuffles(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together.
-SLICE = 16 << 20
+SLICE = 8 << 20
 
 #: What the quick way relies on: marks compose, white space parts words, letters are lower-cased, and runs of letters, single
 #: digits and runs of other characters are encoded apart.
