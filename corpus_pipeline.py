@@ -27,12 +27,9 @@ def _digest(text: str) -> Column:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the risk-controlled rules reject."""
-    own = docs.select("doc_id", "lang", "text", _digest("text").alias("digest"))
-    rated = quality.rate(own, load(spark, sf_dir, "labels"), ["doc_id", "lang", "digest"])
-    # What a verdict hangs on besides the labels: rows alike in these have the same one.
-    rejected = snapshot(rated.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("digest").alias("_digest")).distinct(), "rejected")
-    same = F.col("d.doc_id").eqNullSafe(F.col("_id")) & F.col("d.lang").eqNullSafe(F.col("_lang")) & (_digest("d.text") == F.col("_digest"))
-    return whole_rows(docs).join(rejected, same, "left_anti").select("d.*")
+    # The rows come along with their verdicts, so nothing is joined back.
+    rows = docs.select("doc_id", "lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    return quality.rate(rows, load(spark, sf_dir, "labels"), ["doc_id", "lang", "d"]).filter("kept").select("d.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
