@@ -321,6 +321,18 @@ def test_bits_of_all_words_sum_to_one():
     assert seen > other + 2
 
 
+def test_weights_and_map_learn_from_every_word(spark):
+    """More words than any sample held, over several tasks: the same model as from all of them in one place."""
+    words, n = [f"w{i:05d}".encode() for i in range(25_000)], np.arange(25_000) % 3 + 1
+    counts = np.zeros((len(context_mixing.ORDERS), 1 << context_mixing.BITS, 2), np.float32)
+    vocabulary = spark.range(25_000).selectExpr("cast(format_string('w%05d', id) as binary) word", "cast(0 as byte) kind", "id % 3 + 1 n").repartition(3)
+    got = context_mixing.learn_from(counts, vocabulary)
+    want = context_mixing.learn_mixing(counts, words, np.zeros(len(words), np.int64), n)
+    assert np.allclose(got.weights, want.weights, atol=1e-4) and np.allclose(got.refined, want.refined, atol=1e-4)
+    cells = context_mixing.gathered(got, words, np.zeros(len(words), np.int64), n, True)[:, : context_mixing._STEPS]
+    assert cells.sum() == n.sum() * 7 * 8
+
+
 def test_held_out_words_cost_less_than_guessing(spark):
     got = context_mixing.score(spark.read.parquet(f"{SMALL}/documents.parquet")).filter("held_out")
     bits = got.agg(F.sum(F.col("score")) / F.sum(F.col("score") / F.col("bits_per_byte"))).first()[0]
