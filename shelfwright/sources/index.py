@@ -1,9 +1,10 @@
 """Stored indexes of a catalog version: SKUs by their trigrams, for substring searches that scan no objects, and ids by their
 rank, for pages that sort nothing.
 
-The postings hold, for every object, the trigrams of its own SKU and, for a variation, of its parent's, each with the SKU
-itself. They are clustered by trigram, so a search reads the row groups of its own trigrams: candidates are the rows that have all
-of them, and the exact test is made on the SKU that came along. Texts shorter than a trigram scan the list of SKUs.
+The postings hold, under each trigram of an object's own SKU, the SKU and the object's id, and beside it the variations that inherit
+the SKU, as lists of ids: a trigram costs a row per SKU, not one per variation. They are clustered by trigram, so a search reads
+the row groups of its own trigrams, and the exact test is made on the SKU that came along. Texts shorter than a trigram scan
+the list of SKUs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ from shelfwright.schema import Scope
 from shelfwright.sources.store import is_complete
 
 GRAM = 3
-ENTRY = "object_id long, object_type string, status string, sku string, inherited boolean"
+#: Variations in a list, about: those of a parent with more are dealt over several lists.
+LISTED = 1000
+OWN = "object_id long, object_type string, status string, parent_id long, sku string"
+#: One object with its own SKU, or variations of one parent, alike in type and status, with the parent's.
+LIST = "owner long, object_type string, status string, sku string, inherited boolean, list long, ids array<long>"
 
 
 def grams(text: Column) -> Column:
@@ -45,40 +50,61 @@ class SkuIndex:
     def write(self, catalog: Catalog, partitions: int | None = None) -> "SkuIndex":
         if is_complete(self._spark, f"{self._path}/complete"):
             raise ValueError(f"there is an index at {self._path} already")
-        objects = catalog.objects.select("object_id", "object_type", "status", "parent_id", F.coalesce("sku", F.lit("")).alias("sku"))
-        own = objects.select("object_id", "object_type", "status", "sku", F.lit(False).alias("inherited"))
-        # Children are on the left, where adaptive execution splits those of a hot parent.
-        parents = objects.where("sku <> ''").select(F.col("object_id").alias("__parent"), F.col("sku").alias("__sku"))
-        inherited = objects.drop("sku").join(parents, F.col("parent_id") == F.col("__parent")).select(
-            "object_id", "object_type", "status", F.col("__sku").alias("sku"), F.lit(True).alias("inherited")
+        own = catalog.objects.select("object_id", "object_type", "status", "parent_id", F.coalesce("sku", F.lit("")).alias("sku"))
+        own.write.mode("overwrite").parquet(f"{self._path}/skus")
+        self._lists(self._own()).write.mode("overwrite").parquet(f"{self._path}/inherited")
+        single = self._own().where("sku <> ''").select(
+            F.col("object_id").alias("owner"), "object_type", "status", "sku", F.lit(False).alias("inherited"), F.lit(0).cast("long").alias("list"), F.array("object_id").alias("ids")
         )
-        rows = own.unionByName(inherited)
-        rows.write.mode("overwrite").parquet(f"{self._path}/skus")
-        postings = self.skus().select(F.explode(grams(F.col("sku"))).alias("gram"), "*")
+        postings = single.unionByName(self._inherited()).select(F.explode(grams(F.col("sku"))).alias("gram"), "*")
         # The trailing columns give the range of a popular trigram somewhere to be cut.
-        by = [F.col("gram"), F.col("object_id"), F.col("inherited")]
+        by = [F.col("gram"), F.col("inherited"), F.col("owner"), F.col("list")]
         ranged = postings.repartitionByRange(partitions, *by) if partitions else postings.repartitionByRange(*by)
         ranged.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{self._path}/postings")
         self._spark.range(1).write.mode("overwrite").parquet(f"{self._path}/complete")
         return self
 
+    @staticmethod
+    def _lists(own: DataFrame) -> DataFrame:
+        """The variations of each parent with a SKU, in lists of bounded length."""
+        children = own.drop("sku").where("parent_id IS NOT NULL")
+        large = children.groupBy(F.col("parent_id").alias("__large")).agg(F.ceil(F.count("*") / LISTED).alias("__lists")).where("__lists > 1")
+        dealt = children.join(large, F.col("parent_id") == F.col("__large"), "left").withColumn(
+            "list", F.when(F.col("__lists").isNull(), 0).otherwise(F.pmod(F.xxhash64("object_id"), "__lists"))
+        )
+        # An aggregated list leaves nulls out.
+        null = F.when(F.bool_or(F.col("object_id").isNull()), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
+        lists = dealt.groupBy("parent_id", "list", "object_type", "status").agg(F.concat(F.collect_set("object_id"), null).alias("ids"))
+        parents = own.where("sku <> ''").select(F.col("object_id").alias("owner"), "sku").distinct()
+        return lists.join(parents, F.col("parent_id") == F.col("owner")).select("owner", "object_type", "status", "sku", F.lit(True).alias("inherited"), "list", "ids")
+
+    def _own(self) -> DataFrame:
+        return self._spark.read.schema(OWN).parquet(f"{self._path}/skus")
+
+    def _inherited(self) -> DataFrame:
+        return self._spark.read.schema(LIST).parquet(f"{self._path}/inherited")
+
+    @staticmethod
+    def _entries(lists: DataFrame) -> DataFrame:
+        return lists.select(F.explode("ids").alias("object_id"), "object_type", "status", "sku", "inherited")
+
     def skus(self) -> DataFrame:
-        return self._spark.read.schema(ENTRY).parquet(f"{self._path}/skus")
+        """Every object with its own SKU, and every variation with its parent's, should that have one."""
+        return self._own().drop("parent_id").withColumn("inherited", F.lit(False)).unionByName(self._entries(self._inherited()))
 
     def postings(self) -> DataFrame:
-        return self._spark.read.schema(f"gram string, {ENTRY}").parquet(f"{self._path}/postings")
+        return self._spark.read.schema(f"gram string, {LIST}").parquet(f"{self._path}/postings")
 
     def search(self, text: str, ignore_case: bool = False) -> DataFrame:
         """Entries whose SKU contains a text. An empty text is contained in all."""
         wanted = text_grams(text)
+        subject, operand = (F.lower("sku"), text.lower()) if ignore_case else (F.col("sku"), text)
         # Lower-casing can change a text's length; such texts, and short ones, are looked for in the list itself.
         if not wanted or len(text.lower()) != len(text) or not text.isascii():
-            found = self.skus()
-        else:
-            rows = self.postings().where(F.col("gram").isin(*wanted))
-            found = rows.groupBy("object_id", "object_type", "status", "sku", "inherited").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).drop("n")
-        subject, operand = (F.lower("sku"), text.lower()) if ignore_case else (F.col("sku"), text)
-        return found.where(subject.contains(operand))
+            return self.skus().where(subject.contains(operand))
+        # A SKU with the text lies under each of its trigrams and is taken from the first.
+        rows = self.postings().where(F.col("gram").isin(*wanted) & subject.contains(operand))
+        return self._entries(rows.where(F.array_position(F.lit(wanted), F.col("gram")) == 1))
 
     def sku_matches(self, text: str) -> DataFrame:
         """Objects whose own SKU contains a text, and children of parents whose SKU does."""

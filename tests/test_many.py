@@ -238,6 +238,29 @@ def test_index_search_reads_postings_alone(spark, tmp_path):
     assert "/skus/skus]" in explain(index.sku_matches("GE")._jdf.queryExecution(), "formatted")
 
 
+def test_index_lists_the_variations_of_a_parent(spark, tmp_path):
+    s = Shop(spark)
+    s.product(1, sku="ABC-1")
+    s.product(2, sku="ABC-2")
+    for _ in range(2):
+        s.product(3, sku="ABC-3")
+    for k in range(10_000, 15_000):
+        s.variation(k, 1)
+    for k in range(20_000, 20_030):
+        s.variation(k, 2)
+    s.objects.append((None, "variation", 2, "", "publish", "", None, None, 1, "instock"))
+    s.objects.append((30_000, "variation", None, "", "publish", "", None, None, 1, "instock"))
+    catalog = s.catalog()
+    index = SkuIndex(spark, str(tmp_path / "skus")).write(catalog)
+    rows = index.postings().where("gram = 'abc'").select("owner", "inherited", F.size("ids").alias("n")).collect()
+    # A trigram costs a row per SKU and per list, not one per variation, and no list holds all of a large parent's.
+    assert len(rows) < 20 and max(r["n"] for r in rows) < 2_000 and sum(r["n"] for r in rows if r["owner"] == 1) == 5_001
+    for text in ("ABC-1", "ABC-2", "ABC-3", "ABC", "C-", ""):
+        want = {r["object_id"] for r in sku_matches(catalog, text).collect()}
+        assert {r["object_id"] for r in index.sku_matches(text).collect()} == want, text
+    assert {r["object_id"] for r in index.sku_matches("ABC-3").collect()} == {3}
+
+
 # Counters
 
 
