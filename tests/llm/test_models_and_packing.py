@@ -298,6 +298,32 @@ def test_base_score_and_a_proper_model(spark):
     assert context_mixing.score(documents(spark, [])).count() == 0
 
 
+def test_words_and_kinds_of_many_texts_at_once():
+    texts = [b"", None, b"  The\x0bcat \t", "Ünï Ü a b".encode(), b"the the\n", "x 漢字 y".encode(), b"\xff bad \x80\xc3", "é".encode(), b"z"]
+    for chosen in (texts, texts[:3], [b"a"], [None], [" ж".encode()]):
+        words, codes, kinds, starts = context_mixing.coded(context_mixing.as_text(pa.array(chosen, pa.binary())))
+        got = list(zip((words[c].as_py() for c in codes.tolist()), kinds.tolist()))
+        for text, a, b in zip(chosen, starts, starts[1:]):
+            want, kind = [], 0
+            for word in [*(text or b"").lower().split(), b""]:
+                want.append((word, kind))
+                kind = next((c % 16 + 1 for c in reversed(word) if c > 127), kind)
+            assert got[a:b] == want, text
+        assert len(set(words.to_pylist())) == len(words) and starts[-1] == len(codes)
+
+
+def test_scores_do_not_depend_on_how_texts_are_cut(spark, monkeypatch):
+    """Words counted in many small runs, or few of them listed, give the same scores."""
+    docs = documents(spark, odd_rows() + near_copies(8, groups=4, size=8)).repartition(3, "doc_id")
+    want = sorted(context_mixing.score(docs).collect(), key=str)
+    for name, value in (("_SLICE", 300), ("_HELD", 30), ("FREQUENT", 20)):
+        monkeypatch.setattr(context_mixing, name, value)
+    got = sorted(context_mixing.score(docs).collect(), key=str)
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.score, 6))
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:])
+
+
 def test_bits_of_all_words_sum_to_one():
     """Over one byte: the probabilities of all 256 continuations add up."""
     counts = np.zeros((len(context_mixing.ORDERS), 1 << context_mixing.BITS, 2), np.float32)
