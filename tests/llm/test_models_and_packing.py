@@ -324,6 +324,24 @@ def test_scores_do_not_depend_on_how_texts_are_cut(spark, monkeypatch):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:])
 
 
+def test_equal_beginnings_are_predicted_once():
+    words, kinds = [b"abc", b"abc", b"abd", b"ab", b"abda", b"", b"xyz", b"abd", b"xy z"], np.array([0, 1, 0, 0, 0, 2, 0, 0, 0], np.int8)
+    n = np.arange(1, len(words) + 1)
+    spell = context_mixing.Spelled.of_words(words, kinds)
+    flat, starts, keys = context_mixing.spelled(words, kinds)
+    assert spell.byte[spell.of].tolist() == flat.tolist() and all((a[spell.of] == b).all() for a, b in zip(spell.keys, keys))
+    assert len(spell.byte) < len(flat) and spell.total(n).sum() == 8 * sum(k * (len(w) + 1) for k, w in zip(n.tolist(), words))
+    got, want = np.zeros((2, len(context_mixing.ORDERS), 2 << context_mixing.BITS))
+    context_mixing.count(got, words, kinds, n)
+    node, bit = context_mixing.decisions(flat)
+    for k, key in enumerate(keys):
+        np.add.at(want[k], context_mixing.slots(key, node) * 2 + bit, np.broadcast_to(np.repeat(n, np.diff(np.append(starts, len(flat)))), bit.shape))
+    assert (got == want).all()
+    model = context_mixing.learn_mixing(got.astype(np.float32).reshape(len(context_mixing.ORDERS), -1, 2), words, kinds, n)
+    alone = [model.log10([w], kinds[i : i + 1])[0] for i, w in enumerate(words)]
+    assert model.log10(words, kinds) == pytest.approx(np.array(alone))
+
+
 def test_bits_of_all_words_sum_to_one():
     """Over one byte: the probabilities of all 256 continuations add up."""
     counts = np.zeros((len(context_mixing.ORDERS), 1 << context_mixing.BITS, 2), np.float32)
