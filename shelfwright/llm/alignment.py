@@ -1,20 +1,20 @@
 """Two tokenizers' ids of the same texts, aligned where tokens of both end at the same byte.
 
-The cumulative ends of both id lists are dictionaries from end to index; the ends both have, sorted, slice the lists into
-groups, and within a group every pair of tokens whose byte ranges overlap is a link. How often an id pair is linked is
-counted over the whole corpus, in documents, and every document's links are rated by these counts.
+The cumulative ends of both id lists, and the ends both have, slice the lists into groups, and within a group every pair of
+tokens whose byte ranges overlap is a link. How often an id pair is linked is counted over the whole corpus, in documents,
+and every document's links are rated by these counts.
 
 Both tokenizers part a text before a space that follows another character than white space. Texts are cut there into chunks;
-the different chunks of a batch are encoded once, and the lengths of a chunk's tokens (its shape) are sliced once, so
-what is done per occurrence are array operations. Counting and rating each read the texts: storing the links would take
-several times the space of the texts.
+the different chunks of a batch are encoded and sliced once, so what is done per occurrence are array operations. Texts are
+read and encoded once: what is stored of a document's links are its different pairs and how often it has each, which
+counting and rating read.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from shelfwright.llm.common import snapshot
@@ -31,39 +32,39 @@ from shelfwright.llm.wordids import _byte_alphabet, gather, slices
 SLICE = 12 << 20
 #: The most frequent pairs, at most so many, are sent to every worker (17 bytes each); the others are joined.
 SENT = 1 << 21
-#: Shapes a worker remembers.
-SHAPES = 50_000
-#: Documents handed on together.
-BATCH = 2000
-
-PAIRS = "pair long, n long"
-ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
-RATED = f"row long, {ALIGNED}, n_best long, count_sum long, rest array<long>"
+#: Documents whose links are put together and handed on at once: few enough for them to be sorted in cache.
+BATCH = 500
+
+#: ``pairs``: the different id pairs a document has linked, and how often each (``times``).
+ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, times array<int>"
 _SHIFT = 32
 _SEPARATORS = pa.array(["", ",", "|", ";"])
 _PLAIN = "^ [!-~À-ÖØ-öø-ſ]+$"
 _WORDS = r"\n|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 
 
-def slice_shape(a_ends: list[int], b_ends: list[int]) -> tuple[int, list[int], list[int], list[int], list[int]]:
-    """Groups of the tokens that end at these bytes: how many; the tokens in the order they are written, those of B numbered
-    after those of A; the separator behind each (an index of ``_SEPARATORS``); and the links' places in A and in B."""
-    at_a, at_b = ({end: k + 1 for k, end in enumerate(ends)} for ends in (a_ends, b_ends))
-    order, behind, link_a, link_b = [], [], [], []
-    common = sorted(at_a.keys() & at_b.keys())
-    i = j = 0
-    for end in common:
-        i_stop, j_stop = at_a[end], at_b[end]
-        order += [*range(i, i_stop), *range(len(a_ends) + j, len(a_ends) + j_stop)]
-        behind += [1] * (i_stop - i - 1) + [2] + [1] * (j_stop - j - 1) + [3]
-        while i < i_stop and j < j_stop:
-            link_a.append(i)
-            link_b.append(j)
-            a, b = a_ends[i], b_ends[j]
-            i, j = i + (a <= b), j + (b <= a)
-    if behind:
-        behind[-1] = 0
-    return len(common), order, behind, link_a, link_b
+def slice_shape(a_ends: list[int] | np.ndarray, b_ends: list[int] | np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of the tokens that end at these bytes, ascending, the last of both alike: how many; the tokens in the order they
+    are written, those of B numbered after those of A; the separator behind each (an index of ``_SEPARATORS``); and the links'
+    places in A and in B."""
+    a_ends, b_ends = np.asarray(a_ends, np.int64), np.asarray(b_ends, np.int64)
+    size = int(a_ends[-1]) if len(a_ends) else 0
+    last = np.zeros((2, size), bool)
+    last[0, a_ends - 1], last[1, b_ends - 1] = True, True
+    # Between neighbouring ends of either there is one token of A and one of B: a link.
+    ends_a, ends_b = last[:, last[0] | last[1]]
+    link_a, link_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+    closes = ends_a & ends_b
+    group = np.cumsum(closes) - closes
+    in_a, in_b = group[ends_a], group[ends_b]
+    until_a, until_b = link_a[closes] + 1, link_b[closes] + 1
+    at_a = np.arange(len(a_ends)) + np.concatenate([[0], until_b])[in_a]
+    at_b = np.arange(len(b_ends)) + until_a[in_b]
+    order, behind = np.empty((2, len(a_ends) + len(b_ends)), np.int64)
+    order[at_a], order[at_b] = np.arange(len(a_ends)), np.arange(len(a_ends), len(order))
+    behind[at_a], behind[at_b] = 1 + closes[ends_a], 1 + 2 * closes[ends_b]
+    behind[-1:] = 0
+    return int(closes.sum()), order, behind, link_a, link_b
 
 
 class Tokenizers:
@@ -87,8 +88,11 @@ class Tokenizers:
         pieces = [self._b.id_to_piece(k) for k in range(self._b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError(f"{b_file} has pieces of several words")
+        if "" in vocab or "" in pieces:
+            raise ValueError("a token without bytes has no place between others")
         b_bytes = [bytes([int(p[1:-1], 16)]) if self._b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-        self.bytes = [self._table(x) for x in (a_bytes, b_bytes)]
+        self.bytes = [pa.array(x, pa.binary()) for x in (a_bytes, b_bytes)]
+        self.sizes = [pc.binary_length(x).to_numpy() for x in self.bytes]
         self.texts = pa.array([str(k) for k in range(max(len(a_bytes), len(b_bytes)))])
         # Words can be encoded by ranks where merges are in the order of ids and none of the file's options say otherwise.
         model, specials = file["model"], {t["content"] for t in file.get("added_tokens", [])}
@@ -99,15 +103,9 @@ class Tokenizers:
         ranks = {a_bytes[vocab[t]]: vocab[t] for t in own}
         self._quick = tiktoken.Encoding("chunks", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}) if plain else None
         self._line_feed = ranks.get(b"\n")
-        self._shapes: dict[tuple[bytes, bytes], tuple] = {}
-
-    @staticmethod
-    def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        lengths = np.array([len(t) for t in tokens], np.int64)
-        return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
 
-    def a_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, and of each chunk where its own start and how many it has."""
+    def a_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, chunk after chunk, and how many each chunk has."""
         starts, lengths = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
         plain = pc.match_substring_regex(chunks, _PLAIN).to_numpy(zero_copy_only=False) & (self._quick is not None)
         flat = np.empty(0, np.int64)
@@ -123,39 +121,22 @@ class Tokenizers:
             found = [e.ids for e in self._a.encode_batch_fast(chunks.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
             n = np.array([len(x) for x in found], np.int64)
             starts[~plain], lengths[~plain] = len(flat) + np.cumsum(n) - n, n
-            flat = np.concatenate([flat, np.fromiter((i for x in found for i in x), np.int64, n.sum())])
-        ids, _ = gather(flat, starts, lengths)
-        return ids, np.cumsum(lengths) - lengths, lengths
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(found), np.int64, n.sum())])
+        return gather(flat, starts, lengths)[0], lengths
 
-    def b_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def b_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         # The model puts the space before the text itself.
         found = self._b.encode(pc.utf8_slice_codeunits(chunks, 1).to_pylist(), num_threads=1)
-        n = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), np.int64, n.sum()), np.cumsum(n) - n, n
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int64, n.sum()), n
 
-    def same_bytes(self, which: int, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chunks: pa.Array) -> np.ndarray:
+    def same_bytes(self, which: int, ids: np.ndarray, lengths: np.ndarray, chunks: pa.Array) -> np.ndarray:
         """Which chunks are what their tokens' bytes, joined, say."""
-        data, at, size = self.bytes[which]
-        each = size[ids]
-        before = np.concatenate([[0], np.cumsum(each)])
-        total = before[starts + lengths] - before[starts]
-        same = total == pc.binary_length(chunks).to_numpy(zero_copy_only=False)
-        joined, _ = gather(data, at[ids], each)
-        # Of chunks with the right length, the bytes themselves.
-        own, bounds = gather(joined, before[starts[same]], total[same])
-        text = np.frombuffer("".join(chunks.filter(pa.array(same)).to_pylist()).encode(), np.uint8)
-        differs = np.concatenate([[0], np.cumsum(own != text)])
-        same[same] = np.diff(differs[bounds]) == 0
-        return same
-
-    def shapes(self, keys: list[tuple[bytes, bytes]]) -> list[tuple]:
-        known = self._shapes
-        if len(known) > SHAPES:
-            known.clear()
-        for key in keys:
-            if key not in known:
-                known[key] = slice_shape(*(np.cumsum(np.frombuffer(x, np.int32)).tolist() for x in key))
-        return [known[key] for key in keys]
+        tokens = self.bytes[which].take(pa.array(ids))
+        firsts = np.concatenate([[0], np.cumsum(lengths)])
+        bounds = np.frombuffer(tokens.buffers()[1], np.int32)[firsts]
+        joined = pa.BinaryArray.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer(bounds), tokens.buffers()[2]])
+        return pc.equal(chunks.cast(pa.binary()), joined).to_numpy(zero_copy_only=False)
 
 
 #: Of this worker process, for all the tasks it runs.
@@ -196,58 +177,33 @@ class Aligned:
         offsets = np.append(begins, len(data)).astype(np.int32)
         coded = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
         chunks = coded.dictionary
-        self._pair = pair
-        self.a, self.b = pair.a_ids(chunks), pair.b_ids(chunks)
-        whole = pair.same_bytes(0, *self.a, chunks) & pair.same_bytes(1, *self.b, chunks)
+        self._texts = pair.texts
+        found = pair.a_ids(chunks), pair.b_ids(chunks)
+        whole = pair.same_bytes(0, *found[0], chunks) & pair.same_bytes(1, *found[1], chunks)
         self.index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.bounds = np.searchsorted(begins, firsts)
         #: Texts all of whose bytes both tokenizers keep.
         self.whole = np.logical_and.reduceat(whole[self.index], self.bounds[:-1])
-        self._shape(whole)
-
-    def _shape(self, whole: np.ndarray) -> None:
-        coded = []
-        for which, (ids, starts, lengths) in enumerate((self.a, self.b)):
-            sizes = self._pair.bytes[which][2][ids].astype(np.int32)
-            bounds = np.append(starts, len(ids)) * 4
-            coded.append(pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(sizes)]).dictionary_encode())
-        codes = [c.indices.to_numpy(zero_copy_only=False).astype(np.int64) for c in coded]
         # Chunks that are not whole are given no tokens: texts that hold them have none.
-        both = np.where(whole, codes[0] * len(coded[1].dictionary) + codes[1], -1)
-        kinds, self._kind = np.unique(both, return_inverse=True)
-        names = [c.dictionary.to_pylist() for c in coded]
-        keys = [(b"", b"") if k < 0 else (names[0][k // len(names[1])], names[1][k % len(names[1])]) for k in kinds.tolist()]
-        found = self._pair.shapes(keys)
-        self._parts = []
-        for k in range(1, 5):
-            n = np.array([len(s[k]) for s in found], np.int64)
-            self._parts.append((np.fromiter((x for s in found for x in s[k]), np.int64, n.sum()), np.cumsum(n) - n, n))
-        self.n_groups = np.array([s[0] for s in found], np.int64)[self._kind]
-        self.n_links = self._parts[2][2][self._kind]
+        (self._a, self.n_a), (self._b, self.n_b) = ((ids[np.repeat(whole, n)], np.where(whole, n, 0)) for ids, n in found)
+        a_ends, b_ends = (np.cumsum(pair.sizes[k][ids], dtype=np.int64) for k, ids in enumerate((self._a, self._b)))
+        # Both end at the end of each chunk, so the chunks in a row are sliced as one.
+        _, self._order, self._behind, *self._linked = slice_shape(a_ends, b_ends)
+        self._cuts = np.concatenate([[0], np.cumsum(self.n_a + self.n_b)])
+        ends = self._cuts[1:][self.n_a > 0]
+        self._behind[ends - 1] = 0
+        self.n_groups = np.diff(np.concatenate([[0], np.cumsum(self._behind == 2)])[self._cuts])
+        self.n_links = np.diff(np.searchsorted(self._linked[0], np.concatenate([[0], np.cumsum(self.n_a)])))
 
     def links(self) -> np.ndarray:
         """The id pairs of all links, chunk after chunk; ``n_links`` has how many each chunk has."""
-        placed = []
-        for part, (ids, starts, _) in ((2, self.a), (3, self.b)):
-            flat, at, n = self._parts[part]
-            own, _ = gather(flat, at[self._kind], n[self._kind])
-            placed.append(ids[own + np.repeat(starts, n[self._kind])] if len(own) else np.empty(0, np.int64))
-        return (placed[0] << _SHIFT) | placed[1]
+        return (self._a[self._linked[0]] << _SHIFT) | self._b[self._linked[1]]
 
     def groups(self) -> pa.Array:
         """Every chunk's groups as text."""
-        (order, at, n), (behind, _, _) = self._parts[0], self._parts[1]
-        n_own = n[self._kind]
-        own, bounds = gather(order, at[self._kind], n_own)
-        separators, _ = gather(behind, at[self._kind], n_own)
-        n_a = np.repeat(np.where(n_own > 0, self.a[2], 0), n_own)
-        in_a = own < n_a
-        ids = np.empty(len(own), np.int64)
-        for mine, (flat, starts, _), shift in ((in_a, self.a, 0), (~in_a, self.b, n_a)):
-            where = np.repeat(starts, n_own) + own - shift
-            ids[mine] = flat[where[mine]]
-        written = pc.binary_join_element_wise(self._pair.texts.take(pa.array(ids)), _SEPARATORS.take(pa.array(separators)), "")
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), written), "")
+        ids = np.concatenate([self._a, self._b])[self._order]
+        written = pc.binary_join_element_wise(self._texts.take(pa.array(ids)), _SEPARATORS.take(pa.array(self._behind)), "")
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(self._cuts.astype(np.int32)), written), "")
 
     def totals(self, per_chunk: np.ndarray) -> np.ndarray:
         """Sums over the chunks of every text; 0 for texts without tokens."""
@@ -255,41 +211,50 @@ class Aligned:
         return np.where(self.whole, np.diff(before[self.bounds]), 0)
 
 
-def _filled(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, pa.Array]]:
-    """A slice at a time: its first row in the batch, how many it has, which of them have a text, and these texts."""
-    for first, part in slices(texts, SLICE):
-        filled = np.flatnonzero(pc.greater(pc.binary_length(part), 0).to_numpy(zero_copy_only=False))
-        yield first, len(part), filled, part.take(pa.array(filled))
-
-
-def count_pairs(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """pair, n: in how many documents each id pair is linked, counted in the tasks before the shuffle."""
+def store_links(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
+    """Every document's alignment and its different id pairs; ``row`` numbers the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = tokenizers(a_file, b_file)
+        pair, row = tokenizers(a_file, b_file), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for _, _, filled, texts in _filled(batch.column(0)):
-                if not len(filled):
-                    continue
-                aligned = Aligned(pair, texts)
-                names, links = np.unique(aligned.links(), return_inverse=True)
-                starts = np.cumsum(aligned.n_links) - aligned.n_links
-                counts = np.zeros(len(names), np.int64)
-                # Once per document: some documents at a time, so that their links are sorted in cache.
-                for a in range(0, len(texts), 500):
-                    b = min(a + 500, len(texts))
-                    part = slice(aligned.bounds[a], aligned.bounds[b])
-                    own = aligned.index[part]
-                    doc = np.repeat(np.arange(b - a), np.diff(aligned.bounds[a : b + 1]))
-                    n = aligned.n_links[own] * aligned.whole[a:b][doc]
-                    held, _ = gather(links, starts[own], n)
-                    once = np.unique(np.repeat(doc, n) * len(names) + held) if len(held) else held
-                    counts += np.bincount(once % max(len(names), 1), minlength=len(names))
-                linked = counts > 0
-                yield pa.RecordBatch.from_arrays([pa.array(names[linked]), pa.array(counts[linked])], ["pair", "n"])
-
-    found = docs.select(F.col("text").cast("string")).mapInArrow(run, PAIRS)
-    return found.groupBy("pair").agg(F.sum("n").alias("n"))
+            for first, texts in slices(batch.column(1), SLICE):
+                for columns in _aligned(pair, texts):
+                    n = len(columns["n_a"])
+                    own = {"row": np.arange(row, row + n), "doc_id": batch.column(0).slice(first, n)} | columns
+                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in own.values()], list(own))
+                    row, first = row + n, first + n
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ALIGNED)
+
+
+def _aligned(pair: Tokenizers, texts: pa.Array) -> Iterator[dict[str, np.ndarray | pa.Array]]:
+    """What is stored of these texts, some texts at a time."""
+    filled = np.flatnonzero(pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    columns = {c: np.zeros(len(texts), np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
+    span = np.zeros((2, len(texts)), np.int64)
+    index, written, codes, names = np.empty(0, np.int64), pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
+    starts = n_links = np.empty(0, np.int64)
+    if len(filled):
+        aligned = Aligned(pair, texts.take(pa.array(filled)))
+        for name, values in columns.items():
+            values[filled] = aligned.totals(getattr(aligned, name))
+        # Rows without tokens take no chunks.
+        span[0, filled[aligned.whole]] = aligned.bounds[:-1][aligned.whole]
+        span[1, filled[aligned.whole]] = np.diff(aligned.bounds)[aligned.whole]
+        index, written, n_links = aligned.index, aligned.groups(), aligned.n_links
+        names, codes = np.unique(aligned.links(), return_inverse=True)
+        starts = np.cumsum(n_links) - n_links
+    for a in range(0, len(texts), BATCH):
+        part = slice(a, min(a + BATCH, len(texts)))
+        own, cuts = gather(index, *span[:, part])
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), written.take(pa.array(own))), ";")
+        held, inner = gather(codes, starts[own], n_links[own])
+        doc = np.repeat(np.arange(len(cuts) - 1), np.diff(inner[cuts]))
+        once, times = np.unique(doc * max(len(names), 1) + held, return_counts=True)
+        doc, held = np.divmod(once, max(len(names), 1))
+        bounds = pa.array(np.searchsorted(doc, np.arange(len(cuts))).astype(np.int32))
+        pairs, times = (pa.ListArray.from_arrays(bounds, pa.array(v)) for v in (names[held], times.astype(np.int32)))
+        yield {c: v[part] for c, v in columns.items()} | {"groups": groups, "pairs": pairs, "times": times}
 
 
 def _frequent(pairs: DataFrame, sent: int) -> tuple[DataFrame, bool]:
@@ -309,77 +274,51 @@ def align(docs: DataFrame, a_file: str, b_file: str, derive: Callable[[DataFrame
     """Every document's alignment and how its links are rated: doc_id, n_a, n_b, n_groups, n_links, groups
     (``a1,a2|b1;a3|b2,b3``), n_best (links whose pair is its A id's most frequent one, ties included) and count_sum.
 
-    ``derive`` is applied to the groups before anything is stored, for callers that want but a digest of them. Texts null, empty or not wholly kept by
-    both tokenizers have no tokens: zeros, and empty groups. Every row is a document of its own, whatever its id."""
+    ``derive`` is applied to the groups before anything is stored, for callers that want but a digest of them; it keeps the columns it does not
+    know. Texts null, empty or not wholly kept by both tokenizers have no tokens: zeros, and empty groups. Every row is a document of its own,
+    whatever its id."""
     session = docs.sparkSession
-    counted = count_pairs(docs, a_file, b_file)
+    aligned = snapshot(derive(store_links(docs, a_file, b_file)), "aligned")
+    counted = aligned.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     by_a = Window.partitionBy(F.shiftright("pair", _SHIFT))  # at most B's vocabulary a group
     pairs = snapshot(counted.withColumn("best", F.col("n") == F.max("n").over(by_a)), "pairs")
     frequent, all_sent = _frequent(pairs, sent)
     table = frequent.toPandas().sort_values("pair")
     rates = session.sparkContext.broadcast((table["pair"].to_numpy(np.int64), table["n"].to_numpy(np.int64), table["best"].to_numpy(bool)))
-    rated = derive(_rated(docs, a_file, b_file, rates))
+    rated = _rated(aligned, rates)
     if all_sent:  # the only case in which no link is left to be joined
-        return rated.drop("row", "rest")
+        return rated.drop("row", "rest", "rest_times")
     rated = snapshot(rated, "rated")
-    rest = rated.select(F.col("row").alias("_row"), F.explode("rest").alias("_pair")).groupBy("_row", "_pair").agg(F.count("*").alias("_times"))
+    rest = rated.select(F.col("row").alias("_row"), F.inline(F.arrays_zip("rest", "rest_times")).alias("_pair", "_times"))
     found = rest.join(pairs, F.col("_pair") == F.col("pair")).groupBy("_row").agg(
         F.sum(F.when(F.col("best"), F.col("_times")).otherwise(0)).alias("_best"), F.sum(F.col("_times") * F.col("n")).alias("_sum")
     )
     more = {"n_best": "_best", "count_sum": "_sum"}
-    joined = rated.drop("rest").join(found, F.col("row") == F.col("_row"), "left")
+    joined = rated.drop("rest", "rest_times").join(found, F.col("row") == F.col("_row"), "left")
     return joined.withColumns({c: F.col(c) + F.coalesce(F.col(x), F.lit(0)) for c, x in more.items()}).drop("row", "_row", *more.values())
 
 
-def _rated(docs: DataFrame, a_file: str, b_file: str, rates) -> DataFrame:
+def _rated(aligned: DataFrame, rates) -> DataFrame:
+    """n_best and count_sum over the pairs that were sent, in the place of ``pairs``; the others are the ``rest``."""
+    kept = aligned.drop("pairs", "times").schema
+    names = kept.names
+    more = T.StructType().add("n_best", "long").add("count_sum", "long").add("rest", T.ArrayType(T.LongType())).add("rest_times", T.ArrayType(T.IntegerType()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, row = tokenizers(a_file, b_file), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for first, n_rows, filled, texts in _filled(batch.column(1)):
-                columns = {c: np.zeros(n_rows, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")}
-                groups, rest = partial(pa.repeat, ""), partial(pa.repeat, pa.scalar([], pa.list_(pa.int64())))
-                if len(filled):
-                    groups, rest = _rate(pair, texts, filled, n_rows, columns, rates.value)
-                for a in range(0, n_rows, BATCH):
-                    n = min(BATCH, n_rows - a)
-                    part = {"row": np.arange(row + a, row + a + n), "doc_id": batch.column(0).slice(first + a, n)}
-                    part |= {c: v[a : a + n] for c, v in columns.items()}
-                    part |= {"groups": groups(a, n) if len(filled) else groups(n), "rest": rest(a, n) if len(filled) else rest(n)}
-                    names = [c.split()[0] for c in RATED.split(", ")]
-                    yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in (part[c] for c in names)], names)
-                row += n_rows
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, RATED)
-
-
-def _rate(pair: Tokenizers, texts: pa.Array, filled: np.ndarray, n_rows: int, columns: dict[str, np.ndarray], rates: tuple) -> tuple[Callable, Callable]:
-    """Fills the columns, and gives functions for the groups and the unrated pairs of some rows."""
-    aligned = Aligned(pair, texts)
-    links, n_links = aligned.links(), aligned.n_links
-    bounds = np.concatenate([[0], np.cumsum(n_links)])
-    keys, counts, best = rates
-    at = np.minimum(np.searchsorted(keys, links), max(len(keys) - 1, 0))
-    known = keys[at] == links if len(keys) else np.zeros(len(links), bool)
-    n, is_best = np.where(known, counts[at] if len(keys) else 0, 0), known & (best[at] if len(keys) else False)
-    before = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[bounds])
-    chunks = {"n_a": aligned.a[2], "n_b": aligned.b[2], "n_groups": aligned.n_groups, "n_links": n_links, "n_best": before(is_best), "count_sum": before(n)}
-    for name, values in chunks.items():
-        columns[name][filled] = aligned.totals(values)
-    written = aligned.groups()
-    # Rows without tokens take no chunks.
-    span = np.zeros((2, n_rows), np.int64)
-    span[0, filled[aligned.whole]] = aligned.bounds[:-1][aligned.whole]
-    span[1, filled[aligned.whole]] = np.diff(aligned.bounds)[aligned.whole]
-    lost_of = before(~known)
-    lost, lost_at = links[~known], np.cumsum(lost_of) - lost_of
-
-    def groups(first: int, n: int) -> pa.Array:
-        index, cuts = gather(aligned.index, span[0, first : first + n], span[1, first : first + n])
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), written.take(pa.array(index))), ";")
-
-    def rest(first: int, n: int) -> pa.Array:
-        index, cuts = gather(aligned.index, span[0, first : first + n], span[1, first : first + n])
-        values, inner = gather(lost, lost_at[index], lost_of[index])
-        return pa.ListArray.from_arrays(pa.array(inner[cuts].astype(np.int32)), pa.array(values))
-
-    return groups, rest
+        keys, counts, best = rates.value
+        for whole in batches:
+            for a in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(a, BATCH)
+                pairs, times = (batch.column(c) for c in ("pairs", "times"))
+                bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(pairs).to_numpy(zero_copy_only=False), dtype=np.int64)])
+                links, times = (x.flatten().to_numpy(zero_copy_only=False) for x in (pairs, times))
+                at = np.minimum(np.searchsorted(keys, links), max(len(keys) - 1, 0))
+                known = keys[at] == links if len(keys) else np.zeros(len(links), bool)
+                n, is_best = (np.where(known, v[at] if len(keys) else 0, 0) * times for v in (counts, best))
+                rated = {c: np.diff(np.concatenate([[0], np.cumsum(v)])[bounds]) for c, v in (("n_best", is_best), ("count_sum", n))}
+                cuts = pa.array(np.concatenate([[0], np.cumsum(~known)])[bounds].astype(np.int32))
+                rest = {c: pa.ListArray.from_arrays(cuts, pa.array(v[~known])) for c, v in (("rest", links), ("rest_times", times))}
+                own = {c: batch.column(c) for c in names} | {c: pa.array(v) for c, v in rated.items()} | rest
+                yield pa.RecordBatch.from_arrays(list(own.values()), list(own))
+
+    return aligned.mapInArrow(run, T.StructType(kept.fields + more.fields))

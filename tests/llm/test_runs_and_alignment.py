@@ -14,6 +14,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfwright.llm import alignment, queries, runs
@@ -250,3 +251,34 @@ def test_slices_of_a_shape(a, b):
     assert n == len(set(a) & set(b)) and sorted(order) == list(range(len(a) + len(b))) and behind[-1] == 0
     overlap = {(i, j) for i in range(len(a)) for j in range(len(b)) if max([0, *a][i], [0, *b][j]) < min(a[i], b[j])}
     assert sorted(zip(link_a, link_b)) == sorted(overlap)
+
+
+@pytest.mark.parametrize("sent", [alignment.SENT, 0])
+def test_alignment_reads_every_text_once(spark, sent):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = SHORT + near_copies(3, 3, 5, 40)
+    docs = documents(spark, rows).withColumn("text", seen("text"))
+    assert collected(queries.aligned_tokens(docs, sent), ALIGN_COLUMNS) == plain_rows(rows)
+    assert read.value == len(rows)
+
+
+@pytest.mark.parametrize("batch", [1, 4, 500])
+def test_stored_pairs_are_the_links(monkeypatch, batch):
+    monkeypatch.setattr(alignment, "BATCH", batch)
+    texts = [t or "" for _, t in SHORT] + [t for _, t in near_copies(4, 2, 3, 30)]
+    parts = list(alignment._aligned(alignment.tokenizers(A, B), pa.array(texts)))
+    assert [len(p["pairs"]) for p in parts] == [min(batch, len(texts) - a) for a in range(0, len(texts), batch)]
+    pairs, times, groups = ([x for p in parts for x in p[c].to_pylist()] for c in ("pairs", "times", "groups"))
+    for k, text in enumerate(texts):
+        want = plain_alignment(text)
+        assert groups[k] == (";".join(want[2]) if want else "")
+        assert len(pairs[k]) == len(set(pairs[k]))
+        assert {(p >> 32, p & 0xFFFFFFFF): n for p, n in zip(pairs[k], times[k])} == Counter(want[3] if want else [])
+    empty = list(alignment._aligned(alignment.tokenizers(A, B), pa.array(["", ""])))
+    assert [x for p in empty for x in p["pairs"].to_pylist()] == [[], []]
