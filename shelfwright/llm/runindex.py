@@ -39,6 +39,8 @@ BLOCK = 1 << 16
 #: The most bits of the sketch that spares rows a shuffle, and bits per hash in it while it is smaller. A full sketch spares
 #: none, and what follows is exact.
 SKETCH_BITS, BITS_EACH = 1 << 28, 16
+#: Bits of a sketch that reach the driver in one row.
+SKETCH_PIECE = 1 << 17
 #: Segments of a core that one task takes; segments of a shard.
 GROUP_LIMIT, SHARD_SEGMENTS = 8_000, 20_000
 
@@ -140,18 +142,33 @@ def repeated_cores(docs: DataFrame) -> DataFrame:
 
 
 def _sketch(cores: DataFrame) -> np.ndarray:
-    """A bit per hash, in bytes; as many as the hashes need, at most SKETCH_BITS. Set bits are joined to words where they lie, and
-    the words are what reaches the driver."""
+    """A bit per hash, in words; as many as the hashes need, at most SKETCH_BITS. Tasks set the bits of pieces, and the driver takes
+    these one partition at a time: all it holds is the sketch, in bytes, however many words of it are used."""
     bits = 1 << 16
     count = cores.count()
     while bits < min(BITS_EACH * count, SKETCH_BITS):
         bits *= 2
-    slot = F.col("h").bitwiseAND(F.lit(bits - 1).cast("long"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    words = cores.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
+    piece_bits = min(bits, SKETCH_PIECE)
+    width, shift = piece_bits // 64, piece_bits.bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[int, int] = {}
+        words = np.zeros(0, np.int64)
+        for batch in batches:
+            slot = batch.column(0).to_numpy()
+            pieces, of = np.unique(slot >> shift, return_inverse=True)
+            place = np.array([places.setdefault(k, len(places)) for k in pieces.tolist()], np.int64)
+            words = np.append(words, np.zeros(len(places) * width - len(words), np.int64))
+            np.bitwise_or.at(words, place[of] * width + (slot >> 6 & (width - 1)), np.int64(1) << (slot & 63))
+        for k, own in zip(places, words.reshape(-1, width)):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([own.astype("<i8").tobytes()], pa.binary())], ["piece", "words"])
+
+    slots = cores.select(F.col("h").bitwiseAND(F.lit(bits - 1).cast("long")).alias("slot"))
+    found = slots.repartition(F.shiftright("slot", shift)).mapInArrow(run, "piece long, words binary")
+    out = np.zeros((bits // piece_bits, width), np.int64)
+    for piece, words in found.toLocalIterator():
+        out[piece] = np.frombuffer(words, "<i8")
+    return out.reshape(-1)
 
 
 def _sketched(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -408,13 +425,13 @@ def dedupe(docs: DataFrame) -> DataFrame:
     firsts = snapshot(listed.groupBy("digest").agg(F.min(order).alias("first")).withColumnRenamed("digest", "_digest"), "firsts")
     known = snapshot(listed.join(firsts, F.col("digest") == F.col("_digest")).withColumn("copy", (order != F.col("first")) & (F.col("n_bytes") >= LENGTH)).drop("_digest", "first"), "known")
 
-    cores = snapshot(repeated_cores(docs), "cores")
+    found = candidates(own, snapshot(repeated_cores(docs), "cores"))
     forget_shuffles(docs.sparkSession)
     copies = known.filter("copy").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     is_doc = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
     # Copies go whole; what was found in them is not needed.
     spans = snapshot(
-        marks(candidates(own, cores)).join(snapshot(copies, "copies"), is_doc, "left_anti").groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), "spans"
+        marks(found).join(snapshot(copies, "copies"), is_doc, "left_anti").groupBy(*DOC).agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "_id", "digest": "_digest"}), "spans"
     )
 
     forget_shuffles(docs.sparkSession)

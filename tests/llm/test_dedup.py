@@ -127,6 +127,28 @@ def test_hot_cores_are_dealt_again(spark, monkeypatch):
     assert removed(spark, rows) == removed_repeats(rows)
 
 
+def test_sketches_reach_the_driver_as_bytes(spark, monkeypatch):
+    """Every hash's bit and no other, whatever the pieces; rows of the driver are pieces, not words."""
+    taken = []
+    whole = type(spark.range(0)).toLocalIterator
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda *_: 1 / 0)
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda *_: 1 / 0)
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda frame: (taken.append(row) or row for row in whole(frame)))
+    rng = np.random.default_rng(3)
+    for n, piece in ((0, 1 << 17), (1, 1 << 17), (5_000, 1 << 17), (5_000, 1 << 10), (40_000, 1 << 17)):
+        monkeypatch.setattr(runindex, "SKETCH_PIECE", piece)
+        hashes = rng.integers(-(1 << 63), (1 << 63) - 1, n, np.int64)
+        frame = spark.createDataFrame([(int(h),) for h in hashes], "h long")
+        taken.clear()
+        words = runindex._sketch(frame)
+        bits = 64 * len(words)
+        assert bits >= max(1 << 16, min(runindex.BITS_EACH * n, runindex.SKETCH_BITS)) and len(taken) <= -(-bits // piece)
+        want = np.zeros(bits, np.uint8)
+        want[hashes & (bits - 1)] = 1
+        assert (np.unpackbits(words.astype("<i8").view(np.uint8), bitorder="little") == want).all()
+        assert runindex._sketched(words, hashes.view(np.uint64)).all()
+
+
 def test_odd_texts(spark):
     rows = odd_rows()
     got = runindex.dedupe(documents(spark, rows)).collect()
