@@ -342,6 +342,31 @@ def test_equal_beginnings_are_predicted_once():
     assert model.log10(words, kinds) == pytest.approx(np.array(alone))
 
 
+def test_nine_contexts_predict():
+    """How many bytes back each predictor looks, and which of them know the kind; each has a weight of its own."""
+    word, at = bytes(range(97, 111)), 13
+    keys = lambda w, kind: [int(k[at]) for k in context_mixing.spelled([w], np.array([kind]))[2]]
+    own, other = keys(word, 0), keys(word, 3)
+    changed = {back: keys(word[: at - back] + b"!" + word[at - back + 1 :], 0) for back in range(1, 14)}
+    reach = [{back for back, x in changed.items() if x[k] != own[k]} for k in range(len(own))]
+    assert reach == [set(range(1, n + 1)) for n in (1, 2, 3, 4, 6, 12, 3, 5, 12)]
+    assert [x != y for x, y in zip(own, other)] == [True] * 6 + [False] * 3
+    assert len(set(own)) == 9
+
+    words, kinds, n = [b"abcd", b"abce", b"xbcd"], np.zeros(3, np.int8), np.array([5, 3, 2])
+    counts = np.zeros((9, 2 << context_mixing.BITS))
+    context_mixing.count(counts, words, kinds, n)
+    assert (counts.sum(axis=1) == n.sum() * 5 * 8).all()
+    model = context_mixing.learn_mixing(counts.astype(np.float32).reshape(9, -1, 2), words, kinds, n)
+    used = np.abs(model.weights - context_mixing.START).max(axis=0)
+    assert used.shape == (10,) and (used > 0).all()
+    assert context_mixing.untrained(model.counts).weights[:, :9].sum(axis=1) == pytest.approx(1.2)
+    zeros, ones = model.counts[..., 0], model.counts[..., 1]
+    for k, seen in zip(context_mixing.SEEN, range(2)):
+        assert (model.without[1][seen].reshape(-1, 2)[:, 1] == context_mixing.amount(zeros[k] + np.maximum(ones[k] - 1, 0))).all()
+    assert (model.without[0].reshape(9, -1, 2)[..., 0] == context_mixing.logit(np.maximum(zeros - 1, 0), ones)).all()
+
+
 def test_bits_of_all_words_sum_to_one():
     """Over one byte: the probabilities of all 256 continuations add up."""
     counts = np.zeros((len(context_mixing.ORDERS), 1 << context_mixing.BITS, 2), np.float32)
