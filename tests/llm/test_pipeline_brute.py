@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shelfwright.llm import mixing, oracle, sharding
+from shelfwright.llm import mixing, oracle, runindex, sharding
 from shelfwright.llm.common import count_words, load, snapshot
 from tests.compare import connect
 from tests.llm.helpers import documents, odd_rows
@@ -145,6 +145,21 @@ def test_repeated_strings_stage(spark):
     assert got == cut_by_hand(rows)
 
 
+def test_repeated_strings_take_no_rows_to_the_driver_but_sketches(spark, monkeypatch):
+    """The driver takes few pieces of sketches as bytes, not a row for each word of them that is used."""
+    rng, taken = random.Random(5), []
+    passages = [" ".join(prose(rng, 60)) for _ in range(300)]
+    rows = [(k, f"{passages[k % 300]} {' '.join(prose(rng, 5))}") for k in range(600)]
+    frame = type(spark.range(0))
+    whole = frame.toLocalIterator
+    with monkeypatch.context() as m:
+        m.setattr(frame, "toPandas", lambda *_: 1 / 0)
+        m.setattr(frame, "toLocalIterator", lambda own: (taken.append(len(row.words)) or row for row in whole(own)))
+        got = corpus_pipeline.repeated_strings(spark, documents(spark, rows), SMALL)
+    assert 0 < len(taken) < 20 and max(taken) <= runindex.SKETCH_PIECE // 8
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == cut_by_hand(rows)
+
+
 # Mixing
 
 
